@@ -167,12 +167,13 @@ def _one_hot_stages(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> list[
     if not columns:
         return []
     indexed = [f"{c}__index" for c in columns]
-    indexer = StringIndexerModel.from_arrays_of_labels(
-        [list(levels[c]) for c in columns],
-        inputCols=columns,
-        outputCols=indexed,
-        handleInvalid="keep",
-    )
+    # One indexer per column: a joint one needs level lists of equal length.
+    indexers = [
+        StringIndexerModel.from_labels(
+            list(levels[c]), inputCol=c, outputCol=out, handleInvalid="keep"
+        )
+        for c, out in zip(columns, indexed)
+    ]
     # The unseen slot is the last index, and the encoder drops the last one. Its fit
     # reads the level lists from the column metadata and scans nothing.
     encoder = OneHotEncoder(
@@ -180,7 +181,7 @@ def _one_hot_stages(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> list[
         outputCols=[f"{c}{ONE_HOT_SUFFIX}" for c in columns],
         dropLast=True,
     )
-    return [indexer, encoder.fit(indexer.transform(df))]
+    return [*indexers, encoder.fit(PipelineModel(indexers).transform(df))]
 
 
 def label_encoder(df: DataFrame, column: str, out: str = "label") -> StringIndexerModel:

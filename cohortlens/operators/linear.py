@@ -89,7 +89,9 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
 def _solve(m: Moments, names: Sequence[str], ridge: float = 0.0) -> LinearFit:
     xx, xy = m.cov[:-1, :-1], m.cov[:-1, -1]
     beta = np.linalg.lstsq(xx + ridge / m.n * np.eye(len(xx)), xy, rcond=None)[0]
-    return LinearFit(tuple(names), tuple(beta), float(m.mean[-1] - m.mean[:-1] @ beta))
+    return LinearFit(
+        tuple(names), tuple(map(float, beta)), float(m.mean[-1] - m.mean[:-1] @ beta)
+    )
 
 
 def ols(df: DataFrame, features: Sequence[str], target: str) -> LinearFit:
@@ -158,7 +160,7 @@ def ols_inference(
     n, p = m.n, len(features)
     dof = n - p - 1
     xx = m.cov[:-1, :-1]
-    sst = n * m.cov[-1, -1]
+    sst = n * float(m.cov[-1, -1])
     sse = max(sst - n * float(np.array(fit.coefficients) @ m.cov[:-1, -1]), 0.0)
     s2 = sse / dof if dof > 0 else math.nan
     inverse = np.linalg.pinv(n * xx)

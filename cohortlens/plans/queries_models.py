@@ -1,0 +1,317 @@
+"""Registered queries: classifiers, regressors, tuning, importances, scoring.
+
+Grids and ensembles are small here on purpose: the size of a search is the user's choice.
+All of them read the whole table.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortlens.functions.columns import cut_bins, hash_uniform
+from cohortlens.operators import importance, linear, metrics, models, neighbors, split, tuning
+from cohortlens.operators.clean import dedupe_first, sample_n
+from cohortlens.operators.features import Preprocessor, feature_names
+from cohortlens.plans import flows
+from cohortlens.plans.standins import flat, query
+from cohortlens.sources.visits import inline_records
+
+NUMERIC = ["qty", "price", "discount", "tax"]
+CATEGORICAL = ["flag", "status"]
+KEY = ["key"]
+
+
+def messy(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table with missing values and both pain groupings."""
+    df = flat(spark, sf)
+    return df.withColumns(
+        {
+            "tax": F.when(hash_uniform("key", "x") >= 0.1, F.col("tax")),
+            "flag": F.when(hash_uniform("key", "f") >= 0.1, F.col("flag")),
+            "pain_class": cut_bins("rating", flows.TWO_GROUP_EDGES, flows.TWO_GROUP_LABELS),
+            "pain_group": cut_bins("rating", flows.FIVE_GROUP_EDGES, flows.FIVE_GROUP_LABELS),
+        }
+    )
+
+
+def _prep() -> Preprocessor:
+    return Preprocessor(NUMERIC, CATEGORICAL)
+
+
+def _fit(spark: SparkSession, sf: str, target: str, estimator, **kw) -> flows.ClassifierRun:
+    df = messy(spark, sf)
+    return flows.tuned_classifier(df, target, KEY, estimator, _prep(), **kw)
+
+
+def _summary(run: flows.ClassifierRun, target: str) -> DataFrame:
+    return metrics.accuracy_metrics(run.scored(), target, "predicted")
+
+
+def _regression(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows with a feature vector and a numeric label, in a fixed order."""
+    df = messy(spark, sf).withColumn("label", F.col("y"))
+    train, test = split.train_test_split(df, "key")
+    prep = _prep().fit(train)
+    keep = ["key", "label", "features"]
+    return models.stable_order(prep.transform(train).select(*keep), KEY), prep.transform(test).select(*keep)
+
+
+def _scored(estimator, spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _regression(spark, sf)
+    scored = estimator.fit(train).transform(test)
+    return metrics.regression_metrics(scored, "label", "prediction", n_features=9)
+
+
+def _rows(df: DataFrame) -> float:
+    return float(df.count())
+
+
+@query("logistic")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    n = _rows(messy(spark, sf)) * 0.8
+    return _summary(_fit(spark, sf, "pain_class", models.logistic(1.0, n)), "pain_class")
+
+
+@query("logistic_balanced_groups")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    n = _rows(messy(spark, sf)) * 0.8
+    est = models.logistic(1.0, n, "l1", "class_weight", one_vs_rest=True)
+    run = _fit(spark, sf, "pain_group", est, weight_col="class_weight")
+    return _summary(run, "pain_group")
+
+
+@query("svm_linear")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    n = _rows(messy(spark, sf)) * 0.8
+    est = models.svm_linear(1.0, n, "class_weight", max_iter=20)
+    return _summary(_fit(spark, sf, "pain_group", est, weight_col="class_weight"), "pain_group")
+
+
+@query("svm_rbf")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    df = messy(spark, sf)
+    train, _ = split.train_test_split(df, "key")
+    gamma = models.kernel_gamma(_prep().fit(train).transform(train))
+    est = models.svm_rbf(gamma, 1.0, _rows(train), components=32, one_vs_rest=False, max_iter=20)
+    return _summary(_fit(spark, sf, "pain_class", est), "pain_class")
+
+
+@query("svm_poly")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    n = _rows(messy(spark, sf)) * 0.8
+    est = models.svm_poly(2, 1.0, n, one_vs_rest=False, max_iter=20)
+    return _summary(_fit(spark, sf, "pain_class", est), "pain_class")
+
+
+@query("svm_probability")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    n = _rows(messy(spark, sf)) * 0.8
+    run = _fit(spark, sf, "pain_class", models.svm_linear(1.0, n, one_vs_rest=False, max_iter=20))
+    curve = models.platt(models.with_margin(run.model.transform(run.train)))
+    scored = models.with_margin(run.model.transform(run.test))
+    return metrics.roc_auc(scored.withColumn("p", models.platt_probability(curve)), "label", "p")
+
+
+@query("svr_linear")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(models.svr("linear", rows=1e4), spark, sf)
+
+
+@query("svr_rbf")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(models.svr("rbf", gamma=0.1, rows=1e4, components=32), spark, sf)
+
+
+@query("random_forest_reg")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(models.random_forest_reg(20, 4), spark, sf)
+
+
+@query("random_forest_clf")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _summary(_fit(spark, sf, "pain_class", models.random_forest_clf(20, 4)), "pain_class")
+
+
+@query("out_of_fold_r2")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    train, _ = _regression(spark, sf)
+    folded = train.withColumn("fold", split.kfold("key", 3))
+    r2 = tuning.out_of_fold_r2(folded, models.random_forest_reg(10, 4), 3)
+    return spark.createDataFrame([(float(r2),)], "r2 double")
+
+
+@query("gbt_clf")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _summary(_fit(spark, sf, "pain_class", models.gbt_clf(8, 0.1, 4, 0.8, 3)), "pain_class")
+
+
+@query("gbt_clf_groups")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    est = models.gbt_clf(3, 0.3, 3, 0.8, 3, one_vs_rest=True)
+    return _summary(_fit(spark, sf, "pain_group", est), "pain_group")
+
+
+@query("gbt_reg")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(models.gbt_reg(10, 0.2, 3), spark, sf)
+
+
+@query("gbt_early_stop")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _regression(spark, sf)
+    flagged = train.withColumn("held", split.is_test("key", 0.2, 123))
+    est = models.gbt_reg(
+        15, 0.2, models.depth_for_leaves(8), 0.8, 0.8, validation_col="held", validation_tol=0.01
+    )
+    model = est.fit(flagged)
+    scored = metrics.regression_metrics(model.transform(test), "label", "prediction")
+    return scored.withColumn("trees", F.lit(model.getNumTrees))
+
+
+@query("predict_proba")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    n = _rows(messy(spark, sf)) * 0.8
+    run = _fit(spark, sf, "pain_group", models.logistic(1.0, n, one_vs_rest=True))
+    return run.scored().select("key", "pain_group", "predicted", "probabilities")
+
+
+@query("score_new_rows")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    df = messy(spark, sf)
+    run = _fit(spark, sf, "pain_group", models.logistic(1.0, 1e4, one_vs_rest=True))
+    columns = [*NUMERIC, *CATEGORICAL]
+    unique = dedupe_first(df.select("key", *columns), "key", ["key"])
+    schema = df.select("key", *columns).schema
+    records = [{"key": "new-1", "qty": 45, "discount": 0.09, "flag": "A"}, {"key": "new-2", "qty": 2.0, "status": "?"}]
+    fresh = inline_records(spark, [{k: float(v) if k in NUMERIC else v for k, v in r.items()} for r in records], schema)
+    rows = sample_n(unique, "key", 50).unionByName(fresh)
+    return flows.score_new_rows(rows, run, columns, ["key"])
+
+
+@query("tuned_classifier")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    base = models.logistic(1.0, 1e4)
+    grid = ParamGridBuilder().addGrid(base.regParam, [models.penalty_of(c, 1e4) for c in (0.01, 1.0)]).build()
+    run = _fit(spark, sf, "pain_class", base, grid=grid, evaluator=tuning.RocAuc(), fold_rule="capped3", test_size=0.25)
+    return metrics.classification_report(run.scored(), flows.TWO_GROUP_LABELS, "pain_class", "predicted")
+
+
+@query("grid_search")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    train, _ = _regression(spark, sf)
+    base = models.random_forest_reg(5, 3)
+    grid = ParamGridBuilder().addGrid(base.maxDepth, [2, 4]).build()
+    folded = train.withColumn("fold", split.kfold("key", 2))
+    _, _, scores = tuning.grid_search(folded, base, grid, tuning.RegressionScore("mape"), 2)
+    return tuning.params_table(spark, grid, scores)
+
+
+def _linear_on(features: int, fit):
+    """A moment-based linear model as a (train, validation) scorer."""
+    from cohortlens.operators.describe import vector_columns
+
+    names = [f"f{i}" for i in range(features)]
+
+    def run(train: DataFrame, held: DataFrame) -> DataFrame:
+        model = fit(vector_columns(train, "features", names), names, "label")
+        return model.transform(vector_columns(held, "features", names), "prediction")
+
+    return run
+
+
+@query("cv_scores")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    train, _ = _regression(spark, sf)
+    width = len(feature_names(train))
+    folded = train.withColumn("fold", split.kfold("key", 2))
+    candidates = {
+        "linear": _linear_on(width, linear.ols),
+        "ridge": _linear_on(width, linear.ridge),
+        "lasso": _linear_on(width, linear.lasso),
+        "svr_linear": models.svr("linear", rows=1e4),
+        "random_forest": models.random_forest_reg(5, 4),
+        "gbt": models.gbt_reg(5, 0.3, 3),
+    }
+    return tuning.cv_scores(folded, candidates, 2)
+
+
+def _board(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    train, test = _regression(spark, sf)
+    forest, boost = models.random_forest_reg(5, 4), models.gbt_reg(5, 0.3, 3)
+    return tuning.tuned_leaderboard(
+        train.withColumn("fold", split.kfold("key", 2)),
+        test,
+        {
+            "random_forest": (forest, ParamGridBuilder().addGrid(forest.maxDepth, [3, 5]).build()),
+            "gbt": (boost, ParamGridBuilder().addGrid(boost.stepSize, [0.3]).build()),
+        },
+        2,
+    )
+
+
+@query("tuned_leaderboard")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _board(spark, sf)[0].drop("params", "seconds")
+
+
+@query("best_model")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return tuning.best_model(_board(spark, sf)[0].drop("params", "seconds"))
+
+
+@query("importances_tree")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    train, _ = _regression(spark, sf)
+    model = models.random_forest_reg(20, 4).fit(train)
+    return importance.importance_table(spark, model, feature_names(train), 15)
+
+
+@query("importances_linear")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    run = _fit(spark, sf, "pain_group", models.logistic(1.0, 1e4, one_vs_rest=True))
+    names = feature_names(run.model.transform(run.test))
+    return importance.importance_table(spark, run.model.stages[-1], names, 15)
+
+
+def _two_stage(spark: SparkSession, sf: str) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    train, test = _regression(spark, sf)
+    model, _ = importance.importance_select_refit(train, models.random_forest_reg(10, 4), 4)
+    scored = model.transform(test)
+    return model, scored, scored.select("key", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
+
+
+@query("importance_select_refit")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    model, scored, _ = _two_stage(spark, sf)
+    return importance.importance_table(spark, model, feature_names(scored, "features_top"))
+
+
+@query("evaluate_dataset")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.evaluate_dataset(_two_stage(spark, sf)[2], "key", n_features=4)[0]
+
+
+@query("actual_vs_predicted")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.actual_vs_predicted(_two_stage(spark, sf)[2], ["key"])
+
+
+@query("knn_cv")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest-neighbour grid: balanced accuracy per neighbour count on the embeddings."""
+    from cohortlens.plans.standins import table
+
+    folded = table(spark, sf, "embeddings").withColumn("fold", split.kfold("vec_id", 3))
+    scored = None
+    for fold in range(3):
+        held, rest = folded.where(F.col("fold") == fold), folded.where(F.col("fold") != fold)
+        for k in (3, 7):
+            votes = neighbors.knn_classify(held, rest, "label", k, "vec_id", "vec_id", "embedding")
+            part = votes.join(held.select("vec_id", "label"), "vec_id").withColumn("k", F.lit(k))
+            scored = part if scored is None else scored.unionByName(part)
+    return metrics.accuracy_metrics(scored, "label", "predicted", by=["k"])
+
+
