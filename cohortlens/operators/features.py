@@ -7,7 +7,7 @@ pipeline runs in generated code and can be saved and loaded anywhere.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import (
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col, numeric_or_null
-from cohortlens.operators.ranks import group_quantiles, long_measures
+from cohortlens.operators.ranks import select_quantiles
 
 # One-hot output column of a categorical input; stripped again in feature names.
 ONE_HOT_SUFFIX = "__onehot"
@@ -53,12 +53,19 @@ def numeric_sql(column: str) -> str:
 
 
 def fit_medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, float]:
-    """Median of every column in one job; columns without a value are left out."""
+    """Median of every column; columns without a value are left out.
+
+    Exact ones take two or three aggregate passes over all columns together and shuffle
+    no values; ``exact=False`` is a single sketch pass.
+    """
     if not columns:
         return {}
-    tall = long_measures(df, columns)
-    rows = group_quantiles(tall, "value", ["measure"], {"median": 0.5}, exact, few_groups=True)
-    return {r.measure: float(r.median) for r in rows.collect() if r.median is not None}
+    if exact:
+        return select_quantiles(df, {c: numeric_or_null(c) for c in columns}, 0.5)
+    row = df.agg(
+        *[F.percentile_approx(numeric_or_null(c), 0.5).alias(f"m{i}") for i, c in enumerate(columns)]
+    ).first()
+    return {c: row[f"m{i}"] for i, c in enumerate(columns) if row[f"m{i}"] is not None}
 
 
 def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -82,22 +89,26 @@ def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return {r.feature: r.mode for r in best.collect()}
 
 
-def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted category list of every column.
+def fit_level_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
+    """Row count of every level of every column, levels sorted.
 
-    A list too long to be a set of model columns is an error: such a column is an
+    A level list too long to be a set of model columns is an error: such a column is an
     identifier and not a category.
     """
+    out: dict[str, dict[str, int]] = {c: {} for c in columns}
     if not columns:
-        return {}
-    levels = level_counts(df, columns)
-    widest = levels.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
-    if widest > MAX_LEVELS:
-        raise ValueError(f"a categorical column has {widest} levels")
-    out: dict[str, list[str]] = {c: [] for c in columns}
-    for r in levels.select("feature", "level").collect():
-        out[r.feature].append(r.level)
-    return {c: sorted(v) for c, v in out.items()}
+        return out
+    rows = level_counts(df, columns).limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels in {list(columns)}")
+    for r in sorted(rows, key=lambda r: r.level):
+        out[r.feature][r.level] = r.n
+    return out
+
+
+def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted category list of every column."""
+    return {c: list(counts) for c, counts in fit_level_counts(df, columns).items()}
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], exact: bool = True) -> Transformer:
@@ -162,8 +173,8 @@ def one_hot(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
     return PipelineModel(_one_hot_stages(df, fit_levels(df, columns)))
 
 
-def _one_hot_stages(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> list[Transformer]:
-    columns = [c for c, v in levels.items() if v]
+def _one_hot_stages(df: DataFrame, levels: Mapping[str, Iterable[str]]) -> list[Transformer]:
+    columns = [c for c in levels if levels[c]]
     if not columns:
         return []
     indexed = [f"{c}__index" for c in columns]
@@ -201,7 +212,7 @@ class Preprocessor(Estimator):
 
     Numeric columns: median, then standard scaling. Categorical: most frequent value,
     then one-hot. ``passthrough`` columns enter the vector unchanged; all others are left out of it.
-    Three grouped passes over the training table, whatever the number of columns.
+    A few aggregate passes over the training table, whatever the number of columns.
     """
 
     def __init__(
@@ -224,7 +235,9 @@ class Preprocessor(Estimator):
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         medians = fit_medians(dataset, self.numeric, self.exact)
         moments = fit_moments(dataset, list(medians)) if self.scale and medians else {}
-        modes = fit_modes(dataset, self.categorical)
+        levels = fit_level_counts(dataset, self.categorical)
+        # The levels are sorted, so the first of the most frequent is the smallest.
+        modes = {c: max(n, key=n.get) for c, n in levels.items() if n}
         exprs = {}
         for c, median in medians.items():
             expr = f"coalesce({numeric_sql(c)}, {sql_literal(median)})"
@@ -241,7 +254,7 @@ class Preprocessor(Estimator):
             exprs[c] = f"coalesce(CAST(`{c}` AS STRING), {sql_literal(mode)})"
         stages: list[Transformer] = [replace_columns(exprs)] if exprs else []
         prepared = PipelineModel(stages).transform(dataset)
-        encoded = _one_hot_stages(prepared, fit_levels(dataset, list(modes)))
+        encoded = _one_hot_stages(prepared, levels)
         assembler = VectorAssembler(
             inputCols=[
                 *medians,

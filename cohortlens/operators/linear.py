@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col, numeric_or_null
 from cohortlens.functions.tails import f_sf, normal_two_sided, t_quantile, t_two_sided
-from cohortlens.operators.ranks import select_quantile
+from cohortlens.operators.ranks import select_quantiles
 
 # Above this many columns the moments are summed as vectors, not as SQL aggregates.
 SQL_MOMENT_COLUMNS = 24
@@ -328,7 +328,7 @@ def _reweight(
         return as_col(target) - LinearFit(tuple(names), tuple(slopes), intercept).predicted()
 
     def scale_of(r: Column) -> float:
-        return (select_quantile(rows, F.abs(r), 0.5) or 0.0) / MAD_FACTOR
+        return select_quantiles(rows, {"r": F.abs(r)}, 0.5).get("r", 0.0) / MAD_FACTOR
 
     def loss(r: Column, s: float) -> float:
         z = F.abs(r / s)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNBOUNDED_DEPTH = 30  # the deepest tree the library grows
+CLASS_PARALLELISM = 4  # one-vs-rest parts fitted at the same time
 
 
 def penalty_of(c: float, weight_sum: float) -> float:
@@ -39,7 +40,7 @@ def logistic(
     penalty: str = "l2",
     weight_col: str | None = None,
     one_vs_rest: bool = False,
-    max_iter: int = 200,
+    max_iter: int = 100,
     label: str = "label",
 ) -> Estimator:
     """Logistic regression with L1 or L2 penalty; the intercept is not penalised.
@@ -52,7 +53,7 @@ def logistic(
         elasticNetParam=1.0 if penalty == "l1" else 0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-8,
+        tol=1e-6,
     )
     return _multi_class(lr, weight_col, one_vs_rest, label)
 
@@ -82,7 +83,9 @@ def _multi_class(
 ) -> Estimator:
     if not one_vs_rest:
         return base.setWeightCol(weight_col) if weight_col else base
-    ovr = OneVsRest(classifier=base, labelCol=label, featuresCol=features)
+    ovr = OneVsRest(
+        classifier=base, labelCol=label, featuresCol=features, parallelism=CLASS_PARALLELISM
+    )
     return ovr.setWeightCol(weight_col) if weight_col else ovr
 
 
@@ -281,7 +284,9 @@ def gbt_clf(
         minInstancesPerNode=min_leaf,
         seed=seed,
     )
-    return OneVsRest(classifier=gbt, labelCol=label) if one_vs_rest else gbt
+    if not one_vs_rest:
+        return gbt
+    return OneVsRest(classifier=gbt, labelCol=label, parallelism=CLASS_PARALLELISM)
 
 
 def gbt_reg(

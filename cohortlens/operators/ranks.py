@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col, numeric_or_null
@@ -153,59 +154,131 @@ def group_quantiles(
     )
 
 
-def select_quantile(
-    df: DataFrame, column: Column, p: float, accuracy: int = 10_000, keep: int = SMALL_TABLE_ROWS
-) -> float | None:
-    """One exact quantile of an expression without shuffling its values.
+def select_quantiles(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    p: float,
+    accuracy: int = 10_000,
+    keep: int | None = None,
+) -> dict[str, float]:
+    """One exact quantile of each expression without shuffling its values.
 
-    Each pass brackets the wanted order statistics with a sketch and counts what
-    lies below and inside; the bracket shrinks about a thousandfold per pass. Only a
-    bracket of at most ``keep`` distinct values is brought to the driver.
+    Every pass brackets the wanted order statistics of all columns with a sketch and counts
+    what lies below and inside; a bracket shrinks about a thousandfold per pass. Only
+    brackets of at most ``keep`` rows are counted by value and brought to the driver.
+    Columns without a value are left out of the result.
     """
-    values = df.select(column.cast("double").alias("value")).where(F.col("value").isNotNull())
+    if keep is None:
+        keep = max(1_000, 20 * SMALL_TABLE_ROWS // max(1, len(columns)))
+    names = {f"q{i}": name for i, name in enumerate(columns)}
+    values = df.select(*[c.cast("double").alias(a) for a, c in zip(names, columns.values())])
+
+    def sketch(alias: str, lo: float, hi: float) -> Column:
+        cut = F.percentile_approx(alias, [max(0.0, lo), min(1.0, hi)], accuracy)
+        return cut.alias(f"{alias}_cut")
+
+    slack = 4.0 / accuracy
     first = values.agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-    ).first()
-    if first.n == 0:
-        return None
-    position = p * (first.n - 1)
-    low_index, high_index = math.floor(position), math.ceil(position)
-    lo, hi, below, inside = first.lo, first.hi, 0, first.n
-    while lo < hi and inside > keep:
-        bracket = values.where((F.col("value") >= lo) & (F.col("value") <= hi))
-        slack = 4.0 / accuracy
-        probs = [
-            max(0.0, (low_index - below) / inside - slack),
-            min(1.0, (high_index - below + 1) / inside + slack),
+        *[
+            e
+            for a in names
+            for e in (
+                F.count(a).alias(f"{a}_n"),
+                F.min(a).alias(f"{a}_lo"),
+                F.max(a).alias(f"{a}_hi"),
+                sketch(a, p - slack, p + slack),
+            )
         ]
-        a, b = bracket.agg(F.percentile_approx("value", probs, accuracy).alias("q")).first().q
-        c = values.agg(
-            F.count_if(F.col("value") < a).alias("below"),
-            F.count_if((F.col("value") >= a) & (F.col("value") <= b)).alias("inside"),
+    ).first()
+    targets = {a: _Bracket.start(first, a, p) for a in names if first[f"{a}_n"]}
+    cuts = {a: first[f"{a}_cut"] for a, t in targets.items() if t.wide(keep)}
+    while cuts:
+        counted = values.agg(
+            *[
+                e
+                for a, (lo, hi) in cuts.items()
+                for e in (
+                    F.count_if(F.col(a) < lo).alias(f"{a}_below"),
+                    F.count_if(F.col(a).between(lo, hi)).alias(f"{a}_inside"),
+                )
+            ]
         ).first()
-        covers = c.below <= low_index and high_index < c.below + c.inside
-        if not covers or (a, b) == (lo, hi):
+        open_ = {
+            a
+            for a, (lo, hi) in cuts.items()
+            if targets[a].shrink(lo, hi, counted[f"{a}_below"], counted[f"{a}_inside"])
+            and targets[a].wide(keep)
+        }
+        if not open_:
             break
-        lo, hi, below, inside = a, b, c.below, c.inside
-    if lo == hi:
-        return float(lo)
-    in_bracket = (
-        values.where((F.col("value") >= lo) & (F.col("value") <= hi))
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    rows = in_bracket.limit(keep + 1).collect()
-    if len(rows) > keep:
-        tagged = df.select(F.lit(column).cast("double").alias("q")).unpivot([], ["q"], "g", "value")
-        return group_quantiles(tagged, "value", ["g"], {"q": p}, few_groups=True).first().q
-    picked, seen = {}, below
-    for value, n in sorted((r.value, r.n) for r in rows):
-        for index in (low_index, high_index):
-            if seen <= index < seen + n:
-                picked[index] = value
-        seen += n
-    x, y = picked[low_index], picked[high_index]
-    return float(x + (y - x) * (position - low_index))
+        again = values.select(
+            *[F.when(F.col(a).between(targets[a].lo, targets[a].hi), F.col(a)).alias(a) for a in open_]
+        ).agg(*[sketch(a, *targets[a].shares(slack)) for a in open_])
+        row = again.first()
+        cuts = {a: row[f"{a}_cut"] for a in open_}
+
+    result = {a: float(t.lo) for a, t in targets.items() if t.lo == t.hi}
+    stuck = [a for a, t in targets.items() if a not in result and t.wide(keep)]
+    if stuck:
+        tall = values.unpivot([], [F.col(a) for a in stuck], "measure", "value")
+        rows = group_quantiles(tall, "value", ["measure"], {"q": p}, few_groups=True).collect()
+        result |= {r.measure: float(r.q) for r in rows}
+    near = [a for a in targets if a not in result]
+    if near:
+        inside = values.select(
+            *[F.when(F.col(a).between(targets[a].lo, targets[a].hi), F.col(a)).alias(a) for a in near]
+        ).unpivot([], [F.col(a) for a in near], "measure", "value")
+        rows = (
+            inside.where(F.col("value").isNotNull())
+            .groupBy("measure", "value")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .collect()
+        )
+        found: dict[str, list] = {a: [] for a in near}
+        for r in rows:
+            found[r.measure].append((r.value, r.n))
+        result |= {a: targets[a].pick(sorted(found[a])) for a in near}
+    return {names[a]: v for a, v in result.items()}
+
+
+@dataclass
+class _Bracket:
+    """Interval known to hold two neighbouring order statistics, with counts below and inside."""
+
+    position: float
+    lo: float
+    hi: float
+    below: int
+    inside: int
+
+    @classmethod
+    def start(cls, row: Row, alias: str, p: float) -> _Bracket:
+        n = row[f"{alias}_n"]
+        return cls(p * (n - 1), row[f"{alias}_lo"], row[f"{alias}_hi"], 0, n)
+
+    def wide(self, keep: int) -> bool:
+        return self.lo < self.hi and self.inside > keep
+
+    def shares(self, slack: float) -> tuple[float, float]:
+        low, high = math.floor(self.position), math.ceil(self.position)
+        return (low - self.below) / self.inside - slack, (high - self.below + 1) / self.inside + slack
+
+    def shrink(self, lo: float, hi: float, below: int, inside: int) -> bool:
+        """Move to a narrower interval if it still covers both; false if there is no progress."""
+        covers = below <= math.floor(self.position) and math.ceil(self.position) < below + inside
+        if not covers or inside >= self.inside:
+            return False
+        self.lo, self.hi, self.below, self.inside = lo, hi, below, inside
+        return True
+
+    def pick(self, counts: Sequence[tuple[float, int]]) -> float:
+        low, high = math.floor(self.position), math.ceil(self.position)
+        seen, x, y = self.below, None, None
+        for value, n in counts:
+            x = value if seen <= low < seen + n else x
+            y = value if seen <= high < seen + n else y
+            seen += n
+        return float(x + (y - x) * (self.position - low))
 
 
 def hashed_positions(

@@ -103,20 +103,19 @@ def tuned_classifier(
     encoder = label_encoder(df, target)
     classes = tuple(encoder.labelsArray[0])
     train, test = split.stratified_split(encoder.transform(df), target, key, test_size, seed)
-    smallest = split.min_class_count(train, target)
-    folds = split.choose_folds(smallest, fold_rule)
-    if weight_col:
-        train = split.balanced_weights(train, target, weight_col)
-    if grid:
-        train = split.stratified_kfold(train, target, key, folds, seed)
-    # Read many times by the folds; rebuilt from the hash split if an executor is lost.
-    train = train.persist()
+    # Read many times by the fit; rebuilt from the hash split if an executor is lost.
+    cached = train.persist()
     try:
+        smallest = split.min_class_count(cached, target)
+        folds = split.choose_folds(smallest, fold_rule)
+        rows = split.balanced_weights(cached, target, weight_col) if weight_col else cached
+        if grid:
+            rows = split.stratified_kfold(rows, target, key, folds, seed)
         model, params = fit_or_fallback(
-            train, estimator, grid, evaluator or BalancedAccuracy(), folds, smallest, prep=prep
+            rows, estimator, grid, evaluator or BalancedAccuracy(), folds, smallest, prep=prep
         )
     finally:
-        train.unpersist()
+        cached.unpersist()
     return ClassifierRun(model, classes, params, train, test)
 
 
