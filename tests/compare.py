@@ -42,8 +42,7 @@ def rows_of(columns, data):
     return [columns[i] for i in order], sorted(tuple(normal(r[i]) for i in order) for r in data)
 
 
-def difference(spark, con, query, sql: str, sf_dir: str) -> str | None:
-    df = query(spark, sf_dir)
+def difference(con, df, sql: str) -> str | None:
     cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     result = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in result.description], result.fetchall())
@@ -70,7 +69,7 @@ def main(names: list[str]) -> int:
         start = time.monotonic()
         try:
             if name in registry.ORACLES:
-                problem = difference(spark, con, fn, registry.ORACLES[name], sf_dir)
+                problem = difference(con, fn(spark, sf_dir), registry.ORACLES[name])
                 kind = "sql "
             else:
                 problem = None if fn(spark, sf_dir).collect() else "no rows"
