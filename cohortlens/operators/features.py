@@ -212,7 +212,8 @@ class Preprocessor(Estimator):
 
     Numeric columns: median, then standard scaling. Categorical: most frequent value,
     then one-hot. ``passthrough`` columns enter the vector unchanged; all others are left out of it.
-    A few aggregate passes over the training table, whatever the number of columns.
+    A few aggregate passes over the training table, whatever the number of columns; its
+    input columns are cached for them unless ``cache`` is off or the table already is.
     """
 
     def __init__(
@@ -223,6 +224,7 @@ class Preprocessor(Estimator):
         scale: bool = True,
         exact: bool = True,
         output: str = "features",
+        cache: bool = True,
     ) -> None:
         super().__init__()
         self.numeric = list(numeric)
@@ -231,8 +233,20 @@ class Preprocessor(Estimator):
         self.scale = scale
         self.exact = exact
         self.output = output
+        self.cache = cache
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
+        inputs = dataset.select(*[as_col(c) for c in [*self.numeric, *self.categorical, *self.passthrough]])
+        if not self.cache or dataset.storageLevel.useMemory:
+            return self._fit_inputs(inputs)
+        # The fit passes read only these columns, each time anew unless kept.
+        inputs = inputs.persist()
+        try:
+            return self._fit_inputs(inputs)
+        finally:
+            inputs.unpersist()
+
+    def _fit_inputs(self, dataset: DataFrame) -> PipelineModel:
         medians = fit_medians(dataset, self.numeric, self.exact)
         moments = fit_moments(dataset, list(medians)) if self.scale and medians else {}
         levels = fit_level_counts(dataset, self.categorical)

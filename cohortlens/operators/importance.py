@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col, error_columns
 from cohortlens.operators.features import feature_names
-from cohortlens.operators.metrics import max_error_row, regression_metrics
+from cohortlens.operators.metrics import regression_metrics
 
 
 def importance_values(model) -> np.ndarray:
@@ -76,15 +76,21 @@ def actual_vs_predicted(
 def evaluate_dataset(
     scored: DataFrame, key: str, actual: str = "actual", predicted: str = "predicted", n_features: int = 1
 ) -> tuple[DataFrame, DataFrame]:
-    """Metrics with the worst row attached, and all rows by falling absolute error."""
-    worst = max_error_row(scored, key, actual, predicted).select(
-        F.col(key).alias("worst_key"),
-        F.col("actual").alias("worst_actual"),
-        F.col("predicted").alias("worst_predicted"),
-        F.col("abs_error").alias("max_abs_error"),
+    """Metrics with the worst row attached, and all rows by falling absolute error.
+
+    The worst row (smallest key on a tie) is found in the same pass as the metrics.
+    """
+    error = F.abs(as_col(actual) - as_col(predicted))
+    worst = F.min_by(
+        F.struct(
+            as_col(key).alias("worst_key"),
+            as_col(actual).alias("worst_actual"),
+            as_col(predicted).alias("worst_predicted"),
+            error.alias("max_abs_error"),
+        ),
+        F.struct(-error, as_col(key)),
     )
-    one = F.lit(1).alias("__one")
-    metrics = regression_metrics(scored, actual, predicted, n_features)
-    report = metrics.select("*", one).join(F.broadcast(worst.select("*", one)), "__one", "left").drop("__one")
+    metrics = regression_metrics(scored, actual, predicted, n_features, also=[("__worst", worst)])
+    report = metrics.select("*", "__worst.*").drop("__worst")
     rows = actual_vs_predicted(scored, [key], actual, predicted).orderBy(F.desc("abs_error"), key)
     return report, rows

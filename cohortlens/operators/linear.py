@@ -155,7 +155,23 @@ def ols_inference(
     the residuals, and Durbin-Watson when a row order is given. Two aggregate passes;
     Durbin-Watson adds a range-partitioned one.
     """
-    m = moments(df, [*features, target])
+    data = (
+        df.select(
+            *[as_col(c) for c in order], *[numeric_or_null(c).alias(c) for c in [*features, target]]
+        )
+        .dropna(subset=[*features, target])
+        .persist()
+    )
+    try:
+        return _inference(data, features, target, order, level)
+    finally:
+        data.unpersist()
+
+
+def _inference(
+    data: DataFrame, features: Sequence[str], target: str, order: Sequence[str], level: float
+) -> tuple[DataFrame, DataFrame]:
+    m = moments(data, [*features, target])
     fit = _solve(m, features)
     n, p = m.n, len(features)
     dof = n - p - 1
@@ -172,7 +188,7 @@ def ols_inference(
         se = math.sqrt(v)
         t = b / se if se > 0 else math.inf
         rows.append((name, float(b), se, t, t_two_sided(t, dof), b - half * se, b + half * se))
-    spark = df.sparkSession
+    spark = data.sparkSession
     table = spark.createDataFrame(
         [tuple(float(v) if i else v for i, v in enumerate(r)) for r in rows],
         "term string, coef double, se double, t double, p_value double, ci_low double, ci_high double",
@@ -180,9 +196,6 @@ def ols_inference(
     r2 = 1 - sse / sst if sst > 0 else 0.0
     f = (r2 / p) / ((1 - r2) / dof) if r2 < 1 and dof > 0 else math.inf
     llf = -n / 2 * (math.log(2 * math.pi * sse / n) + 1) if sse > 0 else math.inf
-    data = df.select(
-        *[as_col(c) for c in order], *[numeric_or_null(c).alias(c) for c in [*features, target]]
-    ).dropna(subset=[*features, target])
     residuals = data.withColumn("__r", as_col(target) - fit.predicted())
     shape = residuals.agg(F.skewness("__r").alias("skew"), F.kurtosis("__r").alias("kurt")).first()
     jb = n / 6 * (shape.skew**2 + shape.kurt**2 / 4) if shape.skew is not None else None
@@ -285,25 +298,49 @@ def robust_lm(
         rows.unpersist()
 
 
+def _huber_loss(z: Column) -> Column:
+    size = F.abs(z)
+    return F.when(size <= HUBER_T, size * size / 2).otherwise(size * HUBER_T - HUBER_T**2 / 2)
+
+
+def _huber_weight(z: Column) -> Column:
+    size = F.abs(z)
+    return F.when(size <= HUBER_T, F.lit(1.0)).otherwise(HUBER_T / size)
+
+
 def _weighted_system(
-    rows: DataFrame, names: Sequence[str], target: str, weight: Column, constant: bool, shift: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """X'WX and X'Wy (shifted by ``shift``), summed in one aggregate."""
+    rows: DataFrame,
+    names: Sequence[str],
+    target: str,
+    z: Column | None,
+    constant: bool,
+    shift: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """X'WX and X'Wy (shifted by ``shift``) for the weights of residuals ``z``, and their loss.
+
+    One aggregate; no residuals mean equal weights.
+    """
     xs = [as_col(c) - F.lit(float(s)) for c, s in zip(names, shift)]
     if constant:
         xs = [F.lit(1.0), *xs]
     y = as_col(target) - F.lit(float(shift[-1]))
     pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
-    weighted = rows.withColumn("__w", weight)
+    weighted = rows.withColumns(
+        {
+            "__w": F.lit(1.0) if z is None else _huber_weight(z),
+            "__rho": F.lit(0.0) if z is None else _huber_loss(z),
+        }
+    )
     w = F.col("__w")
     r = weighted.agg(
         *[F.sum(w * xs[i] * xs[j]).alias(f"g{i}_{j}") for i, j in pairs],
         *[F.sum(w * x * y).alias(f"y{i}") for i, x in enumerate(xs)],
+        F.sum("__rho").alias("loss"),
     ).first()
     gram = np.empty((len(xs), len(xs)))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = r[f"g{i}_{j}"]
-    return gram, np.array([r[f"y{i}"] for i in range(len(xs))])
+    return gram, np.array([r[f"y{i}"] for i in range(len(xs))]), r["loss"]
 
 
 def _reweight(
@@ -316,13 +353,12 @@ def _reweight(
     # Centring needs the intercept to absorb it.
     shift = np.array(center, dtype=float) if constant else np.zeros(len(names) + 1)
 
-    def fit(weight: Column) -> tuple[np.ndarray, float, np.ndarray]:
-        gram, rhs = _weighted_system(rows, names, target, weight, constant, shift)
+    def solve(gram: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, float]:
         beta = np.linalg.lstsq(gram, rhs, rcond=None)[0]
         if not constant:
-            return beta, 0.0, gram
+            return beta, 0.0
         slopes = beta[1:]
-        return slopes, float(beta[0] + shift[-1] - slopes @ shift[:-1]), gram
+        return slopes, float(beta[0] + shift[-1] - slopes @ shift[:-1])
 
     def residual(slopes: np.ndarray, intercept: float) -> Column:
         return as_col(target) - LinearFit(tuple(names), tuple(slopes), intercept).predicted()
@@ -330,27 +366,21 @@ def _reweight(
     def scale_of(r: Column) -> float:
         return select_quantiles(rows, {"r": F.abs(r)}, 0.5).get("r", 0.0) / MAD_FACTOR
 
-    def loss(r: Column, s: float) -> float:
-        z = F.abs(r / s)
-        rho = F.when(z <= HUBER_T, z * z / 2).otherwise(z * HUBER_T - HUBER_T**2 / 2)
-        return rows.agg(F.sum(rho)).first()[0]
-
-    slopes, intercept, plain_gram = fit(F.lit(1.0))
+    plain_gram, rhs, _ = _weighted_system(rows, names, target, None, constant, shift)
+    slopes, intercept = solve(plain_gram, rhs)
     r = residual(slopes, intercept)
     s = scale_of(r)
     previous, iterations = math.inf, 0
-    while s > 0 and iterations < max_iter:
-        z = F.abs(r / s)
-        slopes, intercept, _ = fit(F.when(z <= HUBER_T, F.lit(1.0)).otherwise(HUBER_T / z))
+    while s > 0 and iterations <= max_iter:
+        # The loss at the current fit and the system of the next come from one pass.
+        gram, rhs, loss = _weighted_system(rows, names, target, r / s, constant, shift)
+        if iterations == max_iter or (iterations and abs(loss - previous) < tol):
+            break
+        previous = loss if iterations else math.inf
+        slopes, intercept = solve(gram, rhs)
         r = residual(slopes, intercept)
         s = scale_of(r)
         iterations += 1
-        if s == 0:
-            break
-        current = loss(r, s)
-        if abs(current - previous) < tol:
-            break
-        previous = current
 
     estimates = [intercept, *slopes] if constant else list(slopes)
     k_params = len(estimates)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col
 from cohortlens.operators.hypothesis import rank_sum_parts
-from cohortlens.operators.ranks import cumulative_counts
+from cohortlens.operators.ranks import cumulative_counts, long_measures
 
 
 def mape_column(actual: Column, predicted: Column) -> Column:
@@ -40,14 +40,16 @@ def regression_metrics(
     predicted: str = "predicted",
     n_features: int = 1,
     by: Sequence[str] = (),
+    also: Sequence[tuple[str, Column]] = (),
 ) -> DataFrame:
     """MSE, RMSE, MAE, R2, adjusted R2 and MAPE, from one aggregate.
 
-    R2 of a constant target is 1 for perfect predictions, else 0.
+    R2 of a constant target is 1 for perfect predictions, else 0. ``also`` names further
+    aggregates to take in the same pass.
     """
     a, p = as_col(actual).cast("double"), as_col(predicted).cast("double")
     sums = df.where(a.isNotNull() & p.isNotNull()).groupBy(*[as_col(b) for b in by]).agg(
-        *_regression_sums(a, p)
+        *_regression_sums(a, p), *[e.alias(name) for name, e in also]
     )
     r2 = F.when(F.col("__var") > 0, 1 - F.try_divide(F.col("mse"), F.col("__var"))).otherwise(
         F.when(F.col("mse") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
@@ -57,7 +59,17 @@ def regression_metrics(
     return (
         sums.withColumn("r2", r2)
         .withColumn("adj_r2", adjusted)
-        .select(*by, "n", "mse", F.sqrt("mse").alias("rmse"), "mae", "r2", "adj_r2", "mape")
+        .select(
+            *by,
+            "n",
+            "mse",
+            F.sqrt("mse").alias("rmse"),
+            "mae",
+            "r2",
+            "adj_r2",
+            "mape",
+            *[name for name, _ in also],
+        )
     )
 
 
@@ -201,10 +213,11 @@ def roc_auc(
     The rank-sum statistic over its group sizes, on the distributed ranks: scores are
     neither binned nor sorted in one task.
     """
-    # The unpivot gives a real grouping column when there is no other.
-    tall = df.select(
-        *[as_col(b) for b in by], as_col(label).alias("__label"), as_col(score).cast("double").alias("score")
-    ).unpivot([*by, "__label"], ["score"], "__curve", "value")
+    # The melted measure name gives a real grouping column when there is no other.
+    labelled = df.select(
+        *[as_col(b) for b in by], as_col(label).alias("__label"), as_col(score).alias("__score")
+    )
+    tall = long_measures(labelled, ["__score"], [*by, "__label"], "__curve")
     is_pos = as_col("__label") == F.lit(positive)
     counts = cumulative_counts(
         tall,

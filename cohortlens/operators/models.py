@@ -326,7 +326,11 @@ def depth_for_leaves(leaves: int) -> int:
 
 
 def stable_order(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Fix partitioning and row order, on which the tree learners' random draws depend."""
-    return df.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*[F.col(k) for k in key])
-
+    """Fix partitioning and row order, on which the tree learners' random draws depend.
 
+    The partition count is the session's shuffle setting: given explicitly it is not
+    coalesced, so the many passes of a fit keep all cores busy.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(k) for k in key]
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys)

@@ -12,6 +12,8 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,10 @@ def long_measures(
     df: DataFrame, measures: Sequence[str], ids: Sequence[str] = (), name: str = "measure"
 ) -> DataFrame:
     """One row per (row, measure) with a non-null double ``value``."""
-    wide = df.select(*[as_col(c) for c in ids], *[numeric_or_null(m).alias(m) for m in measures])
-    return wide.unpivot(
-        [as_col(c) for c in ids], [as_col(m) for m in measures], name, "value"
-    ).where(F.col("value").isNotNull())
+    pairs = F.array(
+        *[F.struct(F.lit(m).alias(name), numeric_or_null(m).alias("value")) for m in measures]
+    )
+    return df.select(*[as_col(c) for c in ids], F.inline(pairs)).where(F.col("value").isNotNull())
 
 
 def cumulative_counts(
@@ -42,9 +44,9 @@ def cumulative_counts(
     """One row per (group, distinct value) with running tallies.
 
     For each tally ``t`` the output has ``t`` (at this value), ``t_before``
-    (strictly below it) and ``t_total`` (whole group). Values are shuffled once,
-    already counted; the bucket bounds and bucket totals come from two map-side
-    combined passes that move a few hundred rows per group.
+    (strictly below it) and ``t_total`` (whole group). The bucket bounds are a sketch
+    of the rows, combined on the map side. Values are counted before they are shuffled;
+    bucket totals and running counts both read that one shuffle.
 
     ``few_groups`` says that the number of groups is bounded by the plan (columns,
     listed timepoints) and not by the data; only then the per-group bounds and
@@ -60,18 +62,12 @@ def cumulative_counts(
     cuts = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     sketch = F.expr(f"percentile_approx(value, array({cuts}), {40 * buckets})")
     bounds = small(rows.groupBy(*keys).agg(sketch.alias("__bounds")))
-    # Binary search for the number of bounds below the value.
-    steps = ", ".join(str(1 << b) for b in reversed(range(bits)))
-    bucket = F.expr(
-        f"coalesce(aggregate(array({steps}), 0, (pos, step) -> "
-        "if(value > element_at(__bounds, pos + step), pos + step, pos)), 0)"
-    )
+    counted = rows.groupBy(*keys, "value").agg(*[F.sum(n).alias(n) for n in names])
+    placed = _place(counted.join(bounds, keys), bits)
     group = Window.partitionBy(*keys)
     below = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.join(bounds, keys)
-        .withColumn("__bucket", bucket)
-        .groupBy(*keys, "__bucket")
+        placed.groupBy(*keys, "__bucket")
         .agg(*[F.sum(n).alias(f"__{n}") for n in names])
         .select(
             *keys,
@@ -85,14 +81,7 @@ def cumulative_counts(
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    running = (
-        rows.groupBy(*keys, "value")
-        .agg(*[F.sum(n).alias(n) for n in names])
-        .join(bounds, keys)
-        .withColumn("__bucket", bucket)
-        .drop("__bounds")
-        .withColumns({f"__{n}_run": F.sum(n).over(inside) for n in names})
-    )
+    running = placed.withColumns({f"__{n}_run": F.sum(n).over(inside) for n in names})
     return running.join(small(offsets), [*keys, "__bucket"]).select(
         *keys,
         "value",
@@ -102,6 +91,16 @@ def cumulative_counts(
     )
 
 
+def _place(df: DataFrame, bits: int) -> DataFrame:
+    """Number of bounds below the value, by binary search."""
+    steps = ", ".join(str(1 << b) for b in reversed(range(bits)))
+    bucket = F.expr(
+        f"coalesce(aggregate(array({steps}), 0, (pos, step) -> "
+        "if(value > element_at(__bounds, pos + step), pos + step, pos)), 0)"
+    )
+    return df.withColumn("__bucket", bucket).drop("__bounds")
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str], few_groups: bool = False) -> DataFrame:
     """Average rank (ties share the mean) of every distinct value in its group."""
     cum = cumulative_counts(df, value, by, {"n": F.lit(1)}, few_groups)
@@ -163,10 +162,11 @@ def select_quantiles(
 ) -> dict[str, float]:
     """One exact quantile of each expression without shuffling its values.
 
-    Every pass brackets the wanted order statistics of all columns with a sketch and counts
-    what lies below and inside; a bracket shrinks about a thousandfold per pass. Only
-    brackets of at most ``keep`` rows are counted by value and brought to the driver.
-    Columns without a value are left out of the result.
+    A first pass brackets the wanted order statistics of all columns with a sketch. Where
+    the bracket is sure to hold few values, the next pass counts those and what lies below.
+    Larger ones are counted and sketched again, shrinking about a thousandfold per round.
+    At most about ``keep`` distinct values per column reach the driver. Columns without a
+    value are left out of the result.
     """
     if keep is None:
         keep = max(1_000, 20 * SMALL_TABLE_ROWS // max(1, len(columns)))
@@ -192,7 +192,13 @@ def select_quantiles(
     ).first()
     targets = {a: _Bracket.start(first, a, p) for a in names if first[f"{a}_n"]}
     cuts = {a: first[f"{a}_cut"] for a, t in targets.items() if t.wide(keep)}
+    ready = {a: (t.lo, t.hi) for a, t in targets.items() if a not in cuts}
     while cuts:
+        # The sketch is off by at most 1/accuracy on either side of its slack.
+        likely = {a for a in cuts if targets[a].inside * (2 * slack + 4 / accuracy) < keep / 2}
+        ready |= {a: cuts.pop(a) for a in likely}
+        if not cuts:
+            break
         counted = values.agg(
             *[
                 e
@@ -203,41 +209,46 @@ def select_quantiles(
                 )
             ]
         ).first()
-        open_ = {
+        moved = {
             a
             for a, (lo, hi) in cuts.items()
             if targets[a].shrink(lo, hi, counted[f"{a}_below"], counted[f"{a}_inside"])
-            and targets[a].wide(keep)
         }
-        if not open_:
-            break
-        again = values.select(
-            *[F.when(F.col(a).between(targets[a].lo, targets[a].hi), F.col(a)).alias(a) for a in open_]
-        ).agg(*[sketch(a, *targets[a].shares(slack)) for a in open_])
-        row = again.first()
-        cuts = {a: row[f"{a}_cut"] for a in open_}
-
-    result = {a: float(t.lo) for a, t in targets.items() if t.lo == t.hi}
-    stuck = [a for a, t in targets.items() if a not in result and t.wide(keep)]
-    if stuck:
-        tall = values.unpivot([], [F.col(a) for a in stuck], "measure", "value")
-        rows = group_quantiles(tall, "value", ["measure"], {"q": p}, few_groups=True).collect()
-        result |= {r.measure: float(r.q) for r in rows}
-    near = [a for a in targets if a not in result]
-    if near:
-        inside = values.select(
-            *[F.when(F.col(a).between(targets[a].lo, targets[a].hi), F.col(a)).alias(a) for a in near]
-        ).unpivot([], [F.col(a) for a in near], "measure", "value")
-        rows = (
-            inside.where(F.col("value").isNotNull())
+        ready |= {a: (targets[a].lo, targets[a].hi) for a in moved if not targets[a].wide(keep)}
+        moved -= ready.keys()
+        cuts = {}
+        if moved:
+            within = [
+                F.when(F.col(a).between(targets[a].lo, targets[a].hi), F.col(a)).alias(a) for a in moved
+            ]
+            again = values.select(*within).agg(*[sketch(a, *targets[a].shares(slack)) for a in moved])
+            row = again.first()
+            cuts = {a: row[f"{a}_cut"] for a in moved}
+
+    result: dict[str, float] = {}
+    if ready:
+        # Values below a bracket count as one, those above it are left out.
+        clipped = [
+            F.when(F.col(a) < lo, F.lit(-math.inf)).when(F.col(a) <= hi, F.col(a)).alias(a)
+            for a, (lo, hi) in ready.items()
+        ]
+        counts = (
+            long_measures(values.select(*clipped), list(ready))
             .groupBy("measure", "value")
             .agg(F.count(F.lit(1)).alias("n"))
-            .collect()
         )
-        found: dict[str, list] = {a: [] for a in near}
-        for r in rows:
-            found[r.measure].append((r.value, r.n))
-        result |= {a: targets[a].pick(sorted(found[a])) for a in near}
+        limit = (keep + 1) * len(ready)
+        rows = counts.limit(limit + 1).toPandas()
+        if len(rows) <= limit:
+            for a, found in rows.groupby("measure"):
+                picked = targets[a].pick(found.sort_values("value"))
+                result |= {} if picked is None else {a: picked}
+    missed = [a for a in targets if a not in result]
+    if missed:
+        # A sketch that misled, or values it cannot separate: rank them all.
+        tall = long_measures(values, missed)
+        rows = group_quantiles(tall, "value", ["measure"], {"q": p}, few_groups=True).collect()
+        result |= {r.measure: float(r.q) for r in rows}
     return {names[a]: v for a, v in result.items()}
 
 
@@ -271,14 +282,17 @@ class _Bracket:
         self.lo, self.hi, self.below, self.inside = lo, hi, below, inside
         return True
 
-    def pick(self, counts: Sequence[tuple[float, int]]) -> float:
+    def pick(self, counts: pd.DataFrame) -> float | None:
+        """Interpolate between the two order statistics of sorted (value, n) rows.
+
+        None if the counted values do not cover both of them.
+        """
+        value, upto = counts["value"].to_numpy(), counts["n"].cumsum().to_numpy()
         low, high = math.floor(self.position), math.ceil(self.position)
-        seen, x, y = self.below, None, None
-        for value, n in counts:
-            x = value if seen <= low < seen + n else x
-            y = value if seen <= high < seen + n else y
-            seen += n
-        return float(x + (y - x) * (self.position - low))
+        if not len(upto) or high >= upto[-1]:
+            return None
+        x, y = value[np.searchsorted(upto, [low, high], side="right")]
+        return float(x + (y - x) * (self.position - low)) if x > -math.inf else None
 
 
 def hashed_positions(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.metrics import accuracy_metrics, regression_metrics, roc_auc, target_verdict
 from cohortlens.operators.models import class_probability
+from cohortlens.session import ensure_checkpoint_dir
 
 
 class BalancedAccuracy(Evaluator):
@@ -94,6 +95,7 @@ def grid_search(
     parameter sets. A parameter set that fails on a fold scores NaN there; if all do, the
     estimator's own parameters are fitted. Returns the model, its parameters and the mean scores.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     maps = list(grid) or [{}]
     sums = [0.0] * len(maps)
     for fold in range(folds):
@@ -131,6 +133,7 @@ def fit_with_preprocessing(
     df: DataFrame, estimator: Estimator, prep: Estimator | None = None, params: Mapping | None = None
 ) -> PipelineModel:
     """Preprocessing and model in one saveable pipeline."""
+    ensure_checkpoint_dir(df.sparkSession)  # long boosting runs cut their lineage there
     if prep is None:
         return PipelineModel([estimator.fit(df, dict(params or {}))])
     fitted = prep.fit(df)

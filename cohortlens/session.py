@@ -28,23 +28,20 @@ def local_session(cpus: str | int = "*", app: str = "cohortlens") -> SparkSessio
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, for fits with a long lineage.
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared checkpoint folder, so that fits with a growing lineage can cut it.
 
-    The folder named in ``spark.checkpoint.dir`` always wins. Only a local
-    master, where every task sees the same disk, falls back to a folder of its
-    own; on a cluster without the setting this raises.
+    The folder named in ``spark.checkpoint.dir`` always wins. Only a local master, where
+    every task sees the same disk, gets a folder of its own; a cluster without the
+    setting runs without checkpoints.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir"
-    )
     current = sc.getCheckpointDir()
     if current:
         return current
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="cohortlens-checkpoint-")
-    sc.setCheckpointDir(configured)
-    return configured
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="cohortlens-checkpoint-")
+    if folder:
+        sc.setCheckpointDir(folder)
+    return folder

@@ -240,3 +240,10 @@ def test_svr(vectors):
         m = est.fit(vectors)
         assert metrics.regression_metrics(m.transform(vectors), "label", "prediction").first().r2 > 0.8
     assert models.depth_for_leaves(31) == 5
+
+
+def test_checkpoint_folder_is_set_once(spark):
+    from cohortlens.session import ensure_checkpoint_dir
+
+    first = ensure_checkpoint_dir(spark)
+    assert first and ensure_checkpoint_dir(spark) == first

@@ -37,6 +37,14 @@ def test_query_equals_sql_with_a_distributed_plan(spark, con, sf, name):
         assert slow not in plan, slow
 
 
+def test_running_counts_share_one_shuffle(spark, sf):
+    df = registry.QUERIES["mann_whitney"](spark, sf)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    # Bucket bounds and value counts are each made once and reused by the other branch.
+    assert final.count("ReusedExchange") == 2 and final.count("FileScan") == 2
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     from pyspark.sql import functions as F
 
