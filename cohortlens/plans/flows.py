@@ -16,10 +16,18 @@ from cohortlens.functions.columns import (
     truncate_to_int,
 )
 from cohortlens.operators import split
-from cohortlens.operators.clean import align_schema, drop_rare_classes
-from cohortlens.operators.describe import describe, safe_corr
-from cohortlens.operators.features import label_decoder, label_encoder
-from cohortlens.operators.metrics import accuracy_metrics, classification_report, confusion_matrix
+from cohortlens.operators.clean import align_schema, drop_rare_classes, threshold_features
+from cohortlens.operators.describe import corr_with_target, describe, error_vs_feature, safe_corr
+from cohortlens.operators.features import label_decoder, label_encoder, standard_scale
+from cohortlens.operators.importance import actual_vs_predicted
+from cohortlens.operators.linear import LinearFit, ols, robust_lm
+from cohortlens.operators.metrics import (
+    accuracy_metrics,
+    classification_report,
+    confusion_matrix,
+    pct_within,
+    regression_metrics,
+)
 from cohortlens.operators.models import class_probability
 from cohortlens.operators.pairing import pair_timepoints, with_changes
 from cohortlens.operators.tuning import BalancedAccuracy, fit_or_fallback
@@ -146,3 +154,71 @@ def score_new_rows(
             format_probabilities(F.col("__p"), run.classes).alias("probabilities"),
         )
     )
+
+
+def threshold_regression(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    key: str,
+    threshold: float = 0.10,
+    test_size: float = 0.2,
+    seed: int = 42,
+) -> tuple[LinearFit, DataFrame]:
+    """Keep features correlated with the target, scale, fit least squares, score both parts.
+
+    Features are chosen, and the scaler and model fitted, on the training rows only.
+    """
+    train, _ = split.train_test_split(df, key, test_size, seed)
+    ranked = threshold_features(corr_with_target(train, features, target), threshold)
+    chosen = [r.feature for r in ranked.orderBy(F.desc("abs_corr"), "feature").collect()]
+    if not chosen:
+        raise ValueError(f"no feature reaches |corr| >= {threshold}")
+    scaler = standard_scale(train, chosen)
+    fit = ols(scaler.transform(train), chosen, target)
+    part = F.when(split.is_test(key, test_size, seed), "test").otherwise("train")
+    scored = fit.transform(scaler.transform(df).withColumn("part", part))
+    return fit, regression_metrics(scored, target, "predicted", len(chosen), by=["part"])
+
+
+def change_regression(
+    df: DataFrame,
+    measures: Sequence[str],
+    outcome: str,
+    subject: str = "subject_id",
+    tolerance: float = 1.0,
+    min_rows: int = 11,
+    **pairing,
+) -> dict[str, DataFrame]:
+    """Predict the outcome's change from the measures' changes, robustly and by least squares.
+
+    Returns the robust coefficient table, the test metrics of both models, the share of errors within the
+    tolerance, the error's correlation with every predictor, and the row-by-row comparison.
+    """
+    changes = paired_changes(df, [*measures, outcome], subject=subject, **pairing)
+    columns, target = [f"{m}_Change" for m in measures], f"{outcome}_Change"
+    changes = changes.select(subject, target, *columns).persist()
+    try:
+        rows = changes.count()
+        if rows < min_rows:
+            raise ValueError(f"{rows} paired subjects, need {min_rows}")
+        train, _ = split.train_test_split(changes, subject)
+        robust, plain = robust_lm(train, columns, target), ols(train, columns, target)
+    finally:
+        changes.unpersist()
+    _, test = split.train_test_split(changes, subject)
+    scored = test.select(
+        subject, *columns, F.col(target).alias("actual"),
+        F.array(
+            F.struct(F.lit("robust").alias("model"), robust.predicted().alias("predicted")),
+            F.struct(F.lit("least squares").alias("model"), plain.predicted().alias("predicted")),
+        ).alias("__m"),
+    ).select(subject, *columns, "actual", F.inline("__m"))
+    least = scored.where(F.col("model") == "least squares")
+    return {
+        "coefficients": robust.table(df.sparkSession),
+        "metrics": regression_metrics(scored, n_features=len(columns), by=["model"]),
+        "within": pct_within(least, tolerance),
+        "error_corr": error_vs_feature(least, columns, "actual", "predicted"),
+        "rows": actual_vs_predicted(least, [subject], tolerance=tolerance),
+    }

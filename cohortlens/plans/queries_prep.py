@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators import describe, features, linear, neighbors, split
+from cohortlens.plans import flows
 from cohortlens.plans.standins import (
+    COLUMNS,
     DIRTY,
     FLAT,
     GUESSED,
@@ -22,6 +24,7 @@ from cohortlens.plans.standins import (
     round_all,
     rounded,
     table,
+    visits,
 )
 
 _TRAIN = f"{U('event_id', 42)} < 0.8"
@@ -420,3 +423,33 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     asked, reference = _sides(spark, sf)
     return round_all(neighbors.knn_regress(asked, reference, "label", 5, "vec_id", "vec_id", "embedding"))
+
+
+_TRAINED = (
+    "mom AS (SELECT avg(qty) AS m1, avg(discount) AS m2, avg(y) AS my, var_pop(qty) AS s11, var_pop(discount) AS s22, "
+    "covar_pop(qty, discount) AS s12, covar_pop(qty, y) AS s1y, covar_pop(discount, y) AS s2y FROM flat "
+    f"WHERE {U('key', 42)} < 0.8)"
+)
+_ERR = "avg((y - p) * (y - p))"
+
+
+@query(
+    "threshold_regression",
+    cte(FLAT, _TRAINED, _cramer()) + f", pred AS (SELECT CASE WHEN {U('key', 42)} < 0.8 THEN 'train' ELSE 'test' END AS part, y, "
+    f"my + b1 * (qty - m1) + b2 * (discount - m2) AS p FROM flat, beta) SELECT part, count(*) AS n, {R(f'sqrt({_ERR})')} AS rmse, "
+    f"{R(f'1 - {_ERR} / var_pop(y)')} AS r2, {R(f'1 - {_ERR} / var_pop(y) * (count(*) - 1) / (count(*) - 3)')} AS adj_r2 "
+    "FROM pred GROUP BY part",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    _, scores = flows.threshold_regression(flat(spark, sf), ["qty", "price", "discount", "tax"], "y", "key")
+    return round_all(scores.select("part", "n", "rmse", "r2", "adj_r2"))
+
+
+@query("change_regression")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return flows.change_regression(visits(spark, sf), COLUMNS[1:], COLUMNS[0])["metrics"]
+
+
+@query("change_regression_errors")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return flows.change_regression(visits(spark, sf), COLUMNS[1:], COLUMNS[0])["rows"]

@@ -247,3 +247,28 @@ def test_checkpoint_folder_is_set_once(spark):
 
     first = ensure_checkpoint_dir(spark)
     assert first and ensure_checkpoint_dir(spark) == first
+
+
+def test_change_regression(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        a0, b0 = rng.random(), rng.random()
+        a2, b2 = rng.random(), rng.random()
+        rows.append((i, "T0", a0, b0, 5.0))
+        rows.append((i, "T2", a2, b2, 5.0 + 3 * (a2 - a0) - (b2 - b0) + rng.gauss(0, 0.05)))
+    df = spark.createDataFrame(rows, "subject_id int, timepoint string, a double, b double, pain double")
+    out = flows.change_regression(df, ["a", "b"], "pain")
+    scores = {r.model: r.r2 for r in out["metrics"].collect()}
+    assert set(scores) == {"robust", "least squares"} and min(scores.values()) > 0.98
+    terms = {r.term: r.coef for r in out["coefficients"].collect()}
+    assert terms["a_Change"] == pytest.approx(3, abs=0.1) and terms["b_Change"] == pytest.approx(-1, abs=0.1)
+    assert out["within"].first().pct_within == 100.0 and out["error_corr"].count() == 2
+    with pytest.raises(ValueError):
+        flows.change_regression(df.where("subject_id < 5"), ["a"], "pain")
+
+
+def test_threshold_regression_without_signal(spark):
+    df = spark.range(300).withColumn("x", hash_uniform("id", 1)).withColumn("y", hash_uniform("id", 2))
+    with pytest.raises(ValueError):
+        flows.threshold_regression(df, ["x"], "y", "id", threshold=0.5)
