@@ -347,8 +347,9 @@ def _reweight(
     rows: DataFrame, features: Sequence[str], target: str, constant: bool, max_iter: int, tol: float
 ) -> RobustFit:
     names = list(features)
-    center = rows.agg(*[F.avg(as_col(c)).alias(f"m{i}") for i, c in enumerate([*names, target])]).first()
-    if center[0] is None:
+    means = [F.avg(as_col(c)).alias(f"m{i}") for i, c in enumerate([*names, target])]
+    total, *center = rows.agg(F.count(F.lit(1)), *means).first()
+    if not total:
         raise ValueError("no complete rows")
     # Centring needs the intercept to absorb it.
     shift = np.array(center, dtype=float) if constant else np.zeros(len(names) + 1)
@@ -364,7 +365,7 @@ def _reweight(
         return as_col(target) - LinearFit(tuple(names), tuple(slopes), intercept).predicted()
 
     def scale_of(r: Column) -> float:
-        return select_quantiles(rows, {"r": F.abs(r)}, 0.5).get("r", 0.0) / MAD_FACTOR
+        return select_quantiles(rows, {"r": F.abs(r)}, 0.5, rows=total)["r"] / MAD_FACTOR
 
     plain_gram, rhs, _ = _weighted_system(rows, names, target, None, constant, shift)
     slopes, intercept = solve(plain_gram, rhs)
@@ -389,16 +390,14 @@ def _reweight(
         inside = (F.abs(z) <= HUBER_T).cast("double")
         psi = F.greatest(F.least(z, F.lit(HUBER_T)), F.lit(-HUBER_T))
         a = rows.agg(
-            F.count(F.lit(1)).alias("n"),
             F.avg(inside).alias("m"),
             F.var_pop(inside).alias("v"),
             F.sum(psi * psi).alias("psi2"),
         ).first()
-        n = a.n
-        correction = 1 + k_params / n * a.v / a.m**2
-        factor = correction**2 * (a.psi2 / (n - k_params) * s * s) / a.m**2
+        correction = 1 + k_params / total * a.v / a.m**2
+        factor = correction**2 * (a.psi2 / (total - k_params) * s * s) / a.m**2
     else:
-        n, factor = rows.count(), 0.0
+        factor = 0.0
     inverse = np.linalg.pinv(plain_gram)
     if constant:
         # Undo the centring for the intercept's variance.
@@ -416,7 +415,7 @@ def _reweight(
         standard_errors=tuple(float(e) for e in errors),
         scale=float(s),
         iterations=iterations,
-        n=int(n),
+        n=int(total),
     )
 
 

@@ -159,6 +159,7 @@ def select_quantiles(
     p: float,
     accuracy: int = 10_000,
     keep: int | None = None,
+    rows: int | None = None,
 ) -> dict[str, float]:
     """One exact quantile of each expression without shuffling its values.
 
@@ -166,12 +167,16 @@ def select_quantiles(
     the bracket is sure to hold few values, the next pass counts those and what lies below.
     Larger ones are counted and sketched again, shrinking about a thousandfold per round.
     At most about ``keep`` distinct values per column reach the driver. Columns without a
-    value are left out of the result.
+    value are left out of the result. A table known to have at most ``keep`` ``rows`` is read
+    in one job.
     """
     if keep is None:
         keep = max(1_000, 20 * SMALL_TABLE_ROWS // max(1, len(columns)))
     names = {f"q{i}": name for i, name in enumerate(columns)}
     values = df.select(*[c.cast("double").alias(a) for a, c in zip(names, columns.values())])
+    if rows is not None and rows <= keep:
+        local = {a: v.dropna().to_numpy() for a, v in values.toPandas().items()}
+        return {names[a]: float(np.quantile(v, p)) for a, v in local.items() if len(v)}
 
     def sketch(alias: str, lo: float, hi: float) -> Column:
         cut = F.percentile_approx(alias, [max(0.0, lo), min(1.0, hi)], accuracy)
@@ -238,17 +243,17 @@ def select_quantiles(
             .agg(F.count(F.lit(1)).alias("n"))
         )
         limit = (keep + 1) * len(ready)
-        rows = counts.limit(limit + 1).toPandas()
-        if len(rows) <= limit:
-            for a, found in rows.groupby("measure"):
+        near = counts.limit(limit + 1).toPandas()
+        if len(near) <= limit:
+            for a, found in near.groupby("measure"):
                 picked = targets[a].pick(found.sort_values("value"))
                 result |= {} if picked is None else {a: picked}
     missed = [a for a in targets if a not in result]
     if missed:
         # A sketch that misled, or values it cannot separate: rank them all.
         tall = long_measures(values, missed)
-        rows = group_quantiles(tall, "value", ["measure"], {"q": p}, few_groups=True).collect()
-        result |= {r.measure: float(r.q) for r in rows}
+        ranked = group_quantiles(tall, "value", ["measure"], {"q": p}, few_groups=True).collect()
+        result |= {r.measure: float(r.q) for r in ranked}
     return {names[a]: v for a, v in result.items()}
 
 
