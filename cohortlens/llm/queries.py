@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import queries_chat
+from cohortlens.llm import queries_chat, queries_search
 
-_MODULES = (queries_chat,)
+_MODULES = (queries_chat, queries_search)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
