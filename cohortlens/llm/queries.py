@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import queries_chat, queries_pages, queries_search, queries_vectors
+from cohortlens.llm import queries_chat, queries_pages, queries_search, queries_texts, queries_vectors
 
-_MODULES = (queries_chat, queries_pages, queries_search, queries_vectors)
+_MODULES = (queries_chat, queries_pages, queries_search, queries_texts, queries_vectors)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
