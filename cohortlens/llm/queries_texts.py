@@ -1,11 +1,13 @@
-"""Registered queries over documents: packing."""
+"""Registered queries over documents: packing and near-duplicates."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.llm.packing import pack_documents
+from cohortlens.llm.simhash import simhash_components
 from cohortlens.llm.store import table
 
 
@@ -13,5 +15,11 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_pack": op3_pack}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    shown = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op3_pack": op3_pack, "op6_simhash": op6_simhash}
 ORACLES: dict[str, str] = {}
