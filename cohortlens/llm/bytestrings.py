@@ -55,6 +55,11 @@ class Rolling:
         self._powers(len(prefix))
         return mix((prefix[end] - prefix[start]) * self._down[start])
 
+    def every(self, prefix: np.ndarray, width: int) -> np.ndarray:
+        """The hash of the substring of `width` symbols at each position."""
+        count = len(prefix) - width
+        return mix((prefix[width:] - prefix[:count]) * self._down[:count])
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32

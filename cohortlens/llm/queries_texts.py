@@ -1,4 +1,4 @@
-"""Registered queries over documents: packing and near-duplicates."""
+"""Registered queries over documents: packing, near-duplicates and repeated strings."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.packing import pack_documents
 from cohortlens.llm.simhash import simhash_components
 from cohortlens.llm.store import table
+from cohortlens.llm.suffixes import remove_repeats
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +22,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_pack": op3_pack, "op6_simhash": op6_simhash}
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {"op3_pack": op3_pack, "op6_simhash": op6_simhash, "op8_repeats": op8_repeats}
 ORACLES: dict[str, str] = {}
