@@ -1,4 +1,4 @@
-"""Registered queries over documents: packing, near-duplicates and repeated strings."""
+"""Registered queries over documents: packing, near-duplicates, quality and repeated strings."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.packing import pack_documents
+from cohortlens.llm.quality import in_fold, score_quality, train_quality
 from cohortlens.llm.simhash import simhash_components
 from cohortlens.llm.store import table
 from cohortlens.llm.suffixes import remove_repeats
@@ -22,10 +23,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+# Documents that score less are rejected.
+QUALITY_THRESHOLD = 0.3
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality(docs, table(spark, sf_dir, "labels"), "quality")
+    scored = score_quality(docs, model, keep=["doc_id"])
+    predicted = (F.col("score") >= QUALITY_THRESHOLD).cast("int")
+    return scored.select("doc_id", in_fold("doc_id").alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {"op3_pack": op3_pack, "op6_simhash": op6_simhash, "op8_repeats": op8_repeats}
+QUERIES = {"op3_pack": op3_pack, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_repeats": op8_repeats}
 ORACLES: dict[str, str] = {}
