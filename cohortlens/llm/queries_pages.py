@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortlens.llm.html_text import extract_text, learn_weights
 from cohortlens.llm.store import table
 from cohortlens.llm.urls import filter_urls, labelled_table, train
 
@@ -23,5 +25,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {"op2_url_filter": op2_url_filter}
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = extract_text(pages, learn_weights(pages), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+QUERIES = {"op2_url_filter": op2_url_filter, "op5_main_text": op5_main_text}
 ORACLES: dict[str, str] = {}
