@@ -26,7 +26,7 @@ SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
 SEED = 42
 # Fingerprints a shard is built for, and how many sampled ones stand for a shard.
-SHARD, SAMPLED = 8192, 64
+SHARD, SAMPLED = 32_768, 64
 _LEAF = 256
 _BLOCK = 4096
 
