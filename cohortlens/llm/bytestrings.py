@@ -13,7 +13,7 @@ from cohortlens.shipping import ship_package
 
 # Texts are taken in runs of about this many bytes, which bounds the arrays derived from them.
 # A longer single text is a run of its own.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 
 _U = np.uint64
 _MIXER = _U(0xD6E8FEB86659FD93)
