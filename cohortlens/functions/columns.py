@@ -19,9 +19,15 @@ def numeric_or_null(c: str | Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def is_missing(c: str, kind: str) -> Column:
+    """Whether a column of the given type is null or NaN."""
+    x = as_col(c)
+    return x.isNull() | F.isnan(x) if kind in ("float", "double") else x.isNull()
+
+
 def truncate_to_int(c: str | Column) -> Column:
-    """Integer part, rounding toward zero."""
-    return as_col(c).cast("int")
+    """Integer part, rounding toward zero; null for text that is no number and beyond 32 bits."""
+    return as_col(c).try_cast("double").try_cast("int")
 
 
 def map_values(c: str | Column, mapping: Mapping[str, object]) -> Column:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.columns import as_col, hash_uniform, map_values, numeric_or_null
-from cohortlens.session import SMALL_TABLE_ROWS
+from cohortlens.functions.columns import as_col, hash_uniform, is_missing, map_values, numeric_or_null
 
 
 def select_existing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
@@ -59,11 +58,12 @@ def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFram
 
 
 def null_fractions(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows ``(feature, n_rows, n_null, null_fraction)`` from one aggregate pass."""
+    """Rows ``(feature, n_rows, n_null, null_fraction)`` from one aggregate pass; NaN counts as null."""
     names = list(columns or df.columns)
+    kinds = dict(df.dtypes)
     agg = df.agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.count_if(as_col(c).isNull()).alias(f"__n{i}") for i, c in enumerate(names)],
+        *[F.count_if(is_missing(c, kinds[c])).alias(f"__n{i}") for i, c in enumerate(names)],
     )
     entries = [
         F.struct(
@@ -99,25 +99,19 @@ def class_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def drop_rare_classes(df: DataFrame, column: str, min_count: int = 2) -> DataFrame:
-    """Remove rows of classes with fewer than ``min_count`` rows.
+    """Remove rows of known classes with fewer than ``min_count`` rows; rows without a class stay.
 
-    Few rare classes become a literal filter next to the scan. Past that bound the
-    class table is joined by shuffle, so nothing unbounded is broadcast.
+    One anti join, whatever the number of classes; nothing is collected.
     """
     rare = class_counts(df.where(as_col(column).isNotNull()), column).where(F.col("n") < min_count)
-    listed = rare.select(column).limit(SMALL_TABLE_ROWS + 1).collect()
-    if not listed:
-        return df
-    if len(listed) <= SMALL_TABLE_ROWS:
-        return df.where(~as_col(column).isin([r[0] for r in listed]))
-    return df.join(rare.select(column), column, "left_anti")
+    return df.join(rare.select(as_col(column)), column, "left_anti")
 
 
 def exclude_keys(df: DataFrame, keys: DataFrame | Sequence[object], column: str) -> DataFrame:
-    """Rows whose key is not listed: a literal filter, or an anti join."""
+    """Rows whose key is not listed: a literal filter, or an anti join. Rows without a key stay."""
     if isinstance(keys, DataFrame):
-        return df.join(keys.select(column), column, "left_anti")
-    return df.where(~as_col(column).isin(list(keys)))
+        return df.join(keys.select(as_col(column)), column, "left_anti")
+    return df.where(~F.coalesce(as_col(column).isin([k for k in keys if k is not None]), F.lit(False)))
 
 
 def lookup_rows(df: DataFrame, keys: DataFrame | Sequence[object], column: str) -> DataFrame:

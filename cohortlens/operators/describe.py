@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col, numeric_or_null
+from cohortlens.operators.linear import vector_sums
 from cohortlens.operators.ranks import group_quantiles, long_measures
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -119,19 +118,40 @@ def error_vs_feature(df: DataFrame, features: Sequence[str], actual: str, predic
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise Pearson matrix over complete rows, as (feature, other, corr) rows.
+    """Pearson matrix as (feature, other, corr) rows, each pair over the rows that know both.
 
-    ``Correlation`` sums the outer products by tree aggregation on the executors; a
-    constant column gives null.
+    One aggregate of sums over pairs, whatever the number of columns; values are shifted by
+    their column's mean first. A pair of which one side is constant gives null.
     """
-    data = df.select(*[numeric_or_null(c).alias(c) for c in columns]).dropna()
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(data)
-    matrix = Correlation.corr(assembled.select("__v"), "__v").first()[0].toArray()
-    rows = [
-        (a, b, None if (v := float(matrix[i, j])) != v else v)
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
+    p = len(columns)
+    data = df.select(*[numeric_or_null(c).alias(c) for c in columns])
+    centre = data.agg(*[F.avg(as_col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    shifted = F.array(*[as_col(c) - F.lit(float(centre[i] or 0.0)) for i, c in enumerate(columns)])
+    known = F.transform("__x", lambda v: v.isNotNull().cast("double"))
+    filled = F.transform("__x", lambda v: F.coalesce(v, F.lit(0.0)))
+
+    def pairs(a: str, b: str) -> Column:
+        return F.flatten(F.transform(a, lambda v: F.transform(b, lambda w: v * w)))
+
+    prepared = data.select(shifted.alias("__x")).select(known.alias("k"), filled.alias("x"))
+    prepared = prepared.withColumn("xx", F.transform("x", lambda v: v * v))
+    # Per ordered pair (i, j): count, sum of x_i, sum of x_i squared, sum of x_i x_j.
+    sums = vector_sums(prepared, F.concat(pairs("k", "k"), pairs("x", "k"), pairs("xx", "k"), pairs("x", "x")))
+    rows = []
+    if sums is not None:
+        n, s, ss, sp = sums.reshape(4, p, p)
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns):
+            value = None
+            if sums is not None and n[i, j] > 0:
+                mean_a, mean_b = s[i, j] / n[i, j], s[j, i] / n[i, j]
+                var_a, var_b = ss[i, j] / n[i, j] - mean_a**2, ss[j, i] / n[i, j] - mean_b**2
+                # Squares of shifted values lose what is small against the column's level.
+                floor_a, floor_b = (1e-13 * (ss[q] / n[i, j] + (centre[c] or 0.0) ** 2) for q, c in (((i, j), i), ((j, i), j)))
+                if var_a > floor_a and var_b > floor_b:
+                    cov = sp[i, j] / n[i, j] - mean_a * mean_b
+                    value = float(max(-1.0, min(1.0, cov / (var_a * var_b) ** 0.5)))
+            rows.append((a, b, value))
     return df.sparkSession.createDataFrame(rows, "feature string, other string, corr double")
 
 

@@ -25,7 +25,6 @@ from cohortlens.operators.ranks import select_quantiles
 
 # One-hot output column of a categorical input; stripped again in feature names.
 ONE_HOT_SUFFIX = "__onehot"
-MAX_LEVELS = 100_000
 
 
 def sql_literal(value: object) -> str:
@@ -89,26 +88,17 @@ def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return {r.feature: r.mode for r in best.collect()}
 
 
-def fit_level_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
-    """Row count of every level of every column, levels sorted.
+def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted category list of every column.
 
-    A level list too long to be a set of model columns is an error: such a column is an
-    identifier and not a category.
+    The lists become model columns, so they are read to the driver as they are, one level
+    at a time; they have no limit.
     """
-    out: dict[str, dict[str, int]] = {c: {} for c in columns}
-    if not columns:
-        return out
-    rows = level_counts(df, columns).limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels in {list(columns)}")
-    for r in sorted(rows, key=lambda r: r.level):
-        out[r.feature][r.level] = r.n
-    return out
-
-
-def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted category list of every column."""
-    return {c: list(counts) for c, counts in fit_level_counts(df, columns).items()}
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    if columns:
+        for r in level_counts(df, columns).select("feature", "level").toLocalIterator():
+            out[r.feature].append(r.level)
+    return {c: sorted(levels) for c, levels in out.items()}
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], exact: bool = True) -> Transformer:
@@ -249,9 +239,8 @@ class Preprocessor(Estimator):
     def _fit_inputs(self, dataset: DataFrame) -> PipelineModel:
         medians = fit_medians(dataset, self.numeric, self.exact)
         moments = fit_moments(dataset, list(medians)) if self.scale and medians else {}
-        levels = fit_level_counts(dataset, self.categorical)
-        # The levels are sorted, so the first of the most frequent is the smallest.
-        modes = {c: max(n, key=n.get) for c, n in levels.items() if n}
+        levels = fit_levels(dataset, self.categorical)
+        modes = fit_modes(dataset, self.categorical)
         exprs = {}
         for c, median in medians.items():
             expr = f"coalesce({numeric_sql(c)}, {sql_literal(median)})"

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +22,13 @@ from cohortlens.functions.columns import as_col, numeric_or_null
 from cohortlens.functions.tails import f_sf, normal_two_sided, t_quantile, t_two_sided
 from cohortlens.operators.ranks import select_quantiles
 
-# Above this many columns the moments are summed as vectors, not as SQL aggregates.
-SQL_MOMENT_COLUMNS = 24
-
 # Huber's tuning constant and the normal-consistency factor of the
 # median absolute deviation.
 HUBER_T = 1.345
 MAD_FACTOR = 0.6744897501960817
 
+_ROUNDING = 1e-10  # shares of a variance below this are rounding
+
 
 @dataclass(frozen=True)
 class Moments:
@@ -58,32 +58,45 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[numeric_or_null(c).alias(c) for c in columns]).dropna()
 
 
+def vector_sums(rows: DataFrame, values: Column) -> np.ndarray | None:
+    """Sum of an array column, element by element, in one map-side-combined aggregate; None without rows."""
+    vectors = rows.select(array_to_vector(values).alias("__v"))
+    # The summary cannot be of no rows, a group without rows is none.
+    found = vectors.groupBy(F.lit(1)).agg(Summarizer.sum(F.col("__v")).alias("s")).first()
+    return None if found is None else found.s.toArray()
+
+
+def products(x: Column, size: int) -> Column:
+    """All products ``x[i] * x[j]``, i <= j, of an array of known size, row by row."""
+    def row(v: Column, i: Column) -> Column:
+        return F.transform(F.slice(x, i + 1, F.lit(size) - i), lambda w: v * w)
+
+    return F.flatten(F.transform(x, row))
+
+
+def symmetric(upper: np.ndarray, size: int) -> np.ndarray:
+    out = np.empty((size, size))
+    out[np.triu_indices(size)] = upper
+    return np.triu(out) + np.triu(out, 1).T
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
-    """Count, means and population covariances over complete rows, in one pass."""
+    """Count, means and population covariances over complete rows.
+
+    Two aggregates for any number of columns: the means, then the sums of all products of
+    centred values as one vector.
+    """
     rows = complete_rows(df, columns)
     p = len(columns)
-    if p <= SQL_MOMENT_COLUMNS:
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        r = rows.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.avg(as_col(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-            *[F.covar_pop(as_col(columns[i]), as_col(columns[j])).alias(f"c{i}_{j}") for i, j in pairs],
-        ).first()
-        if not r.n:
-            raise ValueError("no complete rows")
-        cov = np.empty((p, p))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
-        return Moments(r.n, np.array([r[f"m{i}"] for i in range(p)]), cov)
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(rows)
-    s = vectors.select(
-        Summarizer.metrics("count", "mean", "std").summary(F.col("__v")).alias("s")
-    ).first().s
-    corr = np.nan_to_num(Correlation.corr(vectors.select("__v"), "__v").first()[0].toArray())
-    n = s["count"]
-    sd = s["std"].toArray() * math.sqrt((n - 1) / n)
-    np.fill_diagonal(corr, 1.0)
-    return Moments(n, s["mean"].toArray(), corr * np.outer(sd, sd))
+    first = vector_sums(rows, F.array(F.lit(1.0), *[as_col(c) for c in columns]))
+    if first is None:
+        raise ValueError("no complete rows")
+    n, mean = first[0], first[1:] / first[0]
+    centred = F.array(*[as_col(c) - F.lit(float(m)) for c, m in zip(columns, mean)])
+    sums = vector_sums(rows.select(centred.alias("__x")), F.concat(F.col("__x"), products(F.col("__x"), p)))
+    # What rounding left of the means is taken out again.
+    off = sums[:p] / n
+    return Moments(int(n), mean + off, symmetric(sums[p:], p) / n - np.outer(off, off))
 
 
 def _solve(m: Moments, names: Sequence[str], ridge: float = 0.0) -> LinearFit:
@@ -324,23 +337,16 @@ def _weighted_system(
     if constant:
         xs = [F.lit(1.0), *xs]
     y = as_col(target) - F.lit(float(shift[-1]))
-    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
-    weighted = rows.withColumns(
-        {
-            "__w": F.lit(1.0) if z is None else _huber_weight(z),
-            "__rho": F.lit(0.0) if z is None else _huber_loss(z),
-        }
+    size = len(xs) + 1
+    weighted = rows.select(
+        (F.lit(1.0) if z is None else _huber_weight(z)).alias("__w"),
+        (F.lit(0.0) if z is None else _huber_loss(z)).alias("__rho"),
+        F.array(*xs, y).alias("__x"),
     )
-    w = F.col("__w")
-    r = weighted.agg(
-        *[F.sum(w * xs[i] * xs[j]).alias(f"g{i}_{j}") for i, j in pairs],
-        *[F.sum(w * x * y).alias(f"y{i}") for i, x in enumerate(xs)],
-        F.sum("__rho").alias("loss"),
-    ).first()
-    gram = np.empty((len(xs), len(xs)))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = r[f"g{i}_{j}"]
-    return gram, np.array([r[f"y{i}"] for i in range(len(xs))]), r["loss"]
+    scaled = F.transform(products(F.col("__x"), size), lambda v: v * F.col("__w"))
+    sums = vector_sums(weighted, F.concat(F.array("__rho"), scaled))
+    system = symmetric(sums[1:], size)
+    return system[:-1, :-1], system[:-1, -1], float(sums[0])
 
 
 def _reweight(
@@ -365,7 +371,7 @@ def _reweight(
         return as_col(target) - LinearFit(tuple(names), tuple(slopes), intercept).predicted()
 
     def scale_of(r: Column) -> float:
-        return select_quantiles(rows, {"r": F.abs(r)}, 0.5, rows=total)["r"] / MAD_FACTOR
+        return select_quantiles(rows, {"r": F.abs(r)}, 0.5)["r"] / MAD_FACTOR
 
     plain_gram, rhs, _ = _weighted_system(rows, names, target, None, constant, shift)
     slopes, intercept = solve(plain_gram, rhs)
@@ -420,16 +426,25 @@ def _reweight(
 
 
 def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Variance inflation factor of every feature: the diagonal of the inverse correlation matrix."""
+    """Variance inflation factor ``1 / (1 - R2)`` of every feature on the others.
+
+    Infinite where the others determine the feature, null where it is constant (a constant
+    feature explains nothing, so it is left out for the others).
+    """
     m = moments(df, features)
-    sd = np.sqrt(np.diag(m.cov))
-    corr = m.cov / np.outer(sd, sd)
-    values = np.diag(np.linalg.pinv(corr))
-    return (
-        df.sparkSession.createDataFrame(
-            [(c, float(v)) for c, v in zip(features, values)], "feature string, vif double"
-        )
-        .orderBy(F.desc("vif"), "feature")
+    variance = np.diag(m.cov)
+    varies = [i for i, c in enumerate(features) if variance[i] > _ROUNDING * (variance[i] + m.mean[i] ** 2)]
+    sd = np.sqrt(variance[varies])
+    corr = m.cov[np.ix_(varies, varies)] / np.outer(sd, sd)
+    values: list[float | None] = [None] * len(features)
+    for at, i in enumerate(varies):
+        others = np.delete(np.arange(len(varies)), at)
+        own, among = corr[others, at], corr[np.ix_(others, others)]
+        # Directions among the others that rounding alone keeps from being collinear do not count.
+        explained = float(own @ np.linalg.pinv(among, rcond=_ROUNDING, hermitian=True) @ own)
+        values[i] = math.inf if 1 - explained < _ROUNDING else 1 / (1 - explained)
+    return df.sparkSession.createDataFrame(list(zip(features, values)), "feature string, vif double").orderBy(
+        F.desc_nulls_last("vif"), "feature"
     )
 
 

@@ -1,49 +1,78 @@
 """Exact k nearest neighbours.
 
-A reference set of checked size is shipped to every task and searched block by
-block. A larger one is cut into cells around pivot rows; triangle-inequality bounds
-send each query only to cells that can hold one of its neighbours. Both return the
-same rows: nothing is capped or approximated.
+The reference rows are cut into cells around pivot rows. Every query first searches the
+cells nearest to it that hold enough rows, which gives a tight radius; by the triangle
+inequality only cells that reach into that radius can hold a nearer row, and the query goes
+to those in a second search. Nothing is capped or approximated, whatever the size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.columns import as_col, hash_uniform
+from cohortlens.functions.columns import as_col
+from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.shipping import ship_package
 
 DIGITS = 6  # distances are compared after rounding, so ties break on the key
-BROADCAST_CELLS = 8_000_000  # rows x dimensions of a reference set sent to every task
-CHUNK_ROWS = 100_000  # reference or query rows of one cell handled by one task
-BLOCK_CELLS = 4_000_000  # doubles in one distance block
+MAX_PIVOTS = 1024
+CHUNK_ROWS = 50_000  # reference or query rows of one cell handled by one task
+BLOCK_CELLS = 2_000_000  # doubles in one distance block
+_SLACK = 2 * 10.0**-DIGITS
+
+
+def _pair_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows a[i], b[i]."""
+    if metric == "manhattan":
+        return np.abs(a - b).sum(axis=1)
+    return np.sqrt(((a - b) ** 2).sum(axis=1))
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """All distances between two small sets of rows; euclidean ones are good to about 1e-7 of the norms."""
     if metric == "manhattan":
-        return np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2)
-    diff = a[:, None, :] - b[None, :, :]
-    return np.sqrt((diff * diff).sum(axis=2))
+        out = np.zeros((len(a), len(b)))
+        for i in range(a.shape[1]):
+            out += np.abs(a[:, i, None] - b[None, :, i])
+        return out
+    square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _doubt(a: np.ndarray, b: np.ndarray) -> float:
+    """How far `_distances` may be off."""
+    return 1e-7 * float(np.sqrt(max((a * a).sum(axis=1).max(initial=0), (b * b).sum(axis=1).max(initial=0)))) + _SLACK
 
 
 def _nearest(
-    queries: np.ndarray, refs: np.ndarray, keys: np.ndarray, k: int, metric: str
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For every query row: indices and rounded distances of its k nearest, key order on ties."""
-    step = max(1, BLOCK_CELLS // max(1, refs.size))
+    queries: np.ndarray, refs: np.ndarray, keys: np.ndarray, k: int, metric: str, radius: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query numbers, reference numbers and rounded distances of the k nearest within each radius.
+
+    Candidates come from one matrix product per block; only they get exact distances. Equal
+    distances go to the smaller key.
+    """
+    step = max(1, BLOCK_CELLS // max(1, len(refs)))
     for start in range(0, len(queries), step):
-        d = np.round(_distances(queries[start : start + step], refs, metric), DIGITS)
-        for i, row in enumerate(d):
-            if len(row) > k:
-                near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-            else:
-                near = np.arange(len(row))
-            near = near[np.lexsort((keys[near], row[near]))][:k]
-            yield start + i, near, row[near]
+        some = queries[start : start + step]
+        rough, doubt = _distances(some, refs, metric), _doubt(some, refs)
+        limit = radius[start : start + step]
+        if len(refs) > k:
+            limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + doubt)
+        row, column = np.nonzero(rough <= (limit + doubt)[:, None])
+        exact = np.round(_pair_distances(some[row], refs[column], metric), DIGITS)
+        order = np.lexsort((keys[column], exact, row))
+        row, column, exact = row[order], column[order], exact[order]
+        first = np.searchsorted(row, np.arange(len(some)))
+        keep = np.arange(len(row)) - first[row] < k
+        yield start + row[keep], column[keep], exact[keep]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -51,10 +80,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _narrow(df: DataFrame, key: str, vector: str, payload: str | None = None) -> DataFrame:
-    cols = [as_col(key).cast("long").alias("key"), as_col(vector).cast("array<double>").alias("vec")]
+    """Key, vector as array and payload of the rows that have a key and a vector."""
+    array = vector_to_array(as_col(vector)) if dict(df.dtypes)[vector] == "vector" else as_col(vector).cast("array<double>")
+    cols = [as_col(key).alias("key"), array.alias("vec")]
     if payload is not None:
         cols.append(as_col(payload).alias("payload"))
-    return df.select(*cols)
+    return df.select(*cols).where(F.col("key").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull()))
 
 
 def knn_join(
@@ -67,29 +98,23 @@ def knn_join(
     payload: str | None = None,
     metric: str = "euclidean",
     exclude_self: bool = False,
-    broadcast_cells: int = BROADCAST_CELLS,
-    pivots: int = 64,
-    seed: object = 42,
+    pivots: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The k nearest reference rows of every query: ``query_key, neighbor, distance, rank, payload``.
 
-    Keys are integers, vectors arrays. Distances are rounded to six digits and ordered by
-    (distance, neighbour key). ``exclude_self`` skips the reference row with the query's own key.
+    Keys are numbers or texts and identify a row; vectors are arrays or ML vectors of one length.
+    Rows without a key or with a missing vector take no part. Distances are rounded to six digits
+    and ordered by (distance, neighbour key). ``exclude_self`` skips the reference row with
+    the query's own key. About the square root of the reference rows serve as pivots.
     """
     metric = "euclidean" if metric == "minkowski" else metric
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(f"unknown metric {metric!r}")
+    ship_package(queries.sparkSession)
     refs = _narrow(reference, reference_key, vector, payload)
     asked = _narrow(queries, query_key, vector)
-    size = refs.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")
-    ).first()
-    want = k + int(exclude_self)
-    if (size.n or 0) * (size.dim or 0) <= broadcast_cells:
-        found = _search_broadcast(asked, refs.select("key", "vec"), want, metric)
-    else:
-        found = _search_cells(asked, refs.select("key", "vec"), want, metric, pivots, seed, chunk_rows)
+    found = _search(asked, refs.select("key", "vec"), k + int(exclude_self), metric, pivots, chunk_rows)
     if exclude_self:
         found = found.where(F.col("query") != F.col("neighbor"))
     order = Window.partitionBy("query").orderBy("distance", "neighbor")
@@ -102,131 +127,95 @@ def knn_join(
     )
 
 
-def _search_broadcast(asked: DataFrame, refs: DataFrame, k: int, metric: str) -> DataFrame:
-    local = refs.toPandas()  # size checked by the caller
-    ref_keys, ref_vecs = local["key"].to_numpy(), _matrix(local["vec"])
-    shipped = asked.sparkSession.sparkContext.broadcast((ref_keys, ref_vecs))
+def _search(
+    asked: DataFrame, refs: DataFrame, k: int, metric: str, pivots: int | None, chunk_rows: int
+) -> DataFrame:
+    """At least the k nearest references of every query, as (query, neighbor, distance)."""
+    ensure_checkpoint_dir(refs.sparkSession)
+    kinds = dict(refs.dtypes)["key"], dict(asked.dtypes)["key"]
+    result = f"query {kinds[1]}, neighbor {kinds[0]}, distance double"
+    rows = refs.count()
+    if not rows:
+        return refs.sparkSession.createDataFrame([], result)
+    wanted = pivots or max(1, min(MAX_PIVOTS, math.isqrt(rows)))
+    # A hash of the key picks the pivots, so the cells are the same on every run.
+    centers = np.unique(_matrix(refs.orderBy(F.xxhash64("key"), "key").limit(wanted).toPandas()["vec"]), axis=0)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, vecs = shipped.value
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch) and len(keys):
-                yield _result_frame(batch["key"].to_numpy(), _matrix(batch["vec"]), keys, vecs, k, metric)
-
-    return asked.mapInPandas(search, "query long, neighbor long, distance double")
-
-
-def _result_frame(
-    query_keys: np.ndarray, query_vecs: np.ndarray, keys: np.ndarray, vecs: np.ndarray, k: int, metric: str
-) -> pd.DataFrame:
-    q, n, d = [], [], []
-    for i, near, distance in _nearest(query_vecs, vecs, keys, k, metric):
-        q.append(np.full(len(near), query_keys[i]))
-        n.append(keys[near])
-        d.append(distance)
-    return pd.DataFrame(
-        {"query": np.concatenate(q), "neighbor": np.concatenate(n), "distance": np.concatenate(d)}
-    )
-
+            if len(batch):
+                vecs = _matrix(batch["vec"])
+                cell = _distances(vecs, centers, metric).argmin(axis=1)
+                yield batch.assign(cell=cell.astype("int32"), to_center=_pair_distances(vecs, centers[cell], metric))
+
+    placed = refs.mapInPandas(assign, f"key {kinds[0]}, vec array<double>, cell int, to_center double").checkpoint()
+    asked = asked.checkpoint()
+    sizes = np.zeros(len(centers), np.int64)
+    lo, hi = np.full(len(centers), np.inf), np.full(len(centers), -np.inf)
+    reach = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("to_center").alias("lo"), F.max("to_center").alias("hi"))
+    for r in reach.collect():
+        sizes[r.cell], lo[r.cell], hi[r.cell] = r.n, r.lo, r.hi
+
+    def to_cells(vecs: np.ndarray, keys: np.ndarray, radius: np.ndarray | None) -> Iterator[pd.DataFrame]:
+        """The cells at home (nearest ones with k rows together), or all others within the radius."""
+        d = _distances(vecs, centers, metric)
+        order = np.argsort(np.where(sizes > 0, d, np.inf), axis=1)
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        home = np.zeros(d.shape, bool)
+        np.put_along_axis(home, order, (before < k) & (sizes[order] > 0), axis=1)
+        if radius is None:
+            row, col = np.nonzero(home)
+        else:
+            doubt = _doubt(vecs, centers)
+            lower = np.maximum(0.0, np.maximum(d - hi, lo - d))
+            row, col = np.nonzero(~home & (sizes > 0) & (lower <= radius[:, None] + 2 * doubt))
+        bound = np.full(len(row), np.inf) if radius is None else radius[row]
+        if len(row):
+            yield pd.DataFrame({"key": keys[row], "vec": list(vecs[row]), "cell": col.astype("int32"), "radius": bound})
 
-def _search_cells(
-    asked: DataFrame, refs: DataFrame, k: int, metric: str, pivots: int, seed: object, chunk_rows: int
-) -> DataFrame:
-    """Cell search: assign references to pivots, bound each query, search surviving cells.
+    routed = f"key {kinds[1]}, vec array<double>, cell int, radius double"
 
-    Cells and query groups are cut into chunks of bounded size, so a cell that holds
-    most of the rows is spread over many tasks.
-    """
-    centers = _matrix(
-        refs.orderBy(hash_uniform("key", seed), "key").limit(pivots).toPandas()["vec"]
-    )
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def go_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _distances(_matrix(batch["vec"]), centers, metric)
-                cell = d.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), to_center=d[np.arange(len(d)), cell])
-
-    placed = refs.mapInPandas(assign, "key long, vec array<double>, cell int, to_center double")
-    # Per cell: size, reach and the distances of its k rows nearest to the pivot.
-    nearest_first = Window.partitionBy("cell").orderBy("to_center", "key")
-    reach = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("to_center").alias("lo"), F.max("to_center").alias("hi")
-    )
-    inner = (
-        placed.select("cell", "to_center", "key")
-        .withColumn("r", F.row_number().over(nearest_first))
-        .where(F.col("r") <= k)
-        .groupBy("cell")
-        .agg(F.array_sort(F.collect_list("to_center")).alias("inner"))
-    )
-    cells = {r.cell: r for r in reach.join(inner, "cell").collect()}
-    used = sorted(cells)
-    lo = np.array([cells[c].lo for c in used])
-    hi = np.array([cells[c].hi for c in used])
-    depth = np.full((len(used), k), np.inf)
-    for i, c in enumerate(used):
-        depth[i, : len(cells[c].inner)] = cells[c].inner
-    used_ids = np.array(used, dtype="int32")
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                yield from to_cells(_matrix(batch["vec"]), batch["key"].to_numpy(), None)
+
+    def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            d = _distances(_matrix(batch["vec"]), centers, metric)[:, used_ids]
-            # k rows are certainly within this radius of the query.
-            upper = (d[:, :, None] + depth[None, :, :]).reshape(len(d), -1)
-            radius = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else upper.max(axis=1)
-            lower = np.maximum(0.0, np.maximum(d - hi, lo - d))
-            row, col = np.nonzero(lower <= radius[:, None] + 10.0**-DIGITS)
-            yield pd.DataFrame(
-                {
-                    "key": batch["key"].to_numpy()[row],
-                    "vec": batch["vec"].to_numpy()[row],
-                    "cell": used_ids[col],
-                }
-            )
-
-    routed = asked.mapInPandas(route, "key long, vec array<double>, cell int")
-    load = {r.cell: r["count"] for r in routed.groupBy("cell").count().collect()}
-
-    def pieces(count: dict[int, int]) -> Column:
-        """Chunks needed per cell, as a lookup by cell (one entry per pivot)."""
-        entries = [x for c in used for x in (F.lit(c), F.lit(-(-count.get(c, 0) // chunk_rows)))]
-        return F.greatest(F.create_map(*entries)[F.col("cell")], F.lit(1))
-
-    # A task gets one chunk of a cell's references and one split of the queries sent there.
-    chunks, splits = pieces({c: cells[c].n for c in used}), pieces(load)
-
-    def part(n: Column) -> Column:
-        return F.pmod(F.xxhash64("key"), n).cast("int")
-
-    def copies(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
-
-    ref_side = placed.select(
-        "key", "vec", "cell", part(chunks).alias("chunk"), copies(splits).alias("split")
-    )
-    query_side = routed.select(
-        "key", "vec", "cell", copies(chunks).alias("chunk"), part(splits).alias("split")
-    )
+            if len(batch):
+                yield from to_cells(_matrix(batch["vec"]), batch["key"].to_numpy(), batch["radius"].fillna(np.inf).to_numpy())
 
     def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query": [], "neighbor": [], "distance": []}).astype(
-                {"query": "int64", "neighbor": "int64", "distance": "float64"}
-            )
-        return _result_frame(
-            q["key"].to_numpy(), _matrix(q["vec"]), r["key"].to_numpy(), _matrix(r["vec"]), k, metric
-        )
-
-    group = ["cell", "chunk", "split"]
-    return (
-        query_side.groupBy(*group)
-        .cogroup(ref_side.groupBy(*group))
-        .applyInPandas(search, "query long, neighbor long, distance double")
-    )
+        out = []
+        if len(q) and len(r):
+            q_keys, keys = q["key"].to_numpy(), r["key"].to_numpy()
+            for i, j, d in _nearest(_matrix(q["vec"]), _matrix(r["vec"]), keys, k, metric, q["radius"].to_numpy()):
+                out.append(pd.DataFrame({"query": q_keys[i], "neighbor": keys[j], "distance": d}))
+        return pd.concat(out) if out else pd.DataFrame({"query": q["key"][:0], "neighbor": r["key"][:0], "distance": np.zeros(0)})
+
+    def searched(sent: DataFrame) -> DataFrame:
+        """Search every (query, cell) pair; large cells and their queries are cut into chunks."""
+        sent = sent.checkpoint()
+        load = {r.cell: r["count"] for r in sent.groupBy("cell").count().collect()}
+
+        def pieces(counts: Sequence[int]) -> Column:
+            table = F.array(*[F.lit(max(1, -(-int(n) // chunk_rows))) for n in counts])
+            return F.get(table, F.col("cell"))
+
+        chunks, splits = pieces(sizes), pieces([load.get(c, 0) for c in range(len(centers))])
+        part = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+        copies = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        ref_side = placed.select("key", "vec", "cell", part(chunks).alias("chunk"), copies(splits).alias("split"))
+        query_side = sent.select("key", "vec", "cell", "radius", copies(chunks).alias("chunk"), part(splits).alias("split"))
+        group = ["cell", "chunk", "split"]
+        return query_side.groupBy(*group).cogroup(ref_side.groupBy(*group)).applyInPandas(search, result)
+
+    near = searched(asked.mapInPandas(go_home, routed)).checkpoint()
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
+    radius = near.withColumn("nth", nth).where(F.col("nth") == k).select(F.col("query").alias("key"), F.col("distance").alias("radius"))
+    bounded = asked.join(radius, "key", "left").select("key", "vec", "radius")
+    further = searched(bounded.mapInPandas(go_on, routed))
+    return near.unionByName(further)
 
 
 def knn_classify(
@@ -249,14 +238,19 @@ def knn_classify(
     near = knn_join(
         queries, reference, k, query_key, reference_key, vector, label, metric, exclude_self, **search
     )
+    return vote(near, query_key, label, weights)
+
+
+def vote(near: DataFrame, query_key: str, label: str, weights: str = "uniform") -> DataFrame:
+    """Each query's winning class and its share of the votes."""
     if weights == "distance":
         exact = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy(query_key))
-        vote = F.when(exact == 1, (F.col("distance") == 0).cast("double")).otherwise(
+        ballot = F.when(exact == 1, (F.col("distance") == 0).cast("double")).otherwise(
             F.try_divide(F.lit(1.0), F.col("distance"))
         )
     else:
-        vote = F.lit(1.0)
-    votes = near.withColumn("__vote", vote).groupBy(query_key, label).agg(F.sum("__vote").alias("__vote"))
+        ballot = F.lit(1.0)
+    votes = near.withColumn("__vote", ballot).groupBy(query_key, label).agg(F.sum("__vote").alias("__vote"))
     return votes.groupBy(query_key).agg(
         F.min_by(label, F.struct(-F.col("__vote"), F.col(label))).alias("predicted"),
         F.try_divide(F.max("__vote"), F.sum("__vote")).alias("share"),

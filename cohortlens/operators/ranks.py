@@ -8,6 +8,7 @@ bucket, and shifted by the totals of the buckets below.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -18,9 +19,11 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col, numeric_or_null
-from cohortlens.session import SMALL_TABLE_ROWS
 
 BUCKET_BITS = 8  # 256 buckets per group
+HOT_ROWS = 1_000_000  # rows beyond which a group's value counts are spread over several tasks
+HOT_GROUPS, SALTS = 1_000, 32  # the largest groups that are spread, and over how many tasks
+KEEP_VALUES, KEEP_COLUMNS = 200_000, 200  # values that may reach the driver, columns handled together
 
 
 def long_measures(
@@ -52,6 +55,9 @@ def cumulative_counts(
     listed timepoints) and not by the data; only then the per-group bounds and
     bucket totals are broadcast.
     """
+    if not by:
+        whole = df.withColumn("__all", F.lit(1))
+        return cumulative_counts(whole, value, ["__all"], tallies, True, bits).drop("__all")
     small = F.broadcast if few_groups and bits <= 12 else (lambda d: d)
     keys, names, buckets = list(by), list(tallies), 1 << bits
     rows = df.where(as_col(value).isNotNull()).select(
@@ -61,9 +67,13 @@ def cumulative_counts(
     )
     cuts = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     sketch = F.expr(f"percentile_approx(value, array({cuts}), {40 * buckets})")
-    bounds = small(rows.groupBy(*keys).agg(sketch.alias("__bounds")))
+    bounds = rows.groupBy(*keys).agg(sketch.alias("__bounds"), F.count(F.lit(1)).alias("__rows"))
     counted = rows.groupBy(*keys, "value").agg(*[F.sum(n).alias(n) for n in names])
-    placed = _place(counted.join(bounds, keys), bits)
+    if few_groups and bits <= 12:
+        attached = null_safe_join(counted, F.broadcast(bounds.drop("__rows")), keys)
+    else:
+        attached = _attach_salted(counted, bounds, keys)
+    placed = _place(attached, bits)
     group = Window.partitionBy(*keys)
     below = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -82,7 +92,7 @@ def cumulative_counts(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     running = placed.withColumns({f"__{n}_run": F.sum(n).over(inside) for n in names})
-    return running.join(small(offsets), [*keys, "__bucket"]).select(
+    return null_safe_join(running, small(offsets), [*keys, "__bucket"]).select(
         *keys,
         "value",
         *names,
@@ -91,6 +101,32 @@ def cumulative_counts(
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys whose nulls equal each other; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = functools.reduce(lambda a, b: a & b, [as_col(k).eqNullSafe(F.col(f"`__r_{k}`")) for k in keys])
+    return left.join(renamed, on).drop(*[f"__r_{k}" for k in keys])
+
+
+def _attach_salted(counted: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join the bounds of each group, with the values of the largest groups dealt over several tasks.
+
+    The list of those groups is bounded by its limit and so can be broadcast.
+    """
+    largest = bounds.where(F.col("__rows") >= HOT_ROWS).orderBy(F.desc("__rows")).limit(HOT_GROUPS)
+    hot = F.broadcast(largest.select(*[as_col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
+
+    def mark(df: DataFrame) -> DataFrame:
+        on = functools.reduce(lambda a, b: a & b, [as_col(k).eqNullSafe(F.col(f"`__h_{k}`")) for k in keys])
+        return df.join(hot, on, "left").drop(*[f"__h_{k}" for k in keys])
+
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("value"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    copies = F.sequence(F.lit(0), F.when(F.col("__hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    left = mark(counted).withColumn("__salt", salt).drop("__hot")
+    right = mark(bounds.drop("__rows")).withColumn("__salt", F.explode(copies)).drop("__hot")
+    return null_safe_join(left, right, [*keys, "__salt"]).drop("__salt")
+
+
 def _place(df: DataFrame, bits: int) -> DataFrame:
     """Number of bounds below the value, by binary search."""
     steps = ", ".join(str(1 << b) for b in reversed(range(bits)))
@@ -158,25 +194,26 @@ def select_quantiles(
     columns: Mapping[str, Column],
     p: float,
     accuracy: int = 10_000,
-    keep: int | None = None,
-    rows: int | None = None,
+    keep: int = KEEP_VALUES,
 ) -> dict[str, float]:
     """One exact quantile of each expression without shuffling its values.
 
     A first pass brackets the wanted order statistics of all columns with a sketch. Where
     the bracket is sure to hold few values, the next pass counts those and what lies below.
     Larger ones are counted and sketched again, shrinking about a thousandfold per round.
-    At most about ``keep`` distinct values per column reach the driver. Columns without a
-    value are left out of the result. A table known to have at most ``keep`` ``rows`` is read
-    in one job.
+    At most about ``keep`` distinct values of all columns together reach the driver; many
+    columns are handled in blocks. Columns without a value are left out of the result.
     """
-    if keep is None:
-        keep = max(1_000, 20 * SMALL_TABLE_ROWS // max(1, len(columns)))
+    if len(columns) > KEEP_COLUMNS:
+        entries, out = list(columns.items()), {}
+        for at in range(0, len(entries), KEEP_COLUMNS):
+            out |= select_quantiles(df, dict(entries[at : at + KEEP_COLUMNS]), p, accuracy, keep)
+        return out
+    if not columns:
+        return {}
+    keep = max(1, keep // len(columns))
     names = {f"q{i}": name for i, name in enumerate(columns)}
     values = df.select(*[c.cast("double").alias(a) for a, c in zip(names, columns.values())])
-    if rows is not None and rows <= keep:
-        local = {a: v.dropna().to_numpy() for a, v in values.toPandas().items()}
-        return {names[a]: float(np.quantile(v, p)) for a, v in local.items() if len(v)}
 
     def sketch(alias: str, lo: float, hi: float) -> Column:
         cut = F.percentile_approx(alias, [max(0.0, lo), min(1.0, hi)], accuracy)
@@ -324,8 +361,7 @@ def hashed_positions(
     )
     order = Window.partitionBy(*groups, "__bucket").orderBy("__h", *[as_col(k) for k in key])
     return (
-        placed.withColumn("__row", F.row_number().over(order))
-        .join(offsets, [*by, "__bucket"])
+        null_safe_join(placed.withColumn("__row", F.row_number().over(order)), offsets, [*by, "__bucket"])
         .withColumn(out, F.col("__base") + F.col("__row") - 1)
         .drop("__h", "__bucket", "__row", "__base")
     )

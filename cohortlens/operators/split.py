@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from cohortlens.functions.columns import as_col, hash_uniform
 from cohortlens.operators.clean import class_counts
 from cohortlens.operators.ranks import hashed_positions
-from cohortlens.session import SMALL_TABLE_ROWS
 
 
 def is_test(key: str | Column, test_size: float = 0.2, seed: object = 42) -> Column:
@@ -38,15 +37,18 @@ def mark_stratified(
     seed: object = 42,
     out: str = "is_test",
 ) -> DataFrame:
-    """Flag exactly ``round(test_size * n_c)`` rows of every class as test rows."""
+    """Flag exactly ``round(test_size * n_c)`` rows of every class as test rows.
+
+    Rows without a class form a class of their own.
+    """
     ranked = hashed_positions(df, key, [target], seed, "__position")
     sizes = class_counts(df, target).select(
-        target, F.round(F.col("n") * test_size).cast("long").alias("__cut")
+        as_col(target).alias("__class"), F.round(F.col("n") * test_size).cast("long").alias("__cut")
     )
     return (
-        ranked.join(_bounded(sizes), target)
+        ranked.join(sizes, as_col(target).eqNullSafe(F.col("__class")))
         .withColumn(out, F.col("__position") < F.col("__cut"))
-        .drop("__position", "__cut")
+        .drop("__position", "__cut", "__class")
     )
 
 
@@ -107,10 +109,4 @@ def balanced_weights(df: DataFrame, target: str, out: str = "class_weight") -> D
     counts = class_counts(df.where(as_col(target).isNotNull()), target)
     n, k = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     weights = counts.select(target, (F.lit((n or 0) / (k or 1)) / F.col("n")).alias(out))
-    return df.join(F.broadcast(weights) if k <= SMALL_TABLE_ROWS else weights, target)
-
-
-def _bounded(small: DataFrame) -> DataFrame:
-    """Broadcast a class-level table only after checking its row count."""
-    few = small.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS
-    return F.broadcast(small) if few else small
+    return df.join(weights, target)

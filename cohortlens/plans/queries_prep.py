@@ -380,7 +380,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     asked, reference = _sides(spark, sf)
     # The route for reference sets too large to ship, forced by a zero size limit.
     return round_all(
-        neighbors.knn_join(asked, reference, 5, "vec_id", "vec_id", "embedding", broadcast_cells=0, pivots=8)
+        neighbors.knn_join(asked, reference, 5, "vec_id", "vec_id", "embedding", pivots=8)
     )
 
 

@@ -7,10 +7,6 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Small tables above this many rows are joined by shuffle instead of being
-# broadcast or turned into literals.
-SMALL_TABLE_ROWS = 10_000
-
 
 def local_session(cpus: str | int = "*", app: str = "cohortlens") -> SparkSession:
     """A single-JVM session for tests and benchmarks; a cluster brings its own."""
@@ -28,20 +24,20 @@ def local_session(cpus: str | int = "*", app: str = "cohortlens") -> SparkSessio
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder, so that fits with a growing lineage can cut it.
 
-    The folder named in ``spark.checkpoint.dir`` always wins. Only a local master, where
-    every task sees the same disk, gets a folder of its own; a cluster without the
-    setting runs without checkpoints.
+    The folder named in ``spark.checkpoint.dir`` always wins. Where it is unset, one is made
+    on a local master, whose tasks all see the same disk; a cluster must name one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and sc.master.startswith("local"):
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cohortlens-checkpoint-")
-    if folder:
-        sc.setCheckpointDir(folder)
+    sc.setCheckpointDir(folder)
     return folder

@@ -50,10 +50,28 @@ def test_rare_classes(spark):
     assert {r.c for r in clean.drop_rare_classes(df, "c").collect()} == {"a", "b"}
 
 
-def test_rare_classes_beyond_the_literal_bound(spark, monkeypatch):
-    monkeypatch.setattr(clean, "SMALL_TABLE_ROWS", 2)
-    df = spark.createDataFrame([(c,) for c in "aabcdef"], "c string")
-    assert [r.c for r in clean.drop_rare_classes(df, "c").collect()] == ["a", "a"]
+def test_rows_without_a_class_stay(spark):
+    for classes in (["a", "a", "b", None, None], ["a", "a", None, None], [None]):
+        df = spark.createDataFrame([(c,) for c in classes], "c string")
+        kept = sorted((r.c for r in clean.drop_rare_classes(df, "c").collect()), key=str)
+        assert kept == sorted((c for c in classes if c != "b"), key=str)
+
+
+def test_many_rare_classes(spark):
+    df = spark.range(30_000).selectExpr("if(id < 10000, id, -1) AS c")
+    assert clean.drop_rare_classes(df, "c").select("c").distinct().count() == 1
+
+
+def test_excluded_keys_keep_rows_without_a_key(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    listed = spark.createDataFrame([(1,), (None,)], "k int")
+    for keys in ([1], [1, None], listed):
+        assert sorted((r.k for r in clean.exclude_keys(df, keys, "k").collect()), key=str) == [2, None]
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (1.0, None)], "x double, n int")
+    assert {r.feature: r.n_null for r in clean.null_fractions(df).collect()} == {"x": 1, "n": 1}
 
 
 def test_strict_mapping(spark):

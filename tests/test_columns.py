@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import columns as C
 from cohortlens.functions.tails import f_sf, t_quantile, t_two_sided
+from cohortlens.sources import visits
 from cohortlens.plans.flows import (
     FIVE_GROUP_EDGES,
     FIVE_GROUP_LABELS,
@@ -85,3 +86,14 @@ def test_driver_tails():
     assert t_two_sided(3.0, 1e7) == pytest.approx(math.erfc(3 / math.sqrt(2)), rel=1e-4)
     assert t_quantile(0.025, 10) == pytest.approx(2.2281388520, rel=1e-8)
     assert f_sf(4.0, 1, 12) == pytest.approx(t_two_sided(2.0, 12))
+
+
+def test_truncate_dirty_values(spark):
+    df = spark.createDataFrame([("abc",), ("1e12",), ("-2.9",), (None,), ("NaN",)], "x string")
+    assert [r[0] for r in df.select(C.truncate_to_int("x")).collect()] == [None, None, -2, None, None]
+
+
+def test_csv_schema_goes_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\nbad,y\n")
+    got = visits.read_visits(spark, str(tmp_path / "t.csv"), "b string, a int, c double").collect()
+    assert [tuple(r) for r in got] == [("x", 1, None), ("y", None, None)]

@@ -72,11 +72,19 @@ def test_fit_does_not_see_test_rows(spark):
     assert before == features.fit_medians(split.train_test_split(changed, "id")[0], ["v"])
 
 
-def test_too_many_levels(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_LEVELS", 3)
-    df = spark.range(10).selectExpr("CAST(id AS STRING) AS c")
-    with pytest.raises(ValueError):
-        features.fit_levels(df, ["c"])
+def test_levels_have_no_limit(spark):
+    df = spark.range(120_000).selectExpr("CAST(id AS STRING) AS c", "if(id < 2, 'x', 'y') AS d")
+    levels = features.fit_levels(df, ["c", "d"])
+    assert len(levels["c"]) == 120_000 and levels["c"] == sorted(levels["c"]) and levels["d"] == ["x", "y"]
+    assert features.fit_modes(df, ["c", "d"]) == {"c": "0", "d": "y"}
+
+
+def test_rows_without_a_class_are_split_too(spark):
+    df = spark.range(100).selectExpr("id", "if(id < 40, NULL, 'a') AS c")
+    train, test = split.stratified_split(df, "c", ["id"])
+    assert test.where("c IS NULL").count() == 8 and train.count() + test.count() == 100
+    folds = split.stratified_kfold(df, "c", ["id"], 4).groupBy("c", "fold").count().collect()
+    assert sorted(r["count"] for r in folds) == [10] * 4 + [15] * 4
 
 
 def test_label_round_trip(spark):

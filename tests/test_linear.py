@@ -29,12 +29,17 @@ def test_ols_matches_numpy(data):
     assert (fit.intercept, *fit.coefficients) == pytest.approx(tuple(want), rel=1e-9)
 
 
-def test_vector_moments_agree_with_sql_moments(data, monkeypatch):
-    _, df = data
-    a = linear.moments(df, ["a", "b", "y"])
-    monkeypatch.setattr(linear, "SQL_MOMENT_COLUMNS", 1)
-    b = linear.moments(df, ["a", "b", "y"])
-    assert a.n == b.n and np.allclose(a.cov, b.cov) and np.allclose(a.mean, b.mean)
+@pytest.mark.parametrize("width", [3, 40])
+def test_moments_of_any_width(spark, data, width):
+    rows, _ = data
+    x = np.array(rows)[:, 1:]
+    x = np.column_stack([x] + [np.sin(i + x[:, 0]) + 1e6 for i in range(width - 3)])
+    names = [f"c{i}" for i in range(width)]
+    m = linear.moments(spark.createDataFrame(x.tolist(), ", ".join(f"{n} double" for n in names)), names)
+    assert m.n == len(x) and np.allclose(m.mean, x.mean(axis=0)) and np.allclose(m.cov, np.cov(x.T, bias=True), atol=1e-8)
+    empty = spark.createDataFrame([], ", ".join(f"{n} double" for n in names))
+    with pytest.raises(ValueError, match="no complete rows"):
+        linear.moments(empty, names)
 
 
 def test_inference_matches_numpy(data):
@@ -135,5 +140,7 @@ def test_vif_and_coefficients(spark, data):
     assert all(v.vif == pytest.approx(1.0, abs=0.05) for v in linear.vif(df, ["a", "b"]).collect())
     twin = df.withColumn("c", df.a + df.b * 0.01)
     assert linear.vif(twin, ["a", "c"]).first().vif > 1000
+    exact = {r.feature: r.vif for r in linear.vif(df.selectExpr("a", "b", "2 * a AS c", "1.0 AS d"), ["a", "b", "c", "d"]).collect()}
+    assert exact["a"] == exact["c"] == float("inf") and exact["b"] == pytest.approx(1.0, abs=0.05) and exact["d"] is None
     table = linear.coefficient_table(spark, linear.ols(df, ["a", "b"], "y"), "y").collect()
     assert [t.feature for t in table] == ["a", "b"] and "increase" in table[0].reading and "decrease" in table[1].reading

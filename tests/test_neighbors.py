@@ -33,8 +33,8 @@ def collect(df):
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan", "minkowski"])
-@pytest.mark.parametrize("route", [{}, {"broadcast_cells": 0, "pivots": 9, "chunk_rows": 25}])
-def test_both_routes_are_exact(points, metric, route):
+@pytest.mark.parametrize("route", [{}, {"pivots": 9, "chunk_rows": 25}, {"pivots": 1}])
+def test_any_cells_are_exact(points, metric, route):
     vecs, _, df = points
     got = collect(neighbors.knn_join(df, df, K, "key", "key", metric=metric, **route))
     assert got == brute(vecs, "manhattan" if metric == "manhattan" else "euclidean")
@@ -42,14 +42,14 @@ def test_both_routes_are_exact(points, metric, route):
 
 def test_without_self(points):
     vecs, _, df = points
-    got = collect(neighbors.knn_join(df, df, K, "key", "key", exclude_self=True, broadcast_cells=0, pivots=5))
+    got = collect(neighbors.knn_join(df, df, K, "key", "key", exclude_self=True, pivots=5))
     assert got == brute(vecs, "euclidean", exclude_self=True)
 
 
 def test_more_neighbours_than_rows(points):
     _, _, df = points
     few = df.where("key < 3")
-    for route in ({}, {"broadcast_cells": 0}):
+    for route in ({}, {"pivots": 2}):
         assert neighbors.knn_join(few, few, 10, "key", "key", **route).count() == 9
 
 
@@ -73,3 +73,29 @@ def test_exact_match_takes_all_weight(spark):
 def test_unknown_metric(points):
     with pytest.raises(ValueError):
         neighbors.knn_join(points[2], points[2], 1, "key", "key", metric="cosine")
+
+
+def test_text_keys_vectors_and_missing_ones(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [("b", [0.0, 1.0]), ("a", [0.0, 1.0]), ("c", [5.0, 5.0]), ("n", None), (None, [0.0, 0.0]), ("m", [None, 1.0])]
+    df = spark.createDataFrame(rows, "key string, features array<double>")
+    got = collect(neighbors.knn_join(df, df, 2, "key", "key"))
+    assert got == {"a": ["a", "b"], "b": ["a", "b"], "c": ["c", "a"]}
+    ml = df.where("key IN ('a', 'b', 'c')").withColumn("features", array_to_vector("features"))
+    assert collect(neighbors.knn_join(ml, ml, 2, "key", "key")) == got
+
+
+def test_no_reference_rows(points):
+    _, _, df = points
+    assert neighbors.knn_join(df, df.limit(0), 3, "key", "key").count() == 0
+
+
+def test_few_candidates_reach_the_final_ranking(spark):
+    """Candidate rows per query stay within a small multiple of k."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(30, 8)) * 10
+    rows = [(i, (centres[i % 30] + rng.normal(size=8)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key long, vec array<double>")
+    found = neighbors._search(df, df, 5, "euclidean", None, neighbors.CHUNK_ROWS)
+    assert found.count() <= 4 * 5 * 3000

@@ -82,7 +82,7 @@ def test_select_quantiles(spark, n, ties):
     rng = random.Random(n)
     vals = [float(rng.randint(0, 3)) if ties else rng.random() for _ in range(n)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    for keep in (20, None):
+    for keep in (20, 60, ranks.KEEP_VALUES):
         got = ranks.select_quantiles(
             df, {"m": F.col("v"), "neg": -F.col("v"), "none": F.lit(None)}, 0.5, accuracy=200, keep=keep
         )
