@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -25,8 +25,23 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.columns import as_col
+from cohortlens.shipping import ship_package
+
 UNBOUNDED_DEPTH = 30  # the deepest tree the library grows
 CLASS_PARALLELISM = 4  # one-vs-rest parts fitted at the same time
+PARTITION_ROWS = 50_000  # training rows in one partition of a fixed order
+
+
+def fit_cached(estimator: Estimator, train: DataFrame) -> Model:
+    """Fit on a cached copy: the library reads its input once per pass."""
+    if train.storageLevel.useMemory:
+        return estimator.fit(train)
+    cached = train.persist()
+    try:
+        return estimator.fit(cached)
+    finally:
+        cached.unpersist()
 
 
 def penalty_of(c: float, weight_sum: float) -> float:
@@ -34,48 +49,73 @@ def penalty_of(c: float, weight_sum: float) -> float:
     return 1.0 / (c * weight_sum)
 
 
+class ByStrength(Estimator):
+    """An estimator with an inverse penalty strength ``C``.
+
+    The weight sum that turns it into the library's penalty is taken from the rows of each
+    fit, so one ``C`` means the same in every fold and in the refit.
+    """
+
+    C = Param(Params._dummy(), "C", "inverse penalty strength", TypeConverters.toFloat)
+
+    def __init__(self, base: Estimator, c: float = 1.0, weight_col: str | None = None) -> None:
+        super().__init__()
+        self.base, self.weight_col = base, weight_col
+        self._set(C=c)
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        total = F.sum(as_col(self.weight_col)) if self.weight_col else F.count(F.lit(1))
+        weight = dataset.agg(total.cast("double")).first()[0]
+        if not weight:
+            raise ValueError("no rows with a weight")
+        return _with_penalty(self.base, penalty_of(self.getOrDefault(self.C), weight)).fit(dataset)
+
+
+def _with_penalty(estimator: Estimator, penalty: float) -> Estimator:
+    if isinstance(estimator, OneVsRest):
+        return estimator.copy({estimator.classifier: _with_penalty(estimator.getClassifier(), penalty)})
+    if isinstance(estimator, Pipeline):
+        *before, last = estimator.getStages()
+        return Pipeline(stages=[*before, _with_penalty(last, penalty)])
+    return estimator.copy({estimator.regParam: penalty})
+
+
 def logistic(
     c: float = 1.0,
-    rows: float = 1.0,
     penalty: str = "l2",
     weight_col: str | None = None,
     one_vs_rest: bool = False,
     max_iter: int = 100,
     label: str = "label",
-) -> Estimator:
-    """Logistic regression with L1 or L2 penalty; the intercept is not penalised.
-
-    ``rows`` is the training weight sum (balanced weights sum to the row count).
-    """
+    tol: float = 1e-6,
+) -> ByStrength:
+    """Logistic regression with L1 or L2 penalty; the intercept is not penalised."""
     lr = LogisticRegression(
         labelCol=label,
-        regParam=penalty_of(c, rows),
         elasticNetParam=1.0 if penalty == "l1" else 0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-6,
+        tol=tol,
     )
-    return _multi_class(lr, weight_col, one_vs_rest, label)
+    return ByStrength(_multi_class(lr, weight_col, one_vs_rest, label), c, weight_col)
 
 
 def svm_linear(
     c: float = 1.0,
-    rows: float = 1.0,
     weight_col: str | None = None,
     one_vs_rest: bool = True,
     max_iter: int = 100,
     label: str = "label",
     features: str = "features",
-) -> Estimator:
+) -> ByStrength:
     svc = LinearSVC(
         labelCol=label,
         featuresCol=features,
-        regParam=penalty_of(c, rows),
         standardization=False,
         maxIter=max_iter,
         tol=1e-6,
     )
-    return _multi_class(svc, weight_col, one_vs_rest, label, features)
+    return ByStrength(_multi_class(svc, weight_col, one_vs_rest, label, features), c, weight_col)
 
 
 def _multi_class(
@@ -115,6 +155,7 @@ class RandomFourierFeatures(
         )
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        ship_package(dataset.sparkSession)
         gamma, size, seed = (
             self.getOrDefault(self.gamma), self.getOrDefault(self.components), self.getSeed()
         )
@@ -148,28 +189,98 @@ def kernel_gamma(df: DataFrame, features: str = "features", rule: str = "scale")
     return 1.0 / (p * total) if total > 0 else 1.0
 
 
-def svm_rbf(gamma: float, c: float = 1.0, rows: float = 1.0, components: int = 100, **kw) -> Pipeline:
-    """Radial-kernel SVM as a linear one over random Fourier features."""
-    return Pipeline(
-        stages=[
-            RandomFourierFeatures(gamma=gamma, components=components),
-            svm_linear(c, rows, features="kernel_features", **kw),
-        ]
-    )
+class ScaledVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """A vector times a number."""
 
+    factor = Param(Params._dummy(), "factor", "multiplier", TypeConverters.toFloat)
 
-def svm_poly(degree: int = 2, c: float = 1.0, rows: float = 1.0, **kw) -> Pipeline:
-    """Polynomial-kernel SVM as a linear one over expanded features."""
-    return Pipeline(
-        stages=[
-            PolynomialExpansion(inputCol="features", outputCol="kernel_features", degree=degree),
-            svm_linear(c, rows, features="kernel_features", **kw),
-        ]
-    )
+    def __init__(self, inputCol: str = "features", outputCol: str = "scaled_features", factor: float = 1.0) -> None:
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, factor=factor)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        factor = F.lit(self.getOrDefault(self.factor))
+        scaled = F.transform(vector_to_array(F.col(self.getInputCol())), lambda x: x * factor)
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(scaled))
+
+
+class KernelSvm(Estimator):
+    """A support vector machine whose kernel, width, degree and strength are grid parameters.
+
+    ``kernel`` is linear, rbf or poly; ``gamma`` is scale, auto or a number as text. A rule for gamma is
+    worked out on the rows of each fit. The radial kernel runs as a linear machine over random
+    Fourier features, the polynomial one over expanded features.
+    """
+
+    kernel = Param(Params._dummy(), "kernel", "linear, rbf or poly", TypeConverters.toString)
+    gamma = Param(Params._dummy(), "gamma", "scale, auto or a number", TypeConverters.toString)
+    degree = Param(Params._dummy(), "degree", "degree of the polynomial", TypeConverters.toInt)
+    C = Param(Params._dummy(), "C", "inverse penalty strength", TypeConverters.toFloat)
+
+    def __init__(
+        self,
+        kernel: str = "rbf",
+        gamma: str | float = "scale",
+        degree: int = 3,
+        c: float = 1.0,
+        components: int = 100,
+        weight_col: str | None = None,
+        one_vs_rest: bool = False,
+        max_iter: int = 100,
+        label: str = "label",
+    ) -> None:
+        super().__init__()
+        self._set(kernel=kernel, gamma=str(gamma), degree=degree, C=c)
+        self.components, self.weight_col, self.label = components, weight_col, label
+        self.one_vs_rest, self.max_iter = one_vs_rest, max_iter
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        kernel, gamma = self.getOrDefault(self.kernel), self.getOrDefault(self.gamma)
+        width = 1.0
+        if kernel != "linear":
+            width = kernel_gamma(dataset, rule=gamma) if gamma in ("scale", "auto") else float(gamma)
+        if kernel == "linear":
+            stages: list[Transformer] = []
+        elif kernel == "rbf":
+            stages = [RandomFourierFeatures(gamma=width, components=self.components)]
+        elif kernel == "poly":
+            degree = self.getOrDefault(self.degree)
+            stages = [
+                ScaledVector(factor=math.sqrt(width)),
+                PolynomialExpansion(inputCol="scaled_features", outputCol="kernel_features", degree=degree),
+            ]
+        else:
+            raise ValueError(f"unknown kernel {kernel!r}")
+        mapped = PipelineModel(stages).transform(dataset)
+        svm = svm_linear(
+            self.getOrDefault(self.C),
+            self.weight_col,
+            self.one_vs_rest,
+            self.max_iter,
+            self.label,
+            "kernel_features" if stages else "features",
+        )
+        return PipelineModel([*stages, fit_cached(svm, mapped)])
+
+
+def svm_rbf(gamma: str | float = "scale", c: float = 1.0, components: int = 100, **kw) -> KernelSvm:
+    """Radial-kernel SVM."""
+    return KernelSvm("rbf", gamma, c=c, components=components, **kw)
+
+
+def svm_poly(degree: int = 2, c: float = 1.0, gamma: str | float = "scale", **kw) -> KernelSvm:
+    """Polynomial-kernel SVM."""
+    return KernelSvm("poly", gamma, degree, c, **kw)
 
 
-def svr(kernel: str = "linear", gamma: float = 1.0, epsilon: float = 1.35, c: float = 1.0, rows: float = 1.0,
-        components: int = 100, label: str = "label") -> Estimator:
+def svr(
+    kernel: str = "linear",
+    gamma: float = 1.0,
+    epsilon: float = 1.35,
+    c: float = 1.0,
+    components: int = 100,
+    label: str = "label",
+) -> ByStrength:
     """Bounded-influence regression on linear or random Fourier features.
 
     Huber's loss stands in for the insensitive tube: both grow linearly in large errors.
@@ -179,32 +290,72 @@ def svr(kernel: str = "linear", gamma: float = 1.0, epsilon: float = 1.35, c: fl
         featuresCol="features" if kernel == "linear" else "kernel_features",
         loss="huber",
         epsilon=epsilon,
-        regParam=penalty_of(c, rows),
         standardization=False,
     )
     if kernel == "linear":
-        return lr
-    return Pipeline(stages=[RandomFourierFeatures(gamma=gamma, components=components), lr])
+        return ByStrength(lr, c)
+    return ByStrength(Pipeline(stages=[RandomFourierFeatures(gamma=gamma, components=components), lr]), c)
 
 
-def platt(margins: DataFrame, label: str = "label", margin: str = "margin") -> LogisticRegression:
-    """Fit a probability curve on SVM margins; returns the fitted one-feature model."""
-    data = VectorAssembler(inputCols=[margin], outputCol="__margin").transform(margins)
-    model = LogisticRegression(
-        featuresCol="__margin", labelCol=label, probabilityCol="probability_platt",
-        rawPredictionCol="raw_platt", predictionCol="prediction_platt",
-    ).fit(data)
-    return model
+class PlattCurves:
+    """Probability curves of a machine's margins, one for each class (one for two classes)."""
 
+    def __init__(self, curves: Sequence[tuple[float, float]]) -> None:
+        self.curves = list(curves)
 
-def with_margin(df: DataFrame, raw: str = "rawPrediction", index: int = 1, out: str = "margin") -> DataFrame:
-    return df.withColumn(out, F.get(vector_to_array(F.col(raw)), F.lit(index)))
+    def probability(self, raw: str = "rawPrediction") -> Column:
+        """Array of class probabilities; one curve per class is normalised to a sum of one."""
+        margins = vector_to_array(F.col(raw))
 
+        def at(i: int, a: float, b: float) -> Column:
+            return 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.get(margins, F.lit(i)))))
 
-def platt_probability(model, margin: str = "margin") -> Column:
-    """P(class 1) from a margin, as a column expression of the fitted curve."""
-    z = F.lit(float(model.intercept)) + F.lit(float(model.coefficients[0])) * F.col(margin)
-    return 1 / (1 + F.exp(-z))
+        if len(self.curves) == 1:
+            p = at(1, *self.curves[0])
+            return F.array(1 - p, p)
+        parts = [at(i, a, b) for i, (a, b) in enumerate(self.curves)]
+        total = sum(parts[1:], parts[0])
+        return F.array(*[F.try_divide(p, total) for p in parts])
+
+
+def platt_out_of_fold(
+    df: DataFrame,
+    estimator: Estimator,
+    folds: int,
+    classes: int = 2,
+    fold_col: str = "fold",
+    label: str = "label",
+    prep: Estimator | None = None,
+) -> PlattCurves:
+    """Curves fitted on margins of rows that the machine was not fitted on.
+
+    Every fold is scored by a machine (and preprocessing) fitted on the others.
+    """
+    held_out = None
+    for fold in range(folds):
+        train, held = df.where(F.col(fold_col) != fold), df.where(F.col(fold_col) == fold)
+        if prep is not None:
+            fitted = prep.fit(train)
+            train, held = fitted.transform(train), fitted.transform(held)
+        part = fit_cached(estimator, train).transform(held)
+        part = part.select(as_col(label).cast("double").alias("label"), vector_to_array("rawPrediction").alias("raw"))
+        held_out = part if held_out is None else held_out.unionByName(part)
+    cached = held_out.persist()
+    try:
+        curves = []
+        for i in [1] if classes == 2 else range(classes):
+            data = cached.select(
+                (F.col("label") == i).cast("double").alias("label"), array_to_vector(F.array(F.get("raw", F.lit(i)))).alias("features")
+            )
+            curve = LogisticRegression(maxIter=100, tol=1e-8).fit(data)
+            curves.append((float(curve.intercept), float(curve.coefficients[0])))
+    finally:
+        cached.unpersist()
+    return PlattCurves(curves)
+
+
+def with_margin(df: DataFrame, raw: str = "rawPrediction", index: int = 1, out: str = "margin") -> DataFrame:
+    return df.withColumn(out, F.get(vector_to_array(F.col(raw)), F.lit(index)))
 
 
 def one_vs_rest_probability(raw: str = "rawPrediction") -> Column:
@@ -325,12 +476,12 @@ def depth_for_leaves(leaves: int) -> int:
     return max(1, math.ceil(math.log2(leaves)))
 
 
-def stable_order(df: DataFrame, key: Sequence[str]) -> DataFrame:
+def stable_order(df: DataFrame, key: Sequence[str], partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """Fix partitioning and row order, on which the tree learners' random draws depend.
 
-    The partition count is the session's shuffle setting: given explicitly it is not
-    coalesced, so the many passes of a fit keep all cores busy.
+    The number of partitions follows from the number of rows alone, so the draws are the
+    same on every cluster.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-df.count() // partition_rows))
     keys = [F.col(k) for k in key]
     return df.repartition(parts, *keys).sortWithinPartitions(*keys)

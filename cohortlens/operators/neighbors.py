@@ -9,11 +9,14 @@ to those in a second search. Nothing is capped or approximated, whatever the siz
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Estimator, Model
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -273,3 +276,74 @@ def knn_regress(
         queries, reference, k, query_key, reference_key, vector, target, metric, **search
     )
     return near.groupBy(query_key).agg(F.avg(as_col(target)).alias("predicted"))
+
+
+class NearestNeighbours(Estimator):
+    """Nearest neighbours as a tunable model: ``k``, ``weights`` and ``metric`` are grid parameters.
+
+    ``task`` is classify (majority vote of numeric labels) or regress (mean). ``key`` names the
+    column that identifies a row. The fitted model holds its training rows as a table.
+    """
+
+    k = Param(Params._dummy(), "k", "number of neighbours", TypeConverters.toInt)
+    weights = Param(Params._dummy(), "weights", "uniform or distance", TypeConverters.toString)
+    metric = Param(Params._dummy(), "metric", "euclidean, manhattan or minkowski", TypeConverters.toString)
+
+    def __init__(
+        self,
+        key: str,
+        k: int = 5,
+        weights: str = "uniform",
+        metric: str = "euclidean",
+        task: str = "classify",
+        features: str = "features",
+        label: str = "label",
+    ) -> None:
+        super().__init__()
+        self._set(k=k, weights=weights, metric=metric)
+        self.key, self.task, self.features, self.label = key, task, features, label
+
+    def _reference(self, dataset: DataFrame) -> DataFrame:
+        return dataset.select(as_col(self.key).alias("__ref"), as_col(self.features).alias("features"), as_col(self.label).alias("__label"))
+
+    def _fit(self, dataset: DataFrame) -> NearestNeighboursModel:
+        # Cut off from the caller's cache, which may be gone when the model is used.
+        ensure_checkpoint_dir(dataset.sparkSession)
+        return NearestNeighboursModel(self, self._reference(dataset).checkpoint())
+
+    def near(self, rows: DataFrame, reference: DataFrame, k: int, metric: str) -> DataFrame:
+        asked = rows.select(as_col(self.key).alias("__key"), as_col(self.features).alias("features"))
+        return knn_join(asked, reference, k, "__key", "__ref", "features", "__label", metric)
+
+    def predicted(self, rows: DataFrame, near: DataFrame, k: int, weights: str) -> DataFrame:
+        """``rows`` with a prediction from their ``k`` nearest among ``near``."""
+        few = near.where(F.col("rank") <= k)
+        if self.task == "classify":
+            votes = vote(few, "__key", "__label", weights).select("__key", F.col("predicted").cast("double").alias("prediction"))
+        else:
+            votes = few.groupBy("__key").agg(F.avg("__label").alias("prediction"))
+        return rows.join(votes, as_col(self.key) == F.col("__key"), "left").drop("__key")
+
+    def score_grid(self, train: DataFrame, held: DataFrame, maps: Sequence[Mapping], evaluator: Evaluator) -> list[float]:
+        """Score all parameter sets: one search per metric serves every number of neighbours and weighting."""
+        settings = [self.copy(dict(m)) for m in maps]
+        reference, scores = self._reference(train), [math.nan] * len(settings)
+        for metric in dict.fromkeys(s.getOrDefault(s.metric) for s in settings):
+            own = [i for i, s in enumerate(settings) if s.getOrDefault(s.metric) == metric]
+            most = max(settings[i].getOrDefault(settings[i].k) for i in own)
+            near = self.near(held, reference, most, metric).checkpoint()
+            for i in own:
+                s = settings[i]
+                scores[i] = evaluator.evaluate(s.predicted(held, near, s.getOrDefault(s.k), s.getOrDefault(s.weights)))
+        return scores
+
+
+class NearestNeighboursModel(Model):
+    def __init__(self, settings: NearestNeighbours, reference: DataFrame) -> None:
+        super().__init__()
+        self.settings, self.reference = settings, reference
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        s = self.settings
+        k, metric, weights = (s.getOrDefault(p) for p in (s.k, s.metric, s.weights))
+        return s.predicted(dataset, s.near(dataset, self.reference, k, metric), k, weights)

@@ -8,13 +8,14 @@ from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.metrics import accuracy_metrics, regression_metrics, roc_auc, target_verdict
-from cohortlens.operators.models import class_probability
+from cohortlens.operators.models import class_probability, fit_cached
 from cohortlens.session import ensure_checkpoint_dir
 
 
@@ -41,10 +42,13 @@ class RocAuc(Evaluator):
         self.label, self.positive = label, positive
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        scored = dataset.withColumn(
-            "__score", F.get(class_probability(dataset), F.lit(self.positive))
-        )
-        value = roc_auc(scored, self.label, "__score", float(self.positive)).first()
+        score = F.get(class_probability(dataset), F.lit(self.positive)).alias("__score")
+        # Ranking reads its input twice; the model is to score the rows once.
+        scored = dataset.select(self.label, score).persist()
+        try:
+            value = roc_auc(scored, self.label, "__score", float(self.positive)).first()
+        finally:
+            scored.unpersist()
         return math.nan if value is None or value.roc_auc is None else value.roc_auc
 
     def isLargerBetter(self) -> bool:
@@ -88,29 +92,36 @@ def grid_search(
     fold_col: str = "fold",
     prep: Estimator | None = None,
     parallelism: int = 4,
-) -> tuple[Model, dict, list[float]]:
+) -> tuple[Model, dict, list[float], dict[int, str]]:
     """Score every parameter set on every fold, then refit the best on all rows.
 
     Preprocessing is fitted once per fold, on that fold's training rows, and shared by all
-    parameter sets. A parameter set that fails on a fold scores NaN there; if all do, the
-    estimator's own parameters are fitted. Returns the model, its parameters and the mean scores.
+    parameter sets. A parameter set that the estimator rejects scores NaN; if all are, the
+    estimator's own parameters are fitted. Any other failure ends the search. An estimator with a
+    ``score_grid`` method (train, held, maps, evaluator) scores all sets of a fold itself.
+    Returns the model, its parameters, the mean scores and why sets were rejected.
     """
     ensure_checkpoint_dir(df.sparkSession)
     maps = list(grid) or [{}]
     sums = [0.0] * len(maps)
+    rejected: dict[int, str] = {}
     for fold in range(folds):
         train, held = (t.persist() for t in _fold_tables(df, fold, fold_col, prep))
 
         def score(i: int, train: DataFrame = train, held: DataFrame = held) -> tuple[int, float]:
             try:
                 return i, evaluator.evaluate(estimator.fit(train, maps[i]).transform(held))
-            except Exception as error:  # noqa: BLE001 - a bad parameter set must not end the search
+            except (IllegalArgumentException, ValueError) as error:
                 if len(maps) == 1:
                     raise
-                print(f"grid point {i} failed: {error!s:.200}")
+                rejected[i] = f"{error!s:.200}"
                 return i, math.nan
 
         try:
+            if hasattr(estimator, "score_grid"):
+                for i, value in enumerate(estimator.score_grid(train, held, maps, evaluator)):
+                    sums[i] += value / folds
+                continue
             with ThreadPool(min(parallelism, len(maps))) as pool:
                 for i, value in pool.imap_unordered(
                     inheritable_thread_target(df.sparkSession)(score), range(len(maps))
@@ -126,6 +137,7 @@ def grid_search(
         fit_with_preprocessing(df, estimator, prep, best),
         {p.name: v for p, v in best.items()},
         sums,
+        rejected,
     )
 
 
@@ -156,7 +168,7 @@ def fit_or_fallback(
 ) -> tuple[PipelineModel, dict]:
     """Grid search where every fold can hold every class, else a plain fit of the base model."""
     if grid and folds >= 2 and smallest_class >= folds:
-        model, params, _ = grid_search(df, estimator, grid, evaluator, folds, fold_col, prep)
+        model, params, *_ = grid_search(df, estimator, grid, evaluator, folds, fold_col, prep)
         return model, params
     return fit_with_preprocessing(df, estimator, prep), {}
 
@@ -213,7 +225,7 @@ def tuned_leaderboard(
     rows, fitted = [], {}
     for name, (estimator, grid) in models.items():
         start = time.monotonic()
-        model, params, _ = grid_search(
+        model, params, *_ = grid_search(
             train, estimator, grid, RegressionScore("mape", label), folds, fold_col, prep
         )
         seconds = time.monotonic() - start
@@ -229,6 +241,54 @@ def tuned_leaderboard(
     return table.orderBy(F.asc_nulls_last("mape"), "model"), fitted
 
 
+def early_stopped(make: Callable[[str], Estimator], indicator: str = "__held") -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A ``cv_scores`` candidate that stops boosting once the fold's own validation rows stop improving.
+
+    ``make`` builds the estimator for the name of the column that flags those rows.
+    """
+
+    def run(train: DataFrame, held: DataFrame) -> DataFrame:
+        both = train.withColumn(indicator, F.lit(False)).unionByName(held.withColumn(indicator, F.lit(True)))
+        return fit_cached(make(indicator), both).transform(held)
+
+    return run
+
+
+def classifier_board(
+    train: DataFrame,
+    test: DataFrame,
+    models: Mapping[str, tuple[Estimator, Sequence[Mapping]]],
+    evaluator: Evaluator,
+    folds: int,
+    fold_col: str = "fold",
+    prep: Estimator | None = None,
+    label: str = "label",
+    positive: int = 1,
+) -> tuple[DataFrame, dict[str, PipelineModel]]:
+    """Tune every classifier with one evaluator on one split; one row each, best balanced accuracy first.
+
+    Rows: accuracy, balanced accuracy and AUC of the positive class on the test rows, and the
+    chosen parameters. A model without probabilities or margins has no AUC.
+    """
+    rows, fitted = [], {}
+    for name, (estimator, grid) in models.items():
+        model, params, *_ = grid_search(train, estimator, grid, evaluator, folds, fold_col, prep)
+        fitted[name] = model
+        scored = model.transform(test).persist()
+        try:
+            m = accuracy_metrics(scored, label, "prediction").first()
+            graded = {"probability", "rawPrediction"} & set(scored.columns)
+            auc = RocAuc(label, positive).evaluate(scored) if graded else None
+        finally:
+            scored.unpersist()
+        chosen = {k: str(v) for k, v in params.items()}
+        rows.append((name, m.accuracy, m.balanced_accuracy, None if auc is None or math.isnan(auc) else auc, chosen))
+    table = train.sparkSession.createDataFrame(
+        rows, "model string, accuracy double, balanced_accuracy double, roc_auc double, params map<string,string>"
+    )
+    return table.orderBy(F.desc_nulls_last("balanced_accuracy"), "model"), fitted
+
+
 def best_model(leaderboard: DataFrame, metric: str = "mape") -> DataFrame:
     """The leading row; models without a score are skipped."""
     known = leaderboard.where(F.col(metric).isNotNull() & ~F.isnan(metric))
@@ -246,7 +306,7 @@ def out_of_fold_r2(
     scored = None
     for fold in range(folds):
         train, held = _fold_tables(df, fold, fold_col, None)
-        part = estimator.fit(train).transform(held).select(label, "prediction")
+        part = fit_cached(estimator, train).transform(held).select(label, "prediction")
         scored = part if scored is None else scored.unionByName(part)
     return regression_metrics(scored, label, "prediction").first().r2
 

@@ -39,8 +39,8 @@ LOW, HIGH = flows.TWO_GROUP_LABELS
 
 @pytest.fixture(scope="module")
 def run(groups):
-    base = models.logistic(10.0, 450)
-    grid = ParamGridBuilder().addGrid(base.regParam, [1e-3, 10.0]).build()
+    base = models.logistic(10.0)
+    grid = ParamGridBuilder().addGrid(base.C, [2.0, 1e-4]).build()
     return flows.tuned_classifier(
         groups, "group", ["subject_id"], base, Preprocessor(**PREP), grid, tuning.RocAuc(), 0.25, "capped3"
     )
@@ -51,7 +51,7 @@ def test_unrated_rows_are_removed(cohort, groups):
 
 
 def test_tuned_classifier_recovers_the_signal(run):
-    assert run.classes == (HIGH, LOW) and run.params == {"regParam": 1e-3}
+    assert run.classes == (HIGH, LOW) and run.params == {"C": 2.0}
     scored = run.scored()
     acc = metrics.accuracy_metrics(scored, "group", "predicted").first()
     assert acc.balanced_accuracy > 0.85
@@ -69,7 +69,7 @@ def test_positive_class_of_two(run):
 
 def test_shuffled_labels_give_no_signal(groups):
     mixed = groups.withColumn("group", F.when(hash_uniform("subject_id", "z") < 0.5, LOW).otherwise(HIGH))
-    r = flows.tuned_classifier(mixed, "group", ["subject_id"], models.logistic(1.0, 450), Preprocessor(**PREP))
+    r = flows.tuned_classifier(mixed, "group", ["subject_id"], models.logistic(1.0), Preprocessor(**PREP))
     assert abs(tuning.RocAuc().evaluate(r.model.transform(r.test)) - 0.5) < 0.2
 
 
@@ -97,8 +97,8 @@ def test_streamed_rows_are_scored(spark, run, tmp_path):
 def test_five_groups_one_against_the_rest(cohort):
     df = flows.label_ratings(cohort, "rating")
     for est in (
-        models.logistic(1.0, 450, "l2", "w", one_vs_rest=True),
-        models.svm_linear(1.0, 450, "w", max_iter=10),
+        models.logistic(1.0, "l2", "w", one_vs_rest=True),
+        models.svm_linear(1.0, "w", max_iter=10),
         models.gbt_clf(3, 0.3, 3, one_vs_rest=True),
     ):
         r = flows.tuned_classifier(df, "group", ["subject_id"], est, Preprocessor(**PREP), weight_col="w")
@@ -181,15 +181,15 @@ def test_failing_grid_points_are_skipped(vectors):
     folded = vectors.withColumn("fold", split.kfold("subject_id", 2))
     est = models.random_forest_reg(2, 2)
     grid = [{est.maxBins: 2}, {est.labelCol: "absent"}]
-    _, params, scores = tuning.grid_search(folded, est, grid, tuning.RegressionScore("r2"), 2)
-    assert params == {"maxBins": 2} and math.isnan(scores[1])
+    _, params, scores, why = tuning.grid_search(folded, est, grid, tuning.RegressionScore("r2"), 2)
+    assert params == {"maxBins": 2} and math.isnan(scores[1]) and "absent" in why[1]
 
 
 def test_small_classes_fall_back_to_a_plain_fit(groups):
-    base = models.logistic(1.0, 450)
+    base = models.logistic(1.0)
     enc = Preprocessor(**PREP)
     labelled = groups.withColumn("label", (F.col("group") == HIGH).cast("double"))
-    _, params = tuning.fit_or_fallback(labelled, base, [{base.regParam: 5.0}], tuning.BalancedAccuracy(), 5, 3, prep=enc)
+    _, params = tuning.fit_or_fallback(labelled, base, [{base.C: 5.0}], tuning.BalancedAccuracy(), 5, 3, prep=enc)
     assert params == {}
 
 
@@ -210,8 +210,8 @@ def test_kernel_width_rules(spark):
 
 
 @pytest.mark.parametrize("make", [
-    lambda: models.svm_rbf(1.0, 1.0, 400, components=40, one_vs_rest=False, max_iter=30),
-    lambda: models.svm_poly(2, 1.0, 400, one_vs_rest=False, max_iter=30),
+    lambda: models.svm_rbf(1.0, 1.0, 40, max_iter=30),
+    lambda: models.svm_poly(2, 1.0, max_iter=30),
 ])
 def test_kernel_svm_separates_a_ring(spark, make):
     rng = random.Random(2)
@@ -228,15 +228,15 @@ def test_kernel_svm_separates_a_ring(spark, make):
 
 def test_svm_margins_become_probabilities(vectors):
     df = vectors.withColumn("label", (F.col("label") > 3.5).cast("double"))
-    m = models.svm_linear(1.0, 500, one_vs_rest=False).fit(df)
-    scored = models.with_margin(m.transform(df))
-    p = scored.select("label", models.platt_probability(models.platt(scored)).alias("p"))
+    est = models.svm_linear(1.0, one_vs_rest=False)
+    curves = models.platt_out_of_fold(df.withColumn("fold", split.kfold("subject_id", 3)), est, 3)
+    p = est.fit(df).transform(df).select("label", curves.probability()[1].alias("p"))
     assert p.where("p < 0 OR p > 1").count() == 0
     assert metrics.roc_auc(p, "label", "p", 1.0).first().roc_auc > 0.95
 
 
 def test_svr(vectors):
-    for est in (models.svr("linear", rows=1e6), models.svr("rbf", gamma=0.2, rows=1e6, components=60)):
+    for est in (models.svr("linear", c=100.0), models.svr("rbf", gamma=0.2, c=100.0, components=60)):
         m = est.fit(vectors)
         assert metrics.regression_metrics(m.transform(vectors), "label", "prediction").first().r2 > 0.8
     assert models.depth_for_leaves(31) == 5
@@ -272,3 +272,32 @@ def test_threshold_regression_without_signal(spark):
     df = spark.range(300).withColumn("x", hash_uniform("id", 1)).withColumn("y", hash_uniform("id", 2))
     with pytest.raises(ValueError):
         flows.threshold_regression(df, ["x"], "y", "id", threshold=0.5)
+
+
+def test_strength_does_not_depend_on_the_number_of_rows(vectors):
+    df = vectors.withColumn("label", (F.col("label") > 3.5).cast("double"))
+    once = models.logistic(1.0, tol=1e-10).fit(df)
+    twice = models.logistic(0.5, tol=1e-10).fit(df.unionByName(df))
+    assert once.coefficients.toArray() == pytest.approx(twice.coefficients.toArray(), rel=1e-4)
+
+
+def test_calibrated_classes_sum_to_one(vectors):
+    df = vectors.withColumn("label", F.floor(F.pmod("label", F.lit(3))).cast("double")).withColumn("fold", split.kfold("subject_id", 2))
+    est = models.svm_linear(1.0, max_iter=20)
+    curves = models.platt_out_of_fold(df, est, 2, 3)
+    p = est.fit(df).transform(df).select(F.aggregate(curves.probability(), F.lit(0.0), lambda a, b: a + b).alias("s"))
+    assert all(r.s == pytest.approx(1.0) for r in p.collect())
+
+
+def test_neighbours_are_a_tunable_model(vectors):
+    from cohortlens.operators.neighbors import NearestNeighbours
+
+    folded = vectors.withColumn("fold", split.kfold("subject_id", 2))
+    knn = NearestNeighbours("subject_id", task="regress")
+    grid = [{knn.k: k, knn.metric: m} for k in (1, 5) for m in ("euclidean", "manhattan")]
+    model, params, scores, _ = tuning.grid_search(folded, knn, grid, tuning.RegressionScore("rmse"), 2)
+    assert params["k"] in (1, 5) and len(scores) == 4 and not any(map(math.isnan, scores))
+    one = tuning.RegressionScore("rmse").evaluate(knn.copy(grid[0]).fit(folded.where("fold = 1")).transform(folded.where("fold = 0")))
+    two = tuning.RegressionScore("rmse").evaluate(knn.copy(grid[0]).fit(folded.where("fold = 0")).transform(folded.where("fold = 1")))
+    assert scores[0] == pytest.approx((one + two) / 2)
+    assert model.transform(vectors).where("prediction IS NULL").count() == 0

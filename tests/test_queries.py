@@ -60,4 +60,3 @@ def test_contract():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not any("pipeline" in name for name in entry.queries())
