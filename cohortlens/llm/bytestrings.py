@@ -15,6 +15,9 @@ from cohortlens.shipping import ship_package
 # A longer single text is a run of its own.
 RUN_BYTES = 1 << 19
 
+# Rows of an Arrow batch that are worked on together; a batch can hold 64 MB of text.
+SLICE_ROWS = 1024
+
 _U = np.uint64
 _MIXER = _U(0xD6E8FEB86659FD93)
 
@@ -111,6 +114,15 @@ def runs(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np
         row = past
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut into small ones, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    # The worker lives on for other tasks; it should not keep what this one needed.
+    pa.default_memory_pool().release_unused()
+
+
 def with_text_columns(
     df: DataFrame,
     text: str,
@@ -129,7 +141,7 @@ def with_text_columns(
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_batch = make()
-        for batch in batches:
+        for batch in slices(batches):
             arrays = per_batch(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*kept, *fields])
 

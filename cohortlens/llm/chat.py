@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.bytestrings import slices
 from cohortlens.shipping import ship_package
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -99,7 +100,7 @@ def format_conversations(
     ship_package(turns.sparkSession)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             segments, starts, ends = [], [], []
             for who, said in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 segment = render_turn(who or "", said or "")
@@ -146,7 +147,7 @@ def digest_formatted(formatted: DataFrame) -> DataFrame:
             done.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.schema.field(0).type
             for conv, segment, start, end in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 if state is None or conv != key:

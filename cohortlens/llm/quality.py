@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.bytestrings import Rolling, lower_ascii, runs, with_text_columns
+from cohortlens.llm.bytestrings import Rolling, lower_ascii, runs, slices, with_text_columns
 from cohortlens.shipping import ship_package
 
 PASSAGE_WORDS = 64
@@ -162,7 +162,7 @@ def fit(features: np.ndarray, passages: np.ndarray, labels: np.ndarray) -> dict:
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, passages, features, label); input: key, text, label."""
-    for batch in batches:
+    for batch in slices(batches):
         for first, past, data, ends in runs(batch.column(1)):
             features, passages = passage_features(data, ends)
             cuts = np.cumsum(passages)[:-1]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.bytestrings import Rolling, runs, text_bytes
+from cohortlens.llm.bytestrings import Rolling, runs, slices, text_bytes
 from cohortlens.llm.store import stored
 from cohortlens.shipping import ship_package
 
@@ -105,7 +105,7 @@ def _anchors(shape: Shape, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
 
 def _scan(shape: Shape, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, place, core, full, decided) of every anchor; input: doc, text."""
-    for batch in batches:
+    for batch in slices(batches):
         docs = batch.column(0).to_numpy()
         for first, _, data, ends in runs(batch.column(1)):
             text, place, core, full = _anchors(shape, data, ends)
@@ -187,7 +187,7 @@ def _resolve(rows: DataFrame, sample: DataFrame, label: str) -> DataFrame:
 
 def _contexts(shape: Shape, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, place, decided, bytes of all the place's strings); input: doc, text, list of (place, decided)."""
-    for batch in batches:
+    for batch in slices(batches):
         data, ends = text_bytes(batch.column(1))
         base = ends - np.diff(ends, prepend=0)
         lists = batch.column(2)
@@ -265,7 +265,7 @@ def repeated_places(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What stays of each text; the last two input columns are the text and its list of places."""
-    for batch in batches:
+    for batch in slices(batches):
         kept, sizes, removed, spans, digests = [], [], [], [], []
         texts, lists = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
         for text, places in zip(texts, lists):

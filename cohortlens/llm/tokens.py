@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 END_ID = 1
 
 # Remembered pieces per worker; the memory starts anew when full.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 500_000
 # Pieces looked up, and unknown ones encoded, at a time.
 _LOOKED_UP, _JOINED = 200_000, 4096
 # Visible Latin-1, space and line feed: lower-casing and character classes are beyond doubt.
@@ -42,12 +42,15 @@ class WordEncoder:
         self.known: dict = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, unknown: set) -> None:
-        for word in [x for x in unknown if isinstance(x, tuple)]:
-            self.known[word] = self._ids(word[0]).tobytes()
-        pieces = sorted(x for x in unknown if not isinstance(x, tuple))
+        pieces = []
+        for piece in unknown:
+            if type(piece) is str:
+                pieces.append(piece)
+            else:
+                self.known[piece] = self._ids(piece[0]).tobytes()
         for at in range(0, len(pieces), _JOINED):
             some = pieces[at : at + _JOINED]
             ids = self._ids(" ".join(some))

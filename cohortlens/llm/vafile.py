@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.llm.bytestrings import slices
 from cohortlens.llm.store import stored
 from cohortlens.shipping import ship_package
 
@@ -83,16 +84,10 @@ def _bounds(queries: dict, cells: dict, batch: pa.RecordBatch) -> Iterator[tuple
         yield ids, keys[rows], lower, upper
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _best_lower(queries: dict, cells: dict, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's k best lower bounds of every query."""
     best: dict[int, np.ndarray] = {}
-    for batch in _slices(batches):
+    for batch in slices(batches):
         for ids, keys, lower, _ in _bounds(queries, cells, batch):
             top = np.concatenate([best[id(ids)], lower], axis=1) if id(ids) in best else lower
             best[id(ids)] = -np.partition(-top, k - 1, axis=1)[:, :k] if top.shape[1] > k else top
@@ -106,7 +101,7 @@ def _best_lower(queries: dict, cells: dict, k: int, batches: Iterator[pa.RecordB
 
 def _reaching(queries: dict, cells: dict, bars: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The vectors whose upper bound reaches the query's bar."""
-    for batch in _slices(batches):
+    for batch in slices(batches):
         for ids, keys, _, upper in _bounds(queries, cells, batch):
             bar = np.array([bars.get(q, -np.inf) for q in ids.tolist()])
             row, column = np.nonzero(upper >= bar[:, None])
