@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col, numeric_or_null
 from cohortlens.operators.linear import vector_sums
-from cohortlens.operators.ranks import group_quantiles, long_measures
+from cohortlens.operators.ranks import cumulative_counts, group_quantiles, long_measures, quantile_column
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -44,23 +44,42 @@ def describe(
 ) -> DataFrame:
     """Count, mean, sample sd, min, quartiles and max per (group, measure).
 
-    Moments come from one map-side-combined pass, quartiles from the shared
-    distributed ranks; the two result tables have one row per group and measure.
+    All follow from one set of running counts; ``exact=False`` takes one pass with sketched quartiles.
     """
     keys = [*by, "measure"]
     tall = long_measures(df, measures, by)
-    moments = tall.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
+    if not exact:
+        sketch = F.percentile_approx("value", list(QUARTILES.values()), 10_000)
+        stats = tall.groupBy(*keys).agg(
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("sd"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            sketch.alias("__q"),
+        )
+        return stats.select(*keys, "n", "mean", "sd", "min", *[F.col("__q")[i].alias(q) for i, q in enumerate(QUARTILES)], "max")
+    counts = cumulative_counts(tall, "value", keys, {"n": F.lit(1)}, few_groups or not by)
+    shifted = F.col("value") - F.col("center")
+    sums = counts.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.max("center").alias("__c"),
+        F.sum(F.col("n") * shifted).alias("__s"),
+        F.sum(F.col("n") * shifted * shifted).alias("__ss"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
+        *[quantile_column(p).alias(q) for q, p in QUARTILES.items()],
     )
-    quartiles = group_quantiles(
-        tall, "value", keys, QUARTILES, exact, few_groups=few_groups or not by
-    )
-    return moments.join(quartiles, keys).select(
-        *keys, "n", "mean", "sd", "min", "q25", "q50", "q75", "max"
+    n = F.col("n").cast("double")
+    variance = F.greatest(F.lit(0.0), F.try_divide(F.col("__ss") - F.col("__s") * F.col("__s") / n, n - 1))
+    return sums.select(
+        *keys,
+        "n",
+        (F.col("__c") + F.col("__s") / n).alias("mean"),
+        F.when(F.col("n") > 1, F.sqrt(variance)).alias("sd"),
+        "min",
+        *QUARTILES,
+        "max",
     )
 
 

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import numeric_or_null
 from cohortlens.operators.describe import QUARTILES
-from cohortlens.operators.ranks import group_quantiles, long_measures
+from cohortlens.operators.ranks import (
+    attach_groups,
+    cumulative_counts,
+    group_quantiles,
+    long_measures,
+    null_safe_join,
+    quantile_column,
+)
 
 
 def _range_stats(tall: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -36,15 +43,13 @@ def histogram_table(
     arithmetic on the row, so only bin counts are shuffled.
     """
     keys = [*by, "measure"]
-    small = F.broadcast if few_groups or not by else (lambda d: d)
+    few = few_groups or not by
     tall = long_measures(df, measures, by)
     stats = _range_stats(tall, keys)
     width = F.col("hi") - F.col("lo")
     if bins == "auto":
-        spread = group_quantiles(
-            tall, "value", keys, {"q1": 0.25, "q3": 0.75}, few_groups=few_groups or not by
-        )
-        stats = stats.join(spread, keys)
+        spread = group_quantiles(tall, "value", keys, {"q1": 0.25, "q3": 0.75}, few_groups=few)
+        stats = null_safe_join(stats, spread, keys)
         sturges = width / (F.log2("n_group") + 1)
         fd = 2 * (F.col("q3") - F.col("q1")) / F.pow("n_group", F.lit(1 / 3))
         step = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
@@ -61,7 +66,7 @@ def histogram_table(
     )
     position = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins"))
     counted = (
-        tall.join(small(edges), keys)
+        attach_groups(tall, edges, keys, few, "n_group")
         .withColumn("bin", F.least(position, F.col("bins") - 1).cast("int"))
         .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -70,7 +75,7 @@ def histogram_table(
     grid = edges.select(
         "*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")
     )
-    return grid.join(counted, [*keys, "bin"], "left").select(
+    return null_safe_join(grid, counted, [*keys, "bin"], "left").select(
         *keys,
         "bin",
         (F.col("lo") + F.col("bin") * step).alias("bin_lo"),
@@ -94,7 +99,6 @@ def kde_table(
     shuffled.
     """
     keys = [*by, "measure"]
-    small = F.broadcast if few_groups or not by else (lambda d: d)
     tall = long_measures(df, measures, by)
     stats = (
         _range_stats(tall, keys)
@@ -106,7 +110,7 @@ def kde_table(
     z = (at - F.col("value")) / F.col("bw")
     kernel = F.col("n") * F.exp(-0.5 * z * z) / (F.col("n_group") * F.col("bw") * math.sqrt(2 * math.pi))
     return (
-        counted.join(small(stats), keys)
+        attach_groups(counted, stats, keys, few_groups or not by, "n_group")
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
         .groupBy(*keys, "point")
         .agg(F.max(at).alias("x"), F.sum(kernel).alias("density"))
@@ -122,18 +126,19 @@ def boxplot_table(
 ) -> DataFrame:
     """Quartiles, whisker ends and outlier count per (group, measure)."""
     keys = [*by, "measure"]
-    small = F.broadcast if few_groups or not by else (lambda d: d)
-    tall = long_measures(df, measures, by)
-    fenced = tall.join(small(_fences(tall, keys, whisker, few_groups or not by)), keys)
+    few = few_groups or not by
+    counts = cumulative_counts(long_measures(df, measures, by), "value", keys, {"n": F.lit(1)}, few)
+    # Whiskers and outliers follow from the counted values; no row is read again for them.
+    fenced = attach_groups(counts.select(*keys, "value", "n"), _fences(counts, keys, whisker), keys, few, "n_group")
     inside = F.col("value").between(F.col("fence_lo"), F.col("fence_hi"))
     return fenced.groupBy(*keys).agg(
-        F.count("value").alias("n"),
+        F.sum("n").alias("n"),
         F.max("q25").alias("q25"),
         F.max("q50").alias("q50"),
         F.max("q75").alias("q75"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-        F.count_if(~inside).alias("outliers"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("outliers"),
     )
 
 
@@ -147,18 +152,20 @@ def boxplot_outliers(
 ) -> DataFrame:
     """The rows beyond the whiskers."""
     keys = [*by, "measure"]
-    small = F.broadcast if few_groups or not by else (lambda d: d)
+    few = few_groups or not by
     tall = long_measures(df, measures, [*ids, *by])
-    fences = _fences(tall, keys, whisker, few_groups or not by)
+    fences = _fences(cumulative_counts(tall, "value", keys, {"n": F.lit(1)}, few), keys, whisker)
     return (
-        tall.join(small(fences), keys)
+        attach_groups(tall, fences, keys, few, "n_group")
         .where(~F.col("value").between(F.col("fence_lo"), F.col("fence_hi")))
         .select(*ids, *keys, "value")
     )
 
 
-def _fences(tall: DataFrame, keys: Sequence[str], whisker: float, few_groups: bool) -> DataFrame:
-    quartiles = group_quantiles(tall, "value", keys, QUARTILES, few_groups=few_groups)
+def _fences(counts: DataFrame, keys: Sequence[str], whisker: float) -> DataFrame:
+    quartiles = counts.groupBy(*keys).agg(
+        F.sum("n").alias("n_group"), *[quantile_column(p).alias(q) for q, p in QUARTILES.items()]
+    )
     reach = (F.col("q75") - F.col("q25")) * whisker
     return quartiles.select(
         "*",

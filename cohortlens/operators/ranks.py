@@ -47,7 +47,8 @@ def cumulative_counts(
     """One row per (group, distinct value) with running tallies.
 
     For each tally ``t`` the output has ``t`` (at this value), ``t_before``
-    (strictly below it) and ``t_total`` (whole group). The bucket bounds are a sketch
+    (strictly below it) and ``t_total`` (whole group); ``center`` is a value near the group's
+    median, to shift sums by. Null groups are groups. The bucket bounds are a sketch
     of the rows, combined on the map side. Values are counted before they are shuffled;
     bucket totals and running counts both read that one shuffle.
 
@@ -69,11 +70,7 @@ def cumulative_counts(
     sketch = F.expr(f"percentile_approx(value, array({cuts}), {40 * buckets})")
     bounds = rows.groupBy(*keys).agg(sketch.alias("__bounds"), F.count(F.lit(1)).alias("__rows"))
     counted = rows.groupBy(*keys, "value").agg(*[F.sum(n).alias(n) for n in names])
-    if few_groups and bits <= 12:
-        attached = null_safe_join(counted, F.broadcast(bounds.drop("__rows")), keys)
-    else:
-        attached = _attach_salted(counted, bounds, keys)
-    placed = _place(attached, bits)
+    placed = _place(attach_groups(counted, bounds, keys, few_groups and bits <= 12), bits)
     group = Window.partitionBy(*keys)
     below = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -98,22 +95,27 @@ def cumulative_counts(
         *names,
         *[(F.col(f"__{n}_base") + F.col(f"__{n}_run") - F.col(n)).alias(f"{n}_before") for n in names],
         *[f"{n}_total" for n in names],
+        "center",
     )
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys whose nulls equal each other; the keys appear once."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys whose nulls equal each other; the left side's keys stay."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     on = functools.reduce(lambda a, b: a & b, [as_col(k).eqNullSafe(F.col(f"`__r_{k}`")) for k in keys])
-    return left.join(renamed, on).drop(*[f"__r_{k}" for k in keys])
+    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _attach_salted(counted: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join the bounds of each group, with the values of the largest groups dealt over several tasks.
+def attach_groups(rows: DataFrame, stats: DataFrame, keys: Sequence[str], few_groups: bool, size: str = "__rows") -> DataFrame:
+    """Give every row (with a ``value``) the numbers of its group.
 
-    The list of those groups is bounded by its limit and so can be broadcast.
+    With ``few_groups``, bounded by the plan, they are broadcast. Otherwise the rows of the
+    largest groups, by the column ``size`` of ``stats``, are dealt over several tasks by their
+    value; the list of those groups is bounded by its limit and so can be broadcast.
     """
-    largest = bounds.where(F.col("__rows") >= HOT_ROWS).orderBy(F.desc("__rows")).limit(HOT_GROUPS)
+    if few_groups:
+        return null_safe_join(rows, F.broadcast(stats.drop("__rows")), keys)
+    largest = stats.where(F.col(size) >= HOT_ROWS).orderBy(F.desc(size)).limit(HOT_GROUPS)
     hot = F.broadcast(largest.select(*[as_col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
 
     def mark(df: DataFrame) -> DataFrame:
@@ -122,8 +124,8 @@ def _attach_salted(counted: DataFrame, bounds: DataFrame, keys: Sequence[str]) -
 
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("value"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     copies = F.sequence(F.lit(0), F.when(F.col("__hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
-    left = mark(counted).withColumn("__salt", salt).drop("__hot")
-    right = mark(bounds.drop("__rows")).withColumn("__salt", F.explode(copies)).drop("__hot")
+    left = mark(rows).withColumn("__salt", salt).drop("__hot")
+    right = mark(stats.drop("__rows")).withColumn("__salt", F.explode(copies)).drop("__hot")
     return null_safe_join(left, right, [*keys, "__salt"]).drop("__salt")
 
 
@@ -134,7 +136,8 @@ def _place(df: DataFrame, bits: int) -> DataFrame:
         f"coalesce(aggregate(array({steps}), 0, (pos, step) -> "
         "if(value > element_at(__bounds, pos + step), pos + step, pos)), 0)"
     )
-    return df.withColumn("__bucket", bucket).drop("__bounds")
+    center = F.element_at("__bounds", 1 << (bits - 1))
+    return df.withColumns({"__bucket": bucket, "center": center}).drop("__bounds")
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str], few_groups: bool = False) -> DataFrame:

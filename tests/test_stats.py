@@ -198,3 +198,56 @@ def test_error_helpers(spark):
     assert metrics.max_error_row(df, "key").first().key == 3
     w = metrics.pct_within(df, 1.0).first()
     assert (w.n_within, w.pct_within) == (1, 25.0)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_value_rows_are_not_exchanged_on_the_group_alone(spark):
+    """Without a broadcast a hot group's values are dealt by a salt as well."""
+    from cohortlens.operators import plotdata
+
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', CAST(id % 50 AS STRING)) AS g", "CAST(id AS DOUBLE) AS v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (
+            describe.group_median(df, ["v"], ["g"]),
+            describe.describe(df, ["v"], ["g"]),
+            plotdata.boxplot_table(df, ["v"], ["g"]),
+            plotdata.histogram_table(df, ["v"], ["g"]),
+        ):
+            joins = [line for line in _plan(made).splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+            attached = [line for line in joins if "__bucket" not in line and "bin" not in line]
+            assert attached and all("__salt" in line for line in attached), attached
+            assert made.where("g = 'hot'").count() >= 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_null_groups_are_groups(spark):
+    from cohortlens.operators import plotdata
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 5.0), (None, 7.0)], "g string, v double")
+    for few in (False, True):
+        rows = {r.g: r for r in describe.describe(df, ["v"], ["g"], few_groups=few).collect()}
+        assert rows[None].n == 2 and rows[None].mean == 6.0 and rows[None].q50 == 6.0 and rows[None].sd == pytest.approx(2**0.5)
+        assert {r.g for r in describe.group_median(df, ["v"], ["g"], few_groups=few).collect()} == {"a", None}
+        assert {r.g for r in plotdata.boxplot_table(df, ["v"], ["g"], few_groups=few).collect()} == {"a", None}
+        hist = plotdata.histogram_table(df, ["v"], ["g"], 2, few_groups=few).collect()
+        assert sorted((str(r.g), r.n) for r in hist) == [("None", 1), ("None", 1), ("a", 1), ("a", 1)]
+
+
+def test_salted_groups_give_the_same_numbers(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id % 2 AS g", "CAST(id * id % 977 AS DOUBLE) AS v")
+    plain = describe.describe(df, ["v"], ["g"]).orderBy("g").collect()
+    monkeypatch.setattr(ranks, "HOT_ROWS", 100)
+    assert describe.describe(df, ["v"], ["g"]).orderBy("g").collect() == plain
+
+
+def test_spread_of_large_values(spark):
+    df = spark.range(1000).selectExpr("1e9 + id % 7 AS v")
+    r = describe.describe(df, ["v"]).first()
+    want = [1e9 + i % 7 for i in range(1000)]
+    assert r.sd == pytest.approx(statistics.stdev(want), rel=1e-9) and r.mean == pytest.approx(statistics.fmean(want), rel=1e-12)
