@@ -107,13 +107,15 @@ def svm_linear(
     max_iter: int = 100,
     label: str = "label",
     features: str = "features",
+    tol: float = 1e-4,
 ) -> ByStrength:
+    """Linear support vector machine; it stops once a step improves the loss by less than ``tol``."""
     svc = LinearSVC(
         labelCol=label,
         featuresCol=features,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-6,
+        tol=tol,
     )
     return ByStrength(_multi_class(svc, weight_col, one_vs_rest, label, features), c, weight_col)
 
