@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset, as in tests, one of its own."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(context, "_cohortlens_folder", None) or tempfile.mkdtemp(prefix="cohortlens-")
-        context._cohortlens_folder = folder
-    return folder
+from cohortlens.session import ensure_checkpoint_dir
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` into the shared folder and read it back, which cuts its lineage."""
+    """Write `df` into the folder that ``spark.checkpoint.dir`` names and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
