@@ -309,9 +309,42 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fit.table(spark).select("term", rounded(F.col("coef"), 3).alias("coef"))
 
 
-@query("robust_lm_no_constant")
+def _irls_pair(passes: int = 40) -> str:
+    """Huber reweighting of ``actual ~ predicted + size`` without a constant, unrolled in SQL."""
+    solve = (
+        "SELECT (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM "
+        "(SELECT sum(w * x1 * x1) AS s11, sum(w * x1 * x2) AS s12, sum(w * x2 * x2) AS s22, sum(w * x1 * y) AS s1y, sum(w * x2 * y) AS s2y FROM {rows})"
+    )
+    steps = [
+        "d AS MATERIALIZED (SELECT actual AS y, predicted AS x1, size AS x2, 1.0::DOUBLE AS w FROM guessed)",
+        f"b0 AS MATERIALIZED ({solve.format(rows='d')})",
+    ]
+    for i in range(passes + 1):
+        steps.append(f"s{i} AS MATERIALIZED (SELECT median(abs(y - b1 * x1 - b2 * x2)) / 0.6744897501960817 AS s FROM d, b{i})")
+        if i < passes:
+            steps.append(
+                f"w{i} AS (SELECT y, x1, x2, coalesce(least(1.0, 1.345 * s / nullif(abs(y - b1 * x1 - b2 * x2), 0)), 1.0) AS w FROM d, b{i}, s{i})"
+            )
+            steps.append(f"b{i + 1} AS MATERIALIZED ({solve.format(rows=f'w{i}')})")
+    steps.append(
+        f"z AS (SELECT (y - b1 * x1 - b2 * x2) / s AS z, x1, x2 FROM d, b{passes}, s{passes}), "
+        "q AS (SELECT count(*)::DOUBLE AS n, avg((abs(z) <= 1.345)::INT) AS m, var_pop((abs(z) <= 1.345)::INT) AS v, "
+        "sum(pow(greatest(least(z, 1.345), -1.345), 2)) AS psi2, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22 FROM z), "
+        f"f AS (SELECT q.*, b1, b2, pow(1 + 2 / n * v / (m * m), 2) * (psi2 / (n - 2) * s * s) / (m * m) / (s11 * s22 - s12 * s12) AS f FROM q, b{passes}, s{passes})"
+    )
+    return ", ".join(steps)
+
+
+@query(
+    "robust_lm_no_constant",
+    cte(GUESSED, _irls_pair()) + f"SELECT 'predicted' AS term, {R('b1', 4)} AS coef, {R('sqrt(f * s22)', 5)} AS se, {R('b1 / sqrt(f * s22) / 1000', 2)} AS kilo_z "
+    f"FROM f UNION ALL SELECT 'size', {R('b2', 4)}, {R('sqrt(f * s11)', 5)}, {R('b2 / sqrt(f * s11) / 1000', 2)} FROM f",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return linear.robust_lm(guessed(spark, sf), ["predicted", "size"], "actual", constant=False).table(spark)
+    fit = linear.robust_lm(guessed(spark, sf), ["predicted", "size"], "actual", constant=False)
+    found = fit.table(spark)
+    kilo = rounded(F.col("z") / 1000, 2).alias("kilo_z")
+    return found.select("term", rounded(F.col("coef"), 4).alias("coef"), rounded(F.col("se"), 5).alias("se"), kilo)
 
 
 @query(
