@@ -65,10 +65,12 @@ class ByStrength(Estimator):
 
     def _fit(self, dataset: DataFrame) -> Model:
         total = F.sum(as_col(self.weight_col)) if self.weight_col else F.count(F.lit(1))
-        weight = dataset.agg(total.cast("double")).first()[0]
+        rows, weight = dataset.agg(F.count(F.lit(1)), total.cast("double")).first()
         if not weight:
             raise ValueError("no rows with a weight")
-        return _with_penalty(self.base, penalty_of(self.getOrDefault(self.C), weight)).fit(dataset)
+        # Every step of the solver is a job; partitions of a few rows would make it all overhead.
+        packed = dataset.coalesce(max(1, -(-rows // PARTITION_ROWS)))
+        return _with_penalty(self.base, penalty_of(self.getOrDefault(self.C), weight)).fit(packed)
 
 
 def _with_penalty(estimator: Estimator, penalty: float) -> Estimator:
@@ -333,7 +335,8 @@ def platt_out_of_fold(
 
     Every fold is scored by a machine (and preprocessing) fitted on the others.
     """
-    held_out = None
+    # Every fold reads the rows several times.
+    df, held_out = df.persist(), None
     for fold in range(folds):
         train, held = df.where(F.col(fold_col) != fold), df.where(F.col(fold_col) == fold)
         if prep is not None:
@@ -353,6 +356,7 @@ def platt_out_of_fold(
             curves.append((float(curve.intercept), float(curve.coefficients[0])))
     finally:
         cached.unpersist()
+        df.unpersist()
     return PlattCurves(curves)
 
 
