@@ -184,12 +184,14 @@ def cv_scores(
     """Mean R2, RMSE and MAPE of every regressor over the folds, by rising MAPE.
 
     A model is an estimator, or a function of (train, validation) that returns the validation rows with a
-    ``prediction``. Means skip folds without a value.
+    ``prediction``. Folds without training or validation rows are skipped, and so are means of no value.
     """
     rows = []
     for fold in range(folds):
         train, held = (t.persist() for t in _fold_tables(df, fold, fold_col, prep))
         try:
+            if train.isEmpty() or held.isEmpty():
+                continue
             for name, model in models.items():
                 scored = (
                     model.fit(train).transform(held)
