@@ -2,7 +2,8 @@
 
 A page is a sequence of tokens. Words score positive, by how often words in the same kind of
 container are content; tags score negative, by how much more often they stand outside the
-content than in it. Both come from labelled pages. One linear scan finds the contiguous run
+content than in it, though links, lists and the like cost little wherever they stand, and
+as containers count by their path (nav>ul>li apart from article>ul>li). Both come from labelled pages. One linear scan finds the contiguous run
 with the greatest sum; the text blocks in it, less those in containers that are no content,
 are the page's main text.
 """
@@ -49,6 +50,14 @@ _OUTSIDE_NAME = re.compile(
     r"breadcrumbs?|share|sharing|social|related|footer|header|masthead|subscribe|newsletter|popup|modal|login|search)($|[-_ ])"
 )
 
+# Elements that stand in content and outside it alike: they count by where they stand. Lists, tables
+# and links do so even with a class; the others only where they carry no name.
+_ANYWHERE = _INLINE | frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th".split())
+_GENERIC = _ANYWHERE | frozenset("div p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption details summary hr center address".split())
+_PARTS = frozenset(("section", "header"))
+# The most a tag of such an element costs, and how many of them a path holds below its context.
+_GENERIC_COST, _PATH = 0.25, 3
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S
 )
@@ -105,6 +114,33 @@ def tokens(page: str) -> Iterator[tuple[int, str, tuple[str, ...], str]]:
             stack.append((element, name))
 
 
+def _is_generic(element: str, names: str) -> bool:
+    """Whether the element by itself says nothing about content."""
+    if element in _ANYWHERE:
+        return not any(_OUTSIDE_NAME.search(x) for x in names.split("."))
+    return element in _GENERIC and not names
+
+
+def _places(containers: tuple[str, ...]) -> list[tuple[str, bool]]:
+    """Each container's key, and whether it is a context: generic elements have the path from theirs as key."""
+    found: list[tuple[str, bool]] = []
+    context, base, path = "", "", []
+    for name in containers:
+        element, _, names = name.partition(".")
+        if _is_generic(element, names):
+            if path[-1:] != [element]:
+                path = [*path, element][-_PATH:]
+            found.append((">".join([context, *path]), False))
+            continue
+        if element in _PARTS and not names:
+            context = f"{base}>{element}"
+        else:
+            context = base = name
+        path = []
+        found.append((context, True))
+    return found
+
+
 class Weights:
     """Token weights from counts of tokens inside and outside the content of labelled pages."""
 
@@ -116,12 +152,17 @@ class Weights:
     def tag(self, name: str) -> float:
         if name not in self.known:
             inside, outside = self.counts.get("tag " + name, (0, 0))
-            self.known[name] = -0.05 - 3 * max(0.0, math.log((outside + 1) / (inside + 1)))
+            cost = 3 * max(0.0, math.log((outside + 1) / (inside + 1)))
+            element, _, names = name.lstrip("/").partition(".")
+            # A link or a list does not end a text, however seldom labelled content has one.
+            if _is_generic(element, names) or element in _INLINE or element in _PARTS and not names:
+                cost = min(cost, _GENERIC_COST)
+            self.known[name] = -0.05 - cost
         return self.known[name]
 
-    def _container(self, name: str) -> float:
+    def _container(self, name: str, key: str) -> float:
         """How likely words in this container are content."""
-        inside, outside = self.counts.get("in " + name, (0, 0))
+        inside, outside = self.counts.get("in " + key, (0, 0))
         element, _, names = name.partition(".")
         doubtful = element in _OUTSIDE or any(_OUTSIDE_NAME.search(x) for x in names.split("."))
         prior = 0.02 if doubtful else 0.9
@@ -130,9 +171,10 @@ class Weights:
     def chain(self, containers: tuple[str, ...]) -> float:
         """Of the innermost container, or less where any around it holds no content."""
         if containers not in self.chains:
-            around = [self._container(name) for name in containers]
-            # Elements around both content and other things say nothing; only clear cases count.
-            clear = [x for x in around[:-1] if x < 0.1]
+            places = _places(containers)
+            around = [self._container(name, key) for name, (key, _) in zip(containers, places)]
+            # Elements around both content and other things say nothing; only clear cases of contexts count.
+            clear = [x for x, (_, context) in zip(around[:-1], places) if context and x < 0.1]
             self.chains[containers] = min([around[-1] if around else 0.5, *clear])
         return self.chains[containers]
 
@@ -183,8 +225,8 @@ def _count(pages: pa.Array) -> Iterator[Counter]:
                 found["tag " + value, inside] += 1
             elif value.strip():
                 words = len(value.split())
-                for name in set(containers):
-                    found["in " + name, inside] += words
+                for key in {key for key, _ in _places(containers)}:
+                    found["in " + key, inside] += words
             if kind == _TAG and element == "article":
                 inside = not value.startswith("/")
         yield found

@@ -78,3 +78,19 @@ def test_very_long_page(spark):
     page = spark.createDataFrame([(1, f"<nav><a>menu</a></nav><article>{body}</article>")], "page_id long, html string")
     text = extract_text(page, {}).first()["text"]
     assert text.count("\n\n") == 19_999 and text.startswith("paragraph number 0")
+
+
+def test_lists_and_links_in_articles_stay_when_labelled_articles_have_none(spark):
+    menu = "<nav><ul>" + '<li><a href="/x">menu entry words</a></li>' * 40 + "</ul></nav>"
+    tail = "<div><ul>" + '<li><a class="more" href="/y">other story</a></li>' * 10 + "</ul></div><footer><a href=z>about us</a></footer>"
+    page = "<body><header><a href=/>Home</a></header>" + menu + "<article><h1>t</h1>{}</article>" + tail + "</body>"
+    labelled = [(i, page.format("<p>some plain words without any link in them</p>" * 5)) for i in range(200)]
+    story = (
+        "<header><p>By a writer</p></header><p>Before it.</p><p>See <a class=more href=u>the linked page</a> for it.</p>"
+        "<ul><li>first thing</li><li>the <a href=v>second</a> thing</li></ul><section><p>After it.</p></section>"
+    )
+    want = ["t", "By a writer", "Before it.", "See the linked page for it.", "first thing", "the second thing", "After it."]
+    weights = Weights(learn_weights(spark.createDataFrame(labelled, "page_id long, html string")))
+    assert extract(page.format(story), weights) == "\n\n".join(want)
+    other = page.replace("<article>", '<div id="text">').replace("</article>", "</div>")
+    assert extract(other.format(story), weights) == "\n\n".join(want)
