@@ -193,13 +193,13 @@ def near_edges(fingerprints: DataFrame, reach: int = MAX_DISTANCE, shard: int =
 
 
 def _components(marked: DataFrame, key: str, reach: int, shard: int) -> DataFrame:
-    """`component_id` of each fingerprint of the stored table `marked` (key, fingerprint)."""
+    """`root` (a fingerprint of its own) and `component_id` of each fingerprint of the stored table `marked` (key, fingerprint)."""
     nodes = stored(marked.groupBy("fingerprint").agg(F.min(key).alias("lead")), "nodes")
     roots = connected_components(near_edges(nodes.select("fingerprint"), reach, shard))
     rooted = nodes.join(roots.select(F.col("a").alias("fingerprint"), F.col("b").alias("root")), "fingerprint", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fingerprint"))
     leads = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
-    return rooted.join(leads, "root").select("fingerprint", "component_id")
+    return rooted.join(leads, "root").select("fingerprint", "root", "component_id")
 
 
 def simhash_components(
@@ -233,15 +233,17 @@ def keep_one_per_component(
     """The rows of `docs` without near-duplicates: of each component the row with the smallest key.
 
     Equal rows of that key are one row; where a key is given to different texts of one
-    component, the one with the smallest fingerprint (then hash) stays. Rows are known by 96
-    bits of hashes of key and text, so only those and not the texts go through the search.
+    component, the one with the smallest fingerprint (then hash) stays. A null key comes
+    after all others. Components are told apart by their fingerprints, so ones with the same
+    smallest key keep a row each. Rows are known by 96 bits of hashes of key and text, so
+    only those and not the texts go through the search.
     """
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     known = docs.withColumns({"__id__": F.xxhash64(F.col(f"`{key}`"), value), "__check__": F.hash(value, F.col(f"`{key}`"))})
     marked = stored(with_fingerprints(known, text, shingle, keep=[key, "__id__", "__check__"]), "fingerprints")
     found = marked.join(_components(marked, key, reach, shard), "fingerprint")
     first = F.min(F.struct("fingerprint", "__id__", "__check__")).alias("first")
-    kept = found.where(F.col(f"`{key}`").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(first)
+    kept = found.where(F.col(f"`{key}`").eqNullSafe(F.col("component_id"))).groupBy("root").agg(first)
     ids = ["__id__", "__check__"]
     chosen = known.join(kept.select("first.__id__", "first.__check__"), ids, "left_semi").dropDuplicates(ids)
     return chosen.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -106,6 +106,16 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(components, key=str)
 
 
+def test_components_with_one_smallest_key_keep_a_row_each(spark):
+    rng = random.Random(6)
+    texts = [words(rng, 80) for _ in range(5)]
+    # Three texts with null keys alone, and a key on two unrelated texts, each with a copy under another key.
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (9, texts[3]), (7, texts[4]), (8, texts[4])]
+    kept = keep_one_per_component(docs_table(spark, rows)).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4])]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     assert simhash_components(empty_docs(spark)).count() == 0
     assert keep_one_per_component(empty_docs(spark)).count() == 0
