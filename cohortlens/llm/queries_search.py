@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.decontaminate import find_contamination
-from cohortlens.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses
+from cohortlens.llm.licenses import TEMPLATES, TEXTS, THRESHOLD, scan_licenses
 from cohortlens.llm.store import table
 
 
@@ -55,7 +55,7 @@ FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its best licence, that licence's score, and all licences found."""
-    scanned = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    scanned = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"], texts=TEXTS)
     best = F.try_element_at("licenses", F.lit(1))
     return scanned.select(
         "doc_id",

@@ -1,6 +1,6 @@
 import pytest
 
-from cohortlens.llm.licenses import TEMPLATES, scan_licenses
+from cohortlens.llm.licenses import TEMPLATES, TEXTS, scan_licenses
 from tests.llm.helpers import awkward_texts, docs_table, empty_docs
 from tests.llm.test_decontaminate import split
 
@@ -37,5 +37,21 @@ def test_equals_brute_force(spark, threshold):
     assert found == sorted(((k, brute(t, threshold)) for k, t in rows), key=str)
 
 
+def wrapped(text, width=9):
+    own = text.split()
+    return "\n".join(" ".join(own[i : i + width]) for i in range(0, len(own), width))
+
+
+def test_notices_across_and_within_lines_are_found(spark):
+    notices = [(spdx, n) for group in (TEMPLATES, TEXTS) for spdx, own in group.items() for n in own]
+    rows = [(i, f"Some words before it.\n{wrapped(n)}\nAnd words after it.") for i, (_, n) in enumerate(notices)]
+    rows += [(100 + i, f"This tool, as its authors say, {n} See the file for more.") for i, (_, n) in enumerate(notices)]
+    rows += [(900, "The code is released under the MIT License. See there. Its docs are licensed under CC BY 4.0. Enjoy."), (901, "plain text of the work")]
+    got = {r["doc_id"]: [(x["license"], x["score"]) for x in r["licenses"]] for r in scan_licenses(docs_table(spark, rows), texts=TEXTS).collect()}
+    for i, (spdx, _) in enumerate(notices):
+        assert got[i][0] == got[100 + i][0] == (spdx, 1.0)
+    assert got[900] == [("CC-BY-4.0", 1.0), ("MIT", 1.0)] and got[901] == []
+
+
 def test_empty_table(spark):
     assert scan_licenses(empty_docs(spark)).count() == 0
