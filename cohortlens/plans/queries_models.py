@@ -116,6 +116,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.roc_auc(scored, "label", "p")
 
 
+@query("svm_probability_groups")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Five calibrated classes: mean probability and frequency of each on the test rows."""
+    est = models.svm_linear(1.0)
+    run = _fit(spark, sf, "pain_group", est)
+    folded = split.stratified_kfold(run.train, "label", KEY, 3)
+    curves = models.platt_out_of_fold(folded, est, 3, len(run.classes), prep=_prep())
+    scored = run.model.transform(run.test).withColumn("p", curves.probability())
+    means = [F.avg(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(len(run.classes))]
+    shares = [F.avg((F.col("label") == i).cast("double")).alias(f"share{i}") for i in range(len(run.classes))]
+    return scored.agg(*means, *shares)
+
+
 @query("svr_linear")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(models.svr("linear"), spark, sf)
@@ -331,11 +344,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     keep = ["key", "label", "features"]
     folded = split.stratified_kfold(prep.transform(train).select(*keep), "label", KEY, 2)
     ordered = models.stable_order(folded, KEY)
-    logit, svm = models.logistic(), models.KernelSvm("linear")
+    logit, svm = models.logistic(), models.KernelSvm(components=50)
     forest, boost = models.random_forest_clf(10, 4), models.gbt_clf(5, 0.2, 3)
     candidates = {
         "logistic": (logit, [{logit.C: c} for c in (0.01, 1.0)]),
-        "svm": (svm, [{svm.C: c} for c in (0.1, 1.0)]),
+        "svm": (svm, [*({svm.kernel: "linear", svm.C: c} for c in (0.1, 1.0)), {svm.kernel: "rbf"}]),
         "random_forest": (forest, [{forest.maxDepth: d} for d in (2, 4)]),
         "gbt": (boost, []),
     }

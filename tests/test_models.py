@@ -301,3 +301,28 @@ def test_neighbours_are_a_tunable_model(vectors):
     two = tuning.RegressionScore("rmse").evaluate(knn.copy(grid[0]).fit(folded.where("fold = 0")).transform(folded.where("fold = 1")))
     assert scores[0] == pytest.approx((one + two) / 2)
     assert model.transform(vectors).where("prediction IS NULL").count() == 0
+
+
+def test_five_class_probabilities_are_registered(spark, sf):
+    from cohortlens.plans import registry
+
+    row = registry.QUERIES["svm_probability_groups"](spark, sf).first().asDict()
+    assert set(row) == {f"{kind}{i}" for kind in ("p", "share") for i in range(5)}
+    assert sum(row[f"p{i}"] for i in range(5)) == pytest.approx(1)
+
+
+def test_classifier_board_compares_kernels(spark, sf, monkeypatch):
+    from cohortlens.plans import registry
+    from cohortlens.plans.queries_models import tuning
+
+    seen = {}
+
+    def board(train, test, candidates, *rest):
+        seen.update(candidates)
+        return train.limit(0).withColumn("params", train["key"]), None
+
+    monkeypatch.setattr(tuning, "classifier_board", board)
+    registry.QUERIES["classifier_board"](spark, sf)
+    svm, grid = seen["svm"]
+    assert {point.get(svm.kernel) for point in grid} == {"linear", "rbf"}
+    assert {point[svm.C] for point in grid if svm.C in point} == {0.1, 1.0}
