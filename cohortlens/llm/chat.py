@@ -5,8 +5,9 @@ Grammar of the output (one conversation is its turns one after another)::
     turn := "<|im_start|>" role "\\n" body "<|im_end|>" "\\n"
 
 The parser is deterministic: the role ends at the first newline, the body at the first
-``<|im_end|>``. In a body it takes one backslash out of every ``<|\\...\\im_start|>`` and
-``<|\\...\\im_end|>``; in a role it reads ``\\n`` as a newline and ``\\\\`` as a backslash.
+``<|im_end|>``; a role or body that holds either control string bare is no turn. It takes
+one backslash out of every ``<|\\...\\im_start|>`` and ``<|\\...\\im_end|>``; in a role it then
+reads ``\\n`` as a newline and ``\\\\`` as a backslash.
 A turn is first rendered as it stands and parsed back; only what does not come back
 identical is escaped, until it does.
 """
@@ -39,11 +40,11 @@ def unescape_body(text: str) -> str:
 
 
 def escape_role(role: str) -> str:
-    return role.replace("\\", "\\\\").replace("\n", "\\n")
+    return escape_body(role.replace("\\", "\\\\").replace("\n", "\\n"))
 
 
 def unescape_role(role: str) -> str:
-    return _ESCAPED_ROLE.sub(lambda m: "\n" if m[1] == "n" else "\\", role) if "\\" in role else role
+    return _ESCAPED_ROLE.sub(lambda m: "\n" if m[1] == "n" else "\\", unescape_body(role)) if "\\" in role else role
 
 
 def parse(rendered: str) -> Iterator[tuple[str, str, int, int]]:
@@ -57,6 +58,8 @@ def parse(rendered: str) -> Iterator[tuple[str, str, int, int]]:
         if end < 0 or not rendered.startswith("\n", end + len(END)):
             raise ValueError(f"the turn at {at} does not end")
         role, body = rendered[at + len(START) : header], rendered[header + 1 : end]
+        if START in role or END in role or START in body:
+            raise ValueError(f"the turn at {at} holds a bare control string")
         yield unescape_role(role), unescape_body(body), header + 1, end
         at = end + len(END) + 1
 
