@@ -14,7 +14,7 @@ QUERY_EVERY = 50
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    whole = vectors.select("vec_id", integer_vectors(vectors, "embedding").alias("vector"))
+    whole = vectors.select("vec_id", integer_vectors(vectors, "embedding", strict=True).alias("vector"))
     return exact_top_k(whole, "vec_id", "vector", F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS)
 
 

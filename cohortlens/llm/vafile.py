@@ -23,15 +23,36 @@ CELLS = 64
 QUERY_BLOCK = 4096
 # Exact vectors read per query before the first look at the k-th exact score, times k.
 FIRST_READ = 4
-# Products of larger components would not fit a 64-bit score.
-LARGEST = 1 << 28
+# Integers from here on do not fit 64 bits; scores of this size or more are not told apart.
+_PAST_LONG, _PAST_SCORE = 2.0**63, "1" + "0" * 30
+_SCORE = "decimal(38,0)"
 
 
-def integer_vectors(vectors: DataFrame, vector: str, scale: int = 256) -> Column:
-    """floor(scale * x) of every component as long; null where the vector takes no part."""
+def integer_vectors(vectors: DataFrame, vector: str, scale: int = 256, strict: bool = False) -> Column:
+    """floor(scale * x) of every component as long; null where the vector takes no part.
+
+    That is where a component is null or not finite, and where an integer does not fit 64 bits;
+    `strict` makes the latter an error.
+    """
+    limit = F.lit(_PAST_LONG)
     values = F.transform(F.col(vector), lambda x: x.cast("double"))
-    sound = F.forall(values, lambda x: x.isNotNull() & (F.abs(x * F.lit(float(scale))) < F.lit(float(LARGEST))))
-    return F.when(sound, F.transform(values, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
+    sound = F.forall(values, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    fits = F.forall(values, lambda x: (x * F.lit(float(scale)) >= -limit) & (x * F.lit(float(scale)) < limit))
+    whole = F.transform(values, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
+    past = F.raise_error(F.lit("a scaled component does not fit 64 bits")).cast("array<bigint>") if strict else F.lit(None)
+    return F.when(sound, F.when(fits, whole).otherwise(past))
+
+
+def _scores(left: str, right: str, bound: Column) -> Column:
+    """Inner products as decimals, exact below 10^30; `bound` is no less than any partial sum."""
+    pairs = F.zip_with(left, right, lambda a, b: a * b)
+    small = F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x).cast(_SCORE)
+    products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
+    near = F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    exact = F.zip_with(left, right, lambda a, b: (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast(_SCORE))
+    large = F.aggregate(exact, F.lit(0).cast(_SCORE), lambda s, x: (s + x).cast(_SCORE))
+    past = F.lit(_PAST_SCORE).cast(_SCORE)
+    return F.when(bound < F.lit(2.0**62), small).when(near >= F.lit(1e30), past).when(near <= F.lit(-1e30), -past).otherwise(large)
 
 
 def _grid(column: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
@@ -54,7 +75,9 @@ def _encode(cells: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for width, rows in _by_length(vectors.value_lengths().to_numpy()):
             if width:
                 low, step = cells[width]
-                coded = ((_grid(vectors, rows, width) - low) // step).astype(np.uint8)
+                # Differences may need 64 bits without a sign.
+                above = _grid(vectors, rows, width).astype(np.uint64) - low.astype(np.uint64)
+                coded = (above // step.astype(np.uint64)).astype(np.uint8)
                 for row, code in zip(rows.tolist(), coded):
                     codes[row] = code.tobytes()
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], names=[*batch.schema.names, "code"])
@@ -71,12 +94,13 @@ def _bounds(queries: dict, cells: dict, batch: pa.RecordBatch) -> Iterator[tuple
         ids, vectors = queries[width]
         if width:
             low, step = cells[width]
-            floor = low + _grid(code, rows, width) * step.astype(np.float64)
+            # Wraps around and back: the sum fits.
+            floor = (low + _grid(code, rows, width).astype(np.int64) * step).astype(np.float64)
             base = vectors @ floor.T
             span = step - 1.0
-            # Past 2^53 products are rounded; the slack covers it.
-            slack = width * np.abs(vectors).max(axis=1) * np.abs(floor).max() * 2.0**-50 if base.size else 0.0
-            slack = np.where(slack < 8, 0.0, slack)
+            # Past 2^53 products and sums are rounded; the slack covers it.
+            most = width * np.abs(vectors).max(axis=1) * (np.abs(floor).max() + span.max()) if base.size else np.zeros(len(ids))
+            slack = np.where(most < 2.0**53, 0.0, most * (width + 8) * 2.0**-52)
             lower = base - (np.maximum(-vectors, 0) @ span + slack)[:, None]
             upper = base + (np.maximum(vectors, 0) @ span + slack)[:, None]
         else:
@@ -148,7 +172,8 @@ def exact_top_k(vectors: DataFrame, id_column: str, vector: str, is_query: Colum
     """`query_id`, `rank`, `vec_id` and `score` of every query's k best other rows.
 
     `vector` holds integers (array<bigint>); rows with a null id or vector take no part, and
-    only vectors of one length are compared. Scores are exact inner products; ties go to the
+    only vectors of one length are compared. Scores are exact inner products, and one of the
+    result that does not fit 64 bits is an error; ties go to the
     smaller id. A row is no match of itself, while another row with an equal id or vector
     is. Equal vectors are searched for once and kept as a class with its k + 1 smallest ids,
     so that groups of copies of any size cost one entry. Queries go to the workers in blocks
@@ -204,11 +229,13 @@ def exact_top_k(vectors: DataFrame, id_column: str, vector: str, is_query: Colum
     ordered = stored(
         candidates.withColumn("nth", F.row_number().over(by_query.orderBy(F.desc("upper"), "class"))), "va-ordered"
     )
-    asked = coded.select(F.col("class").alias("query"), F.col("vector").alias("asked"))
+    # The largest component, for a bound of the products.
+    most = F.coalesce(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")))), F.lit(0.0))
+    asked = coded.select(F.col("class").alias("query"), F.col("vector").alias("asked"), most.alias("asked_most"))
 
     def exact(pairs: DataFrame) -> DataFrame:
-        score = F.aggregate(F.zip_with("asked", "vector", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-        return pairs.join(coded.select("class", "vector", "members"), "class").join(asked, "query").select(
+        score = _scores("asked", "vector", F.col("asked_most") * F.col("most") * F.size("vector"))
+        return pairs.join(coded.select("class", "vector", "members", most.alias("most")), "class").join(asked, "query").select(
             "query", score.alias("score"), "members"
         )
 
@@ -225,10 +252,14 @@ def exact_top_k(vectors: DataFrame, id_column: str, vector: str, is_query: Colum
     nth = F.row_number().over(by_query.orderBy(F.desc("score"), "id", "row"))
     best = best.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
     answers = asking.select(F.col("class").alias("query"), F.col("id").alias("query_id"), F.col("row").alias("own")).join(best, "query")
+    # A vector's score with itself is no part of the result and may be of any size.
+    low, high = (F.lit(x).cast(_SCORE) for x in ("-9223372036854775808", "9223372036854775807"))
+    fits = F.col("score").between(low, high)
+    score = F.when(fits, F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score does not fit 64 bits")).cast("long"))
     rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "id", "row"))
     return (
         answers.where(F.col("row") != F.col("own"))
         .withColumn("rank", rank.cast("int"))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+        .select("query_id", "rank", F.col("id").alias("vec_id"), score.alias("score"))
     )

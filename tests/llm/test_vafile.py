@@ -44,3 +44,23 @@ def test_vectors_that_take_no_part(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {r["vec_id"]: r["v"] for r in table.select("vec_id", integer_vectors(table, "embedding").alias("v")).collect()}
     assert got == {1: [128, -1], 2: None, 3: None, 4: None, 5: None, 6: [], 7: None}
+
+
+def test_large_finite_components_take_part(spark):
+    rows = [(1, [2.0**20, 1.0]), (2, [-(2.0**22), 0.5]), (3, [1.0, 2.0**42]), (4, [0.25, -1.0]), (5, [2.0**26, 0.0]), (6, [float("inf"), 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = table.select("vec_id", integer_vectors(table, "embedding").alias("w"))
+    own = {key: [int(x * 256) for x in vector] for key, vector in rows[:-1]}
+    # The third's score with itself would not fit 64 bits.
+    asks = [1, 3, 4]
+    got = exact_top_k(whole, "vec_id", "w", F.col("vec_id").isin(asks), 4).collect()
+    want = []
+    for q in asks:
+        scores = sorted((-sum(a * b for a, b in zip(own[q], own[c])), c) for c in own if c != q)
+        want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scores)]
+    assert sorted(tuple(r) for r in got) == want
+    large = spark.createDataFrame([(1, [1 << 48]), (2, [1 << 48])], "vec_id long, w array<bigint>")
+    with pytest.raises(Exception, match="a score does not fit 64 bits"):
+        exact_top_k(large, "vec_id", "w", F.col("vec_id") == 1, 4).collect()
+    with pytest.raises(Exception, match="a scaled component does not fit 64 bits"):
+        spark.createDataFrame([([1e30],)], "e array<double>").select(integer_vectors(table, "e", strict=True)).collect()
