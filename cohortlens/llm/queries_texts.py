@@ -1,4 +1,4 @@
-"""Registered queries over documents: packing, near-duplicates, quality and repeated strings."""
+"""Registered queries over documents: packing, near-duplicates, quality, repeated strings and token alignment."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.alignment import align_documents
+from cohortlens.llm.minhash import PERCENT, minhash_components
 from cohortlens.llm.packing import pack_documents
 from cohortlens.llm.quality import in_fold, score_quality, train_quality
 from cohortlens.llm.simhash import simhash_components
@@ -40,5 +42,49 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {"op3_pack": op3_pack, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_repeats": op8_repeats}
-ORACLES: dict[str, str] = {}
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(table(spark, sf_dir, "documents"))
+
+
+# Every pair that shares a shingle is counted, and components are closed by reachability.
+OP11_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT rid, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT rid, words, unnest(generate_series(1, greatest(1, len(words) - 4))) AS i FROM docs WHERE len(words) > 0)
+), sizes AS (
+  SELECT rid, count(*) AS n FROM shingles GROUP BY rid
+), links AS (
+  SELECT a, b FROM (
+    SELECT x.rid AS a, y.rid AS b, count(*) AS same FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.rid <> y.rid GROUP BY x.rid, y.rid)
+  JOIN sizes p ON p.rid = a JOIN sizes q ON q.rid = b
+  WHERE 100 * same >= {PERCENT} * (p.n + q.n - same)
+), reach AS (
+  SELECT rid AS a, rid AS b FROM docs
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), found AS (
+  SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN docs ON docs.rid = reach.b GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM docs JOIN found USING (rid) LEFT JOIN sizes USING (rid)
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_documents(table(spark, sf_dir, "documents"), *paths)
+
+
+QUERIES = {
+    "op3_pack": op3_pack,
+    "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
+    "op8_repeats": op8_repeats,
+    "op11_minhash": op11_minhash,
+    "op12_alignment": op12_alignment,
+}
+ORACLES: dict[str, str] = {"op11_minhash": OP11_SQL}

@@ -1,4 +1,4 @@
-"""Registered query of exact top-k search."""
+"""Registered queries over embeddings: exact top-k search and whitening."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.store import table
 from cohortlens.llm.vafile import exact_top_k, integer_vectors
+from cohortlens.llm.whitening import whiten
 
 NEIGHBOURS = 5
 QUERY_EVERY = 50
@@ -34,5 +35,12 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-QUERIES = {"op9_exact_top_k": op9_exact_top_k}
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that no long can hold is null."""
+    found = whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+QUERIES = {"op9_exact_top_k": op9_exact_top_k, "op13_whitening": op13_whitening}
 ORACLES = {"op9_exact_top_k": OP9_SQL}
