@@ -11,22 +11,23 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col, numeric_or_null
 from cohortlens.functions.tails import f_sf, normal_two_sided, t_quantile, t_two_sided
-from cohortlens.operators.ranks import select_quantiles
+from cohortlens.operators.ranks import select_near, select_quantiles
 
 # Huber's tuning constant and the normal-consistency factor of the
 # median absolute deviation.
 HUBER_T = 1.345
 MAD_FACTOR = 0.6744897501960817
 
+# Rows read for the point about which sums are taken.
+PILOT_ROWS = 1000
+
 _ROUNDING = 1e-10  # shares of a variance below this are rounding
 
 
@@ -80,23 +81,58 @@ def symmetric(upper: np.ndarray, size: int) -> np.ndarray:
     return np.triu(out) + np.triu(out, 1).T
 
 
+def _about(rows: DataFrame, columns: Sequence[str], pivot: np.ndarray) -> Moments:
+    """Moments of complete rows from sums about a given point."""
+    p = len(columns)
+    shifted = F.array(*[as_col(c) - F.lit(float(m)) for c, m in zip(columns, pivot)])
+    one = F.array(F.lit(1.0))
+    sums = vector_sums(rows.select(shifted.alias("__x")), F.concat(one, F.col("__x"), products(F.col("__x"), p)))
+    n, off = sums[0], sums[1 : p + 1] / sums[0]
+    return Moments(int(n), pivot + off, symmetric(sums[p + 1 :], p) / n - np.outer(off, off))
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """Count, means and population covariances over complete rows.
 
-    Two aggregates for any number of columns: the means, then the sums of all products of
-    centred values as one vector.
+    One aggregate for any number of columns, of sums and products about the mean of the first
+    rows. Should that lie many deviations off the mean, sums are taken again about the mean.
     """
     rows = complete_rows(df, columns)
-    p = len(columns)
-    first = vector_sums(rows, F.array(F.lit(1.0), *[as_col(c) for c in columns]))
-    if first is None:
+    first = rows.limit(PILOT_ROWS).collect()
+    if not first:
         raise ValueError("no complete rows")
-    n, mean = first[0], first[1:] / first[0]
-    centred = F.array(*[as_col(c) - F.lit(float(m)) for c, m in zip(columns, mean)])
-    sums = vector_sums(rows.select(centred.alias("__x")), F.concat(F.col("__x"), products(F.col("__x"), p)))
-    # What rounding left of the means is taken out again.
-    off = sums[:p] / n
-    return Moments(int(n), mean + off, symmetric(sums[p:], p) / n - np.outer(off, off))
+    found = _about(rows, columns, np.array(first, float).mean(axis=0))
+    off = found.mean - np.array(first, float).mean(axis=0)
+    if (off * off > 1e6 * np.diag(found.cov)).any():
+        return _about(rows, columns, found.mean)
+    return found
+
+
+def descend(
+    xx: np.ndarray, xy: np.ndarray, l1: float, l2: float, start: np.ndarray | None = None, tol: float = 1e-12, max_iter: int = 100_000
+) -> np.ndarray:
+    """Coordinate descent on covariances: minimises ``b'Cb / 2 - c'b + l1 |b|_1 + l2 |b|^2 / 2``.
+
+    Constant features keep a slope of 0. Ends when no step moves the fit by more than ``tol`` of its scale.
+    """
+    slopes = np.zeros(len(xy)) if start is None else start.copy()
+    spread = np.diag(xx).copy()
+    moving = [j for j in range(len(xy)) if spread[j] > 0]
+    scale = float(np.abs(xy).max()) if len(xy) else 0.0
+    gradient = xy - xx @ slopes
+    for _ in range(max_iter):
+        step = 0.0
+        for j in moving:
+            old = slopes[j]
+            pull = gradient[j] + spread[j] * old
+            new = math.copysign(max(abs(pull) - l1, 0.0), pull) / (spread[j] + l2)
+            if new != old:
+                gradient -= xx[:, j] * (new - old)
+                slopes[j] = new
+                step = max(step, abs(new - old) * spread[j])
+        if step <= tol * scale:
+            break
+    return slopes
 
 
 def _solve(m: Moments, names: Sequence[str], ridge: float = 0.0) -> LinearFit:
@@ -123,32 +159,13 @@ def elastic_net(
     target: str,
     alpha: float = 1.0,
     l1_ratio: float = 0.5,
-    max_iter: int = 5000,
-    tol: float = 1e-10,
+    max_iter: int = 100_000,
+    tol: float = 1e-12,
 ) -> LinearFit:
-    """Minimises ``|y - Xb|^2 / 2n + alpha (l1_ratio |b|_1 + (1 - l1_ratio) |b|^2 / 2)``.
-
-    The fitting library scales the label by its deviation before it applies an L2
-    penalty, hence the factor on that part.
-    """
-    rows = complete_rows(df, [*features, target]).persist()
-    try:
-        sd = rows.agg(F.stddev_samp(as_col(target))).first()[0] or 0.0
-        l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * sd
-        lr = LinearRegression(
-            featuresCol="__v",
-            labelCol=target,
-            solver="l-bfgs",
-            regParam=l1 + l2,
-            elasticNetParam=l1 / (l1 + l2) if l1 + l2 else 0.0,
-            standardization=False,
-            maxIter=max_iter,
-            tol=tol,
-        )
-        model = lr.fit(VectorAssembler(inputCols=list(features), outputCol="__v").transform(rows))
-    finally:
-        rows.unpersist()
-    return LinearFit(tuple(features), tuple(model.coefficients.toArray()), float(model.intercept))
+    """Minimises ``|y - Xb|^2 / 2n + alpha (l1_ratio |b|_1 + (1 - l1_ratio) |b|^2 / 2)`` from moments."""
+    m = moments(df, [*features, target])
+    beta = descend(m.cov[:-1, :-1], m.cov[:-1, -1], alpha * l1_ratio, alpha * (1 - l1_ratio), tol=tol, max_iter=max_iter)
+    return LinearFit(tuple(features), tuple(map(float, beta)), float(m.mean[-1] - m.mean[:-1] @ beta))
 
 
 def lasso(df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0, **kw) -> LinearFit:
@@ -370,13 +387,19 @@ def _reweight(
     def residual(slopes: np.ndarray, intercept: float) -> Column:
         return as_col(target) - LinearFit(tuple(names), tuple(slopes), intercept).predicted()
 
-    def scale_of(r: Column) -> float:
+    def scale_of(r: Column, last: float = 0.0, moved: float = 0.0) -> float:
+        """The scale of the residuals; looked for first within what the last one may have moved."""
+        if last > 0:
+            middle, reach = last * MAD_FACTOR, min(0.5, max(5 * moved, 1e-4))
+            near = select_near(rows, F.abs(r), 0.5, int(total), middle * (1 - reach), middle * (1 + reach))
+            if near is not None:
+                return near / MAD_FACTOR
         return select_quantiles(rows, {"r": F.abs(r)}, 0.5)["r"] / MAD_FACTOR
 
     plain_gram, rhs, _ = _weighted_system(rows, names, target, None, constant, shift)
     slopes, intercept = solve(plain_gram, rhs)
     r = residual(slopes, intercept)
-    s = scale_of(r)
+    s, moved = scale_of(r), 0.02
     previous, iterations = math.inf, 0
     while s > 0 and iterations <= max_iter:
         # The loss at the current fit and the system of the next come from one pass.
@@ -386,7 +409,8 @@ def _reweight(
         previous = loss if iterations else math.inf
         slopes, intercept = solve(gram, rhs)
         r = residual(slopes, intercept)
-        s = scale_of(r)
+        last, s = s, scale_of(r, s, moved)
+        moved = abs(s / last - 1)
         iterations += 1
 
     estimates = [intercept, *slopes] if constant else list(slopes)

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col, numeric_or_null
 
-BUCKET_BITS = 8  # 256 buckets per group
+BUCKET_BITS = 8  # 256 buckets per group at first
+PART_ROWS = 1_000_000  # rows of a bucket beyond which it is cut into parts
 HOT_ROWS = 1_000_000  # rows beyond which a group's value counts are spread over several tasks
 HOT_GROUPS, SALTS = 1_000, 32  # the largest groups that are spread, and over how many tasks
 KEEP_VALUES, KEEP_COLUMNS = 200_000, 200  # values that may reach the driver, columns handled together
@@ -50,7 +51,9 @@ def cumulative_counts(
     (strictly below it) and ``t_total`` (whole group); ``center`` is a value near the group's
     median, to shift sums by. Null groups are groups. The bucket bounds are a sketch
     of the rows, combined on the map side. Values are counted before they are shuffled;
-    bucket totals and running counts both read that one shuffle.
+    bucket totals and running counts both read that one shuffle. A group of more than
+    ``PART_ROWS`` rows a bucket has its buckets cut into evenly wide parts, as many as its rows
+    ask for, so what a task sorts does not grow with the table.
 
     ``few_groups`` says that the number of groups is bounded by the plan (columns,
     listed timepoints) and not by the data; only then the per-group bounds and
@@ -68,7 +71,9 @@ def cumulative_counts(
     )
     cuts = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     sketch = F.expr(f"percentile_approx(value, array({cuts}), {40 * buckets})")
-    bounds = rows.groupBy(*keys).agg(sketch.alias("__bounds"), F.count(F.lit(1)).alias("__rows"))
+    bounds = rows.groupBy(*keys).agg(
+        sketch.alias("__bounds"), F.count(F.lit(1)).alias("__rows"), F.min("value").alias("__lo"), F.max("value").alias("__hi")
+    ).withColumn("__parts", F.ceil(F.col("__rows") / F.lit(buckets * PART_ROWS)).cast("double"))
     counted = rows.groupBy(*keys, "value").agg(*[F.sum(n).alias(n) for n in names])
     placed = _place(attach_groups(counted, bounds, keys, few_groups and bits <= 12), bits)
     group = Window.partitionBy(*keys)
@@ -130,14 +135,21 @@ def attach_groups(rows: DataFrame, stats: DataFrame, keys: Sequence[str], few_gr
 
 
 def _place(df: DataFrame, bits: int) -> DataFrame:
-    """Number of bounds below the value, by binary search."""
+    """Number of bounds below the value, by binary search, and with it the part of that bucket."""
     steps = ", ".join(str(1 << b) for b in reversed(range(bits)))
-    bucket = F.expr(
+    place = F.expr(
         f"coalesce(aggregate(array({steps}), 0, (pos, step) -> "
         "if(value > element_at(__bounds, pos + step), pos + step, pos)), 0)"
     )
     center = F.element_at("__bounds", 1 << (bits - 1))
-    return df.withColumns({"__bucket": bucket, "center": center}).drop("__bounds")
+    found = df.withColumns({"__place": place, "center": center})
+    low = F.coalesce(F.get("__bounds", F.col("__place") - 1), F.col("__lo"))
+    high = F.coalesce(F.get("__bounds", F.col("__place")), F.col("__hi"))
+    # Rises with the value; where the ends are not finite, all of a bucket is its last part.
+    share = F.when(high > low, (F.col("value") - low) / (high - low)).otherwise(F.lit(0.0))
+    part = F.least(F.floor(F.nanvl(share, F.lit(1.0)) * F.col("__parts")), F.col("__parts").cast("long") - 1)
+    bucket = F.col("__place").cast("long") * (1 << 40) + F.when(F.col("__parts") > 1, part).otherwise(F.lit(0))
+    return found.withColumn("__bucket", bucket).drop("__bounds", "__place", "__lo", "__hi", "__parts")
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str], few_groups: bool = False) -> DataFrame:
@@ -297,6 +309,15 @@ def select_quantiles(
     return {names[a]: v for a, v in result.items()}
 
 
+def select_near(df: DataFrame, column: Column, p: float, n: int, lo: float, hi: float, keep: int = KEEP_VALUES) -> float | None:
+    """The quantile of ``n`` known values in one job, if it lies between ``lo`` and ``hi`` with few values about it; else None."""
+    value = column.cast("double")
+    clipped = F.when(value < lo, F.lit(-math.inf)).when(value <= hi, value)
+    counts = df.select(clipped.alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    near = counts.limit(keep + 1).toPandas()
+    return None if len(near) > keep else _Bracket(p * (n - 1), lo, hi, 0, n).pick(near.sort_values("value"))
+
+
 @dataclass
 class _Bracket:
     """Interval known to hold two neighbouring order statistics, with counts below and inside."""

@@ -14,6 +14,7 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.operators.foldstats import LinearCandidate, score_folds
 from cohortlens.operators.metrics import accuracy_metrics, regression_metrics, roc_auc, target_verdict
 from cohortlens.operators.models import class_probability, fit_cached
 from cohortlens.session import ensure_checkpoint_dir
@@ -83,6 +84,13 @@ def _fold_tables(
     return fitted.transform(train), fitted.transform(held)
 
 
+def _best_of(maps: Sequence[Mapping], scores: Sequence[float], evaluator: Evaluator) -> Mapping:
+    """The first parameter set of the best score; none if no set has a score."""
+    sign = 1.0 if evaluator.isLargerBetter() else -1.0
+    valid = [i for i, s in enumerate(scores) if not math.isnan(s)]
+    return maps[max(valid, key=lambda i: sign * scores[i])] if valid else {}
+
+
 def grid_search(
     df: DataFrame,
     estimator: Estimator,
@@ -98,11 +106,16 @@ def grid_search(
     Preprocessing is fitted once per fold, on that fold's training rows, and shared by all
     parameter sets. A parameter set that the estimator rejects scores NaN; if all are, the
     estimator's own parameters are fitted. Any other failure ends the search. An estimator with a
-    ``score_grid`` method (train, held, maps, evaluator) scores all sets of a fold itself.
+    ``score_grid`` method (train, held, maps, evaluator) scores all sets of a fold itself, and one with a
+    ``score_folds`` method scores all sets on all folds of rows that need no preprocessing.
     Returns the model, its parameters, the mean scores and why sets were rejected.
     """
     ensure_checkpoint_dir(df.sparkSession)
     maps = list(grid) or [{}]
+    if prep is None and hasattr(estimator, "score_folds") and isinstance(evaluator, RegressionScore):
+        scores, rejected, refit = estimator.score_folds(df, maps, evaluator, folds, fold_col)
+        best = _best_of(maps, scores, evaluator)
+        return PipelineModel([refit(best)]), {p.name: v for p, v in best.items()}, scores, rejected
     sums = [0.0] * len(maps)
     rejected: dict[int, str] = {}
     for fold in range(folds):
@@ -130,9 +143,7 @@ def grid_search(
         finally:
             train.unpersist()
             held.unpersist()
-    sign = 1.0 if evaluator.isLargerBetter() else -1.0
-    valid = [i for i, s in enumerate(sums) if not math.isnan(s)]
-    best = maps[max(valid, key=lambda i: sign * sums[i])] if valid else {}
+    best = _best_of(maps, sums, evaluator)
     return (
         fit_with_preprocessing(df, estimator, prep, best),
         {p.name: v for p, v in best.items()},
@@ -173,9 +184,22 @@ def fit_or_fallback(
     return fit_with_preprocessing(df, estimator, prep), {}
 
 
+def _score_candidates(df: DataFrame, models: Mapping, folds: int, fold_col: str, label: str) -> list[tuple]:
+    """(model, fold, r2, rmse, mape) of the linear candidates."""
+    groups: dict = {}
+    for name, model in models.items():
+        if isinstance(model, LinearCandidate):
+            groups.setdefault(model.features, []).append(name)
+    rows = []
+    for features, names in groups.items():
+        found = score_folds(df, features, label, [models[n].penalty for n in names], folds, fold_col)
+        rows += [(names[i], fold, m["r2"], m["rmse"], m["mape"]) for (fold, i), m in found.items()]
+    return rows
+
+
 def cv_scores(
     df: DataFrame,
-    models: Mapping[str, Estimator | Callable[[DataFrame, DataFrame], DataFrame]],
+    models: Mapping[str, Estimator | LinearCandidate | Callable[[DataFrame, DataFrame], DataFrame]],
     folds: int,
     fold_col: str = "fold",
     prep: Estimator | None = None,
@@ -183,21 +207,26 @@ def cv_scores(
 ) -> DataFrame:
     """Mean R2, RMSE and MAPE of every regressor over the folds, by rising MAPE.
 
-    A model is an estimator, or a function of (train, validation) that returns the validation rows with a
-    ``prediction``. Folds without training or validation rows are skipped, and so are means of no value.
+    A model is an estimator, a linear candidate, or a function of (train, validation) that returns the
+    validation rows with a ``prediction``. All linear candidates over the same features are scored from one set
+    of fold statistics. Folds without training or validation rows are skipped, and so are means of no value.
     """
-    rows = []
-    for fold in range(folds):
+    rows = [] if prep is not None else _score_candidates(df, models, folds, fold_col, label)
+    fast = {name for name, model in models.items() if isinstance(model, LinearCandidate) and prep is None}
+    for fold in range(folds if len(fast) < len(models) else 0):
         train, held = (t.persist() for t in _fold_tables(df, fold, fold_col, prep))
         try:
             if train.isEmpty() or held.isEmpty():
                 continue
             for name, model in models.items():
-                scored = (
-                    model.fit(train).transform(held)
-                    if isinstance(model, Estimator)
-                    else model(train, held)
-                )
+                if name in fast:
+                    continue
+                if isinstance(model, LinearCandidate):
+                    scored = model.scored(train, held, label)
+                elif isinstance(model, Estimator):
+                    scored = model.fit(train).transform(held)
+                else:
+                    scored = model(train, held)
                 m = regression_metrics(scored, label, "prediction").first()
                 if m is not None:
                     rows.append((name, fold, m.r2, m.rmse, m.mape))

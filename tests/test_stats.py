@@ -251,3 +251,26 @@ def test_spread_of_large_values(spark):
     r = describe.describe(df, ["v"]).first()
     want = [1e9 + i % 7 for i in range(1000)]
     assert r.sd == pytest.approx(statistics.stdev(want), rel=1e-9) and r.mean == pytest.approx(statistics.fmean(want), rel=1e-12)
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    values = [rng.gauss(0, 1) for _ in range(900)] + [0.5] * 400 + [rng.expovariate(1.0) ** 8 for _ in range(300)]
+    values += [math.inf, -math.inf, math.nan]
+    df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "v double, g int").repartition(3)
+
+    def counted():
+        found = ranks.cumulative_counts(df, "v", ["g"], {"n": F.lit(1)}, bits=2)
+        return sorted((r.g, str(r.value), r.n, r.n_before, r.n_total) for r in found.collect())
+
+    plain = counted()
+    monkeypatch.setattr(ranks, "PART_ROWS", 20)
+    assert counted() == plain
+    own = sorted(v for i, v in enumerate(values) if i % 2 == 0 and not math.isnan(v))
+    before = {(g, v): below for g, v, _, below, _ in plain}
+    assert before[0, str(own[100])] == sum(v < own[100] for v in own) and before[0, "nan"] == len(own)
+    # Every bucket is cut into as many parts as the group's rows ask for, in the order of the values.
+    rows = [(v / 250, [0.5, 1.0, 2.0], 0.0, 4.0, 20.0) for v in range(1000)]
+    placed = ranks._place(spark.createDataFrame(rows, "value double, __bounds array<double>, __lo double, __hi double, __parts double"), 2)
+    buckets = [r["__bucket"] for r in placed.orderBy("value").collect()]
+    assert buckets == sorted(buckets) and 75 <= len(set(buckets)) <= 81
