@@ -20,12 +20,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import as_col
+from cohortlens.operators.nystroem import kernel_gamma, nystroem
 from cohortlens.shipping import ship_package
 
 UNBOUNDED_DEPTH = 30  # the deepest tree the library grows
@@ -178,21 +178,6 @@ class RandomFourierFeatures(
         return dataset.withColumn(self.getOutputCol(), made)
 
 
-def kernel_gamma(df: DataFrame, features: str = "features", rule: str = "scale") -> float:
-    """Kernel width: ``1 / (p * Var(X))`` over all entries, or ``1 / p``."""
-    s = df.select(
-        Summarizer.metrics("count", "mean", "variance").summary(F.col(features)).alias("s")
-    ).first().s
-    mean, var, n = s["mean"].toArray(), s["variance"].toArray(), s["count"]
-    p = len(mean)
-    if rule == "auto":
-        return 1.0 / p
-    if rule != "scale":
-        raise ValueError(f"unknown rule {rule!r}")
-    total = float(np.mean(var * (n - 1) / n) + np.var(mean))
-    return 1.0 / (p * total) if total > 0 else 1.0
-
-
 class ScaledVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """A vector times a number."""
 
@@ -212,8 +197,8 @@ class KernelSvm(Estimator):
     """A support vector machine whose kernel, width, degree and strength are grid parameters.
 
     ``kernel`` is linear, rbf or poly; ``gamma`` is scale, auto or a number as text. A rule for gamma is
-    worked out on the rows of each fit. The radial kernel runs as a linear machine over random
-    Fourier features, the polynomial one over expanded features.
+    worked out on the rows of each fit. The radial kernel runs as a linear machine over features
+    from landmark rows, the polynomial one over expanded features.
     """
 
     kernel = Param(Params._dummy(), "kernel", "linear, rbf or poly", TypeConverters.toString)
@@ -246,7 +231,7 @@ class KernelSvm(Estimator):
         if kernel == "linear":
             stages: list[Transformer] = []
         elif kernel == "rbf":
-            stages = [RandomFourierFeatures(gamma=width, components=self.components)]
+            stages = [nystroem(dataset, components=self.components, gamma=width)]
         elif kernel == "poly":
             degree = self.getOrDefault(self.degree)
             stages = [
