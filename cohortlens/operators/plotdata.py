@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import numeric_or_null
@@ -117,6 +117,50 @@ def kde_table(
     )
 
 
+def kde_binned(
+    df: DataFrame,
+    measures: Sequence[str],
+    by: Sequence[str] = (),
+    points: int = 200,
+    cells: int = 4096,
+    few_groups: bool = False,
+) -> DataFrame:
+    """The density of ``kde_table`` by linear binning and one convolution of the grid.
+
+    Every value gives its two neighbouring grid nodes their shares of its weight; the nodes' sums, combined
+    on the map side, are all that is shuffled. The points then sum the kernel over their group's nodes,
+    of which there are ``cells`` + 1 whatever the rows.
+    """
+    keys = [*by, "measure"]
+    tall = long_measures(df, measures, by)
+    stats = (
+        _range_stats(tall, keys)
+        .where(F.col("sd") > 0)
+        .select(*keys, "n_group", "lo", "hi", (F.col("sd") * F.pow("n_group", F.lit(-0.2))).alias("bw"))
+    )
+    place = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(cells)
+    low = F.least(F.floor(place), F.lit(cells - 1)).cast("int")
+    shares = F.array(
+        F.struct(low.alias("node"), (1 - (place - low)).alias("w")), F.struct((low + 1).alias("node"), (place - low).alias("w"))
+    )
+    spread = attach_groups(tall, stats, keys, few_groups or not by, "n_group").select(
+        *keys, "lo", "hi", "bw", F.col("n_group").alias("n"), F.inline(shares)
+    )
+    same = [F.first(c).alias(c) for c in ("lo", "hi", "bw", "n")]
+    nodes = spread.groupBy(*keys, "node").agg(F.sum("w").alias("w"), *same)
+    grids = nodes.groupBy(*keys).agg(F.collect_list(F.struct("node", "w")).alias("grid"), *same)
+    at = F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / (points - 1)
+    shown = grids.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")).withColumn("x", at)
+    step = (F.col("hi") - F.col("lo")) / cells
+
+    def add(total: Column, node: Column) -> Column:
+        z = (F.col("x") - F.col("lo") - node["node"] * step) / F.col("bw")
+        return total + node["w"] * F.exp(-0.5 * z * z)
+
+    total = F.aggregate("grid", F.lit(0.0), add)
+    return shown.select(*keys, "point", "x", (total / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density"))
+
+
 def boxplot_table(
     df: DataFrame,
     measures: Sequence[str],
