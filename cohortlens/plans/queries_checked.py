@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import format_probabilities, hash_uniform, truncate_to_int
 from cohortlens.operators import clean, describe, importance, linear, metrics, models, neighbors, split, tuning
+from cohortlens.operators.foldstats import LinearCandidate, MomentRegression, Penalty, linear_path
 from cohortlens.plans.standins import DIRTY, FLAT, U, R, cte, dirty_visits, flat, query, round_all, rounded, table
 
 # --- inputs with gaps, constants, twins and bad text ---------------------------------------
@@ -194,11 +195,6 @@ def _two(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return split.train_test_split(assembled.withColumn("fold", split.kfold("key", _FOLDS)), "key")
 
 
-def _scorer(fit):
-    """A moment-based model as a (train, validation) candidate."""
-    return lambda train, held: fit(train, ["qty"], "label").transform(held, "prediction")
-
-
 _CV_FITS = [
     _fit_sql(f"{name}{f}", f"u < 0.8 AND fold <> {f}", penalty)
     for f in range(_FOLDS)
@@ -218,7 +214,7 @@ _CV_ROWS = " UNION ALL ".join(
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _two(spark, sf)
-    candidates = {"linear": _scorer(linear.ols), "ridge": _scorer(lambda t, x, y: linear.ridge(t, x, y, 10000.0))}
+    candidates = {"linear": LinearCandidate(("qty",)), "ridge": LinearCandidate(("qty",), Penalty(total=10000.0))}
     return round_all(tuning.cv_scores(train, candidates, _FOLDS))
 
 
@@ -256,11 +252,52 @@ def _ridge_grid(est: LinearRegression) -> list:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _two(spark, sf)
-    est = _ridge()
-    grid = _ridge_grid(est)
+    est = MomentRegression(label_scaled=True)
+    grid = ParamGridBuilder().addGrid(est.alpha, list(_LAMBDAS)).build()
     _, _, scores, _ = tuning.grid_search(train, est, grid, tuning.RegressionScore("mape"), _FOLDS)
     found = tuning.params_table(spark, grid, scores)
-    return round_all(found.select(F.col("params")["regParam"].cast("double").alias("reg"), "score"))
+    return round_all(found.select(F.col("params")["alpha"].cast("double").alias("reg"), "score"))
+
+
+# --- an elastic net path over folds ---------------------------------------------------------
+
+_ALPHAS, _RATIOS, _SWEEPS = (0.05, 0.5, 2.0), (0.0, 0.5, 1.0), 60
+
+
+def _pulled(own: str, other: str, slope: str) -> str:
+    """One coordinate step: the new slope of `own` where the other has `slope`."""
+    pull = f"(s{own}y - s12 * {slope})"
+    return f"sign({pull}) * greatest(abs({pull}) - alpha * ratio, 0) / (s{own}{own} + alpha * (1 - ratio))"
+
+
+_PATH = [
+    f"rows AS (SELECT qty, 100 * discount AS d, y, CAST(floor({U('key', 42)} * {_FOLDS}) AS INT) AS fold FROM flat)",
+    # Fold -1 stands for the fit on all rows.
+    "mom AS (SELECT f.fold, count(*) AS n, avg(qty) AS m1, avg(d) AS m2, avg(y) AS my, var_pop(qty) AS s11, var_pop(d) AS s22, covar_pop(qty, d) AS s12, "
+    f"covar_pop(qty, y) AS s1y, covar_pop(d, y) AS s2y FROM rows JOIN (SELECT unnest(generate_series(-1, {_FOLDS - 1})) AS fold) f ON rows.fold <> f.fold GROUP BY f.fold)",
+    f"points AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE)' for a in _ALPHAS)}) a(alpha), (VALUES {', '.join(f'({r}::DOUBLE)' for r in _RATIOS)}) r(ratio))",
+    "steps AS (SELECT mom.*, alpha, ratio, 0 AS i, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM mom, points UNION ALL "
+    f"SELECT fold, n, m1, m2, my, s11, s22, s12, s1y, s2y, alpha, ratio, i + 1, c1, {_pulled('2', '1', 'c1')} FROM "
+    f"(SELECT *, {_pulled('1', '2', 'b2')} AS c1 FROM steps WHERE i < {_SWEEPS}))",
+    f"fits AS (SELECT fold, alpha, ratio, b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM steps WHERE i = {_SWEEPS})",
+    "held AS (SELECT rows.fold, alpha, ratio, 1 - avg(pow(y - b0 - b1 * qty - b2 * d, 2)) / var_pop(y) AS r2, sqrt(avg(pow(y - b0 - b1 * qty - b2 * d, 2))) AS rmse "
+    "FROM rows JOIN fits ON rows.fold = fits.fold GROUP BY ALL)",
+    "scores AS (SELECT alpha, ratio, avg(r2) AS r2, avg(rmse) AS rmse FROM held GROUP BY ALL)",
+]
+
+
+@query(
+    "enet_path",
+    cte(FLAT, *_PATH).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"SELECT alpha, ratio AS l1_ratio, {R('r2')} AS r2, {R('rmse')} AS rmse, (b1 <> 0)::INT + (b2 <> 0)::INT AS nonzero, {R('b1')} AS b_qty, "
+    f"{R('b2')} AS b_d, {R('b0')} AS intercept FROM scores JOIN fits USING (alpha, ratio) WHERE fold = -1",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = flat(spark, sf).select("key", "qty", (100 * F.col("discount")).alias("d"), "y")
+    folded = rows.withColumn("fold", split.kfold("key", _FOLDS))
+    path = linear_path(folded, ["qty", "d"], "y", _ALPHAS, _RATIOS, _FOLDS)
+    slopes = [F.col("coefficients")[c].alias(f"b_{c}") for c in ("qty", "d")]
+    return round_all(path.select("alpha", "l1_ratio", "r2", "rmse", "nonzero", *slopes, "intercept"))
 
 
 _BOARD = [
@@ -477,3 +514,66 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _few(spark, sf, "c")
     model = models.fit_cached(models.random_forest_clf(1, 1).setBootstrap(False), train)
     return model.transform(test).select("key", rounded(vector_to_array("probability")[1]).alias("p"))
+
+
+# --- importances, selection and fallback on stumps and one feature ---------------------------
+
+_TWO_X = f"rows AS (SELECT key, discount, tax, y, {U('key', 42)} AS u FROM flat)"
+
+
+def _gain_sql(feature: str) -> str:
+    """The best cut of a feature: its name, cut, gain and the two means."""
+    return (
+        f"{feature}_v AS (SELECT {feature} AS x, count(*)::DOUBLE AS n, sum(y) AS s FROM rows WHERE u < 0.8 GROUP BY 1), "
+        f"{feature}_c AS (SELECT x, sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(n) OVER () AS nt, sum(s) OVER () AS st FROM {feature}_v "
+        "WINDOW o AS (ORDER BY x ROWS UNBOUNDED PRECEDING)), "
+        f"{feature}_b AS MATERIALIZED (SELECT '{feature}' AS feature, x AS cut, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt AS gain, "
+        f"sl / nl AS lo, (st - sl) / (nt - nl) AS hi FROM {feature}_c WHERE nl < nt ORDER BY gain DESC LIMIT 1)"
+    )
+
+
+_STUMP_OF_TWO = [
+    _TWO_X,
+    _gain_sql("discount"),
+    _gain_sql("tax"),
+    "found AS (SELECT * FROM discount_b UNION ALL SELECT * FROM tax_b), best AS MATERIALIZED (SELECT * FROM found ORDER BY gain DESC LIMIT 1)",
+]
+
+
+def _of_two(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = flat(spark, sf).select("key", "discount", "tax", F.col("y").alias("label"))
+    return split.train_test_split(VectorAssembler(inputCols=["discount", "tax"], outputCol="features").transform(rows), "key")
+
+
+@query(
+    "importances_stump",
+    cte(FLAT, *_STUMP_OF_TWO) + "SELECT feature, (gain = (SELECT gain FROM best))::INT::DOUBLE AS importance, "
+    "CAST(row_number() OVER (ORDER BY gain DESC) AS INT) AS rank FROM found",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    train, _ = _of_two(spark, sf)
+    model = models.fit_cached(models.random_forest_reg(1, 1).setBootstrap(False), train)
+    return round_all(importance.importance_table(spark, model, ["discount", "tax"]))
+
+
+@query(
+    "importance_select_refit_stump",
+    cte(FLAT, *_STUMP_OF_TWO) + f"SELECT key, {R('CASE WHEN CASE feature WHEN $$tax$$ THEN tax ELSE discount END <= cut THEN lo ELSE hi END')} AS prediction "
+    "FROM rows, best WHERE u >= 0.8",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _of_two(spark, sf)
+    model, _ = importance.importance_select_refit(train, models.random_forest_reg(1, 1).setBootstrap(False), 1)
+    return round_all(model.transform(test).select("key", "prediction"))
+
+
+@query("fallback_base_model", cte(FLAT, _SPLIT, _PLAIN, _TEST) + f"SELECT key, {R('predicted')} AS prediction FROM t")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Too few rows of a class for the folds: the grid is passed over and the base model fitted."""
+    train, test = _two(spark, sf)
+    est = LinearRegression(solver="normal")
+    grid = ParamGridBuilder().addGrid(est.regParam, list(_LAMBDAS)).build()
+    model, params = tuning.fit_or_fallback(train, est, grid, tuning.RegressionScore("mape"), _FOLDS, _FOLDS - 1)
+    if params:
+        raise AssertionError("the base model has no tuned parameters")
+    return round_all(model.transform(test).select("key", "prediction"))

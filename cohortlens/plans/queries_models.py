@@ -7,14 +7,17 @@ All of them read the whole table.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import cut_bins, hash_uniform
-from cohortlens.operators import importance, linear, metrics, models, neighbors, split, tuning
+from cohortlens.operators import importance, metrics, models, neighbors, split, tuning
 from cohortlens.operators.clean import sample_n
 from cohortlens.operators.features import Preprocessor, feature_names
+from cohortlens.operators.foldstats import LinearCandidate, Penalty
+from cohortlens.operators.kernels import PairwiseProbability, TubeRegression
 from cohortlens.plans import flows
 from cohortlens.plans.standins import U, R, flat, query, round_all, table
 from cohortlens.sources.visits import inline_records
@@ -129,14 +132,32 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return scored.agg(*means, *shares)
 
 
+@query("svm_pairwise_groups")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Three classes by one-against-one machines with coupled probabilities: mean probability and frequency of each on the test rows."""
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("price"), F.length("p_name").alias("name_length"),
+        F.col("p_size").cast("double").alias("size"), F.least(F.lit(2), F.floor(F.col("p_size") / 17)).cast("double").alias("label"),
+    )
+    names = ["price", "name_length", "size"]
+    train, test = split.stratified_split(rows, "label", ["key"])
+    prep = Preprocessor(names).fit(train)
+    folded = split.stratified_kfold(prep.transform(train).select("key", "label", "features"), "label", ["key"], 3)
+    model = PairwiseProbability(lambda: models.svm_linear(1.0, one_vs_rest=False, max_iter=30), 3).fit(folded)
+    scored = model.transform(prep.transform(test)).withColumn("p", vector_to_array("probability"))
+    means = [F.avg(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(3)]
+    shares = [F.avg((F.col("label") == i).cast("double")).alias(f"share{i}") for i in range(3)]
+    return scored.agg(*means, *shares, F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
+
+
 @query("svr_linear")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(models.svr("linear"), spark, sf)
+    return _scored(TubeRegression("linear", epsilon=0.5), spark, sf)
 
 
 @query("svr_rbf")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(models.svr("rbf", gamma=0.1), spark, sf)
+    return _scored(TubeRegression("rbf", epsilon=0.5, gamma=0.1, components=50), spark, sf)
 
 
 @query("random_forest_reg")
@@ -221,28 +242,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return tuning.params_table(spark, grid, scores)
 
 
-def _linear_on(features: int, fit):
-    """A moment-based linear model as a (train, validation) scorer."""
-    from cohortlens.operators.describe import vector_columns
-
-    names = [f"f{i}" for i in range(features)]
-
-    def run(train: DataFrame, held: DataFrame) -> DataFrame:
-        model = fit(vector_columns(train, "features", names), names, "label")
-        return model.transform(vector_columns(held, "features", names), "prediction")
-
-    return run
-
-
 @query("cv_scores")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _regression(spark, sf)
-    width = len(feature_names(train))
     folded = train.withColumn("fold", split.kfold("key", 2))
     candidates = {
-        "linear": _linear_on(width, linear.ols),
-        "ridge": _linear_on(width, linear.ridge),
-        "lasso": _linear_on(width, linear.lasso),
+        "linear": LinearCandidate(),
+        "ridge": LinearCandidate(penalty=Penalty(total=1.0)),
+        "lasso": LinearCandidate(penalty=Penalty.elastic(1.0, 1.0)),
         "svr_linear": models.svr("linear"),
         "random_forest": models.random_forest_reg(5, 4),
         "gbt": models.gbt_reg(5, 0.3, 3),
@@ -363,15 +370,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     names = ["p_partkey", "p_size", "name_length"]
     scaled = Preprocessor(names).fit(rows).transform(rows).withColumn("key", F.col("p_partkey").cast("long"))
     folded = models.stable_order(scaled.select("key", "features", "label").withColumn("fold", split.kfold("key", 5)), KEY)
-    width = len(names)
     boosted = lambda seed, depth: tuning.early_stopped(
         lambda held: models.gbt_reg(10, 0.3, depth, 0.8, seed=seed, validation_col=held)
     )
     candidates = {
-        "linear": _linear_on(width, linear.ols),
-        "ridge": _linear_on(width, linear.ridge),
-        "lasso": _linear_on(width, linear.lasso),
-        "elastic_net": _linear_on(width, linear.elastic_net),
+        "linear": LinearCandidate(),
+        "ridge": LinearCandidate(penalty=Penalty(total=1.0)),
+        "lasso": LinearCandidate(penalty=Penalty.elastic(1.0, 1.0)),
+        "elastic_net": LinearCandidate(penalty=Penalty.elastic(1.0, 0.5)),
         "knn": neighbors.NearestNeighbours("key", 5, task="regress"),
         "svr_linear": models.svr("linear"),
         "svr_rbf": models.svr("rbf", gamma=0.3),
