@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.decontaminate import find_contamination
@@ -15,39 +15,51 @@ from cohortlens.llm.store import stored, table
 from cohortlens.llm.suffixes import remove_repeats
 
 
-def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns))
+def _apart(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The documents under column names that no operator uses, and the new names of key and text."""
+    names = {c: f"document_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names["doc_id"], names["text"]
+
+
+def _restored(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The documents' own columns under their own names, but for the changed ones."""
+    return df.select(*(changed.get(c, F.col(f"document_{i}")).alias(c) for i, c in enumerate(docs.columns)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = train_quality(docs, table(spark, sf_dir, "labels"), "quality")
-    scored = score_quality(docs, model, name="__score__")
-    return _columns(scored.where(F.col("__score__") >= QUALITY_THRESHOLD), docs)
+    apart, _, text = _apart(docs)
+    scored = score_quality(apart, model, text)
+    return _restored(scored.where(F.col("score") >= QUALITY_THRESHOLD), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return keep_one_per_component(docs)
+    apart, key, text = _apart(docs)
+    return _restored(keep_one_per_component(apart, key, text), docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur more than once; an emptied one keeps its row."""
-    cut = remove_repeats(docs)
+    """All documents, without the passages that occur more than once; an emptied one keeps its row.
+
+    `n_chars`, where the documents have it, follows the text.
+    """
+    apart, key, text = _apart(docs)
+    cut = remove_repeats(apart, key, text)
     changed = F.col("n_removed") > 0
-    out = cut.withColumns(
-        {
-            "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
-            "n_chars": F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars")).cast("bigint"),
-        }
-    )
-    return _columns(out, docs)
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col(text))}
+    if "n_chars" in docs.columns:
+        old = F.col(f"document_{docs.columns.index('n_chars')}")
+        new["n_chars"] = F.when(changed, F.length("kept_text")).otherwise(old).cast("bigint")
+    return _restored(cut, docs, **new)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _columns(found.where(~F.col("contaminated")), docs)
+    apart, _, text = _apart(docs)
+    found = find_contamination(apart, table(spark, sf_dir, "benchmark"), text)
+    return _restored(found.where(~F.col("contaminated")), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
