@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +115,24 @@ def runs(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np
         row = past
 
 
+def byte_runs(values: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, int]]:
+    """First and past row, and bytes, of runs of rows of about `limit` bytes of strings; a longer one is a run of its own."""
+    ends = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(ends):
+        base = int(ends[row - 1]) if row else 0
+        past = max(row + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield row, past, int(ends[past - 1]) - base
+        row = past
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches cut into small ones, so that what is made of one stays small."""
     for batch in batches:

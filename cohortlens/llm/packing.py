@@ -57,7 +57,7 @@ def _cut(limit: int, vocabulary: str, texts: pa.Array) -> list[pa.Array]:
     """Each text's pieces: start, length, checksum and the text's own number of ids."""
     end = np.array([END_ID], "<u4").tobytes()
     pieces = []
-    for ids in word_encoder(vocabulary).encode([text or "" for text in texts.to_pylist()]):
+    for ids in word_encoder(vocabulary).encode_array(texts):
         data = ids + end
         total = len(data) // 4
         pieces.append(
