@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.bytestrings import Rolling, runs, slices, text_bytes
+from cohortlens.llm.bytestrings import Rolling, byte_runs, runs, slices, text_bytes
 from cohortlens.llm.store import stored
 from cohortlens.shipping import ship_package
 
@@ -120,11 +120,17 @@ def _rows(doc, place, core, full, decided) -> pa.RecordBatch:
 _ROWS = "doc bigint, place bigint, core bigint, full bigint, decided boolean"
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the strings of a column stay below a run's bytes."""
+    for batch in batches:
+        for first, past, _ in byte_runs(batch.column(column)):
+            yield batch.slice(first, past - first)
+    pa.default_memory_pool().release_unused()
+
+
 def _refine(shape: Shape, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The names of groups of `size` strings; input: doc, place, decided and the bytes of all the place's strings."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _parts(batches, 3):
         doc, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         decided = batch.column(2).to_numpy(zero_copy_only=False)
         contexts = batch.column(3).to_pylist()
@@ -187,7 +193,7 @@ def _resolve(rows: DataFrame, sample: DataFrame, label: str) -> DataFrame:
 
 def _contexts(shape: Shape, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, place, decided, bytes of all the place's strings); input: doc, text, list of (place, decided)."""
-    for batch in slices(batches):
+    for batch in _parts(batches, 1):
         data, ends = text_bytes(batch.column(1))
         base = ends - np.diff(ends, prepend=0)
         lists = batch.column(2)
@@ -206,7 +212,7 @@ def _contexts(shape: Shape, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 def _trim(shape: Shape, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut each context down to its narrower place; input: doc, place, decided, context, wide place."""
-    for batch in batches:
+    for batch in _parts(batches, 3):
         _, least, most = _unpack(batch.column(1).to_numpy())
         _, _, wide = _unpack(batch.column(4).to_numpy())
         start, stop = wide - most, wide - least + shape.length
