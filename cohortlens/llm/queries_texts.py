@@ -42,6 +42,33 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+# Every 400-character window of the bytes in hexadecimal, and the runs that repeated ones cover.
+OP8_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS h FROM documents
+), places AS (
+  SELECT rid, i, hash(substr(h, 2 * i + 1, 400)) AS name
+  FROM (SELECT rid, h, unnest(generate_series(0, len(h) // 2 - 200)) AS i FROM docs WHERE len(h) >= 400)
+), again AS (
+  SELECT rid, i FROM places JOIN (SELECT name FROM places GROUP BY name HAVING count(*) > 1) USING (name)
+), marked AS (
+  SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 200, true) AS starts FROM again
+), runs AS (
+  SELECT rid, min(i) AS a, max(i) + 200 AS b
+  FROM (SELECT rid, i, sum(starts::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM marked) GROUP BY rid, run
+), parts AS (
+  SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM runs
+), cut AS (
+  SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM parts JOIN docs USING (rid) GROUP BY rid
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (rid)
+"""
+
+
 def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(table(spark, sf_dir, "documents"))
 
@@ -87,4 +114,4 @@ QUERIES = {
     "op11_minhash": op11_minhash,
     "op12_alignment": op12_alignment,
 }
-ORACLES: dict[str, str] = {"op11_minhash": OP11_SQL}
+ORACLES: dict[str, str] = {"op8_repeats": OP8_SQL, "op11_minhash": OP11_SQL}

@@ -67,3 +67,17 @@ def test_one_very_long_conversation(spark):
     assert row["n_turns"] == 30_000
     masked = "".join(f"t{i}" for i in range(1, 30_000, 2))
     assert row["loss_sha256"] == hashlib.sha256(masked.encode()).hexdigest()
+
+
+def test_hostile_roles_and_texts_give_the_sql_rows(spark, tmp_path):
+    import random
+
+    from cohortlens.llm.queries_chat import OP1_SQL, op1_chat_format
+    from tests.compare import difference, duck
+
+    rng = random.Random(11)
+    make = lambda: "".join(rng.choices(HOSTILE, k=rng.randint(0, 4)))
+    rows = [(c, t, rng.choice(["user", "assistant", make()]), make()) for c in range(60) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/written")
+    (next((tmp_path / "written").glob("*.parquet"))).rename(tmp_path / "conversations.parquet")
+    assert difference(duck(str(tmp_path)), op1_chat_format(spark, str(tmp_path)), OP1_SQL) is None

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortlens.llm import queries
@@ -81,6 +82,16 @@ def test_every_stage_against_brute_force(spark, tables):
     assert sorted(map(tuple, whole.select(packed.columns).collect())) == sorted(map(tuple, packed.collect()))
 
 
+def test_columns_with_the_operators_names_pass_untouched(spark, tables):
+    names = ("hits", "removed", "n_bytes", "__id__", "kept_text", "fingerprint", "score", "n_words", "contaminated", "n_removed")
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", *(F.lit(f"own {n}").alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tables)
+        assert out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+
+
 def test_empty_documents(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
