@@ -72,7 +72,7 @@ def test_tube_regression_on_a_kernel_and_awkward_rows(spark):
     rows = [(i, x, math.sin(2 * x[0])) for i, x, _ in rows]
     extra = [(900, None, 1.0), (901, [1.0], None), (902, [math.nan], 1.0)]
     df = spark.createDataFrame(rows + extra, "key long, features array<double>, label double")
-    model = TubeRegression("rbf", c=10.0, epsilon=0.1, gamma=0.5, components=12).fit(df.where("key < 900"))
+    model = TubeRegression("rbf", c=10.0, epsilon=0.1, gamma=0.5, components=12, tol=1e-3).fit(df.where("key < 900"))
     scored = model.transform(df.where("key < 900")).collect()
     assert np.mean([abs(r.prediction - r.label) for r in scored]) < 0.1
     line_of = TubeRegression().fit(df)
@@ -152,8 +152,8 @@ def test_pairwise_machines_give_calibrated_classes(spark):
     rng = random.Random(9)
     centres = [(0, 0), (3, 0), (0, 3)]
     rows = [(i, [centres[i % 3][0] + rng.gauss(0, 1), centres[i % 3][1] + rng.gauss(0, 1)], float(i % 3)) for i in range(300)]
-    df = table(spark, rows).withColumn("fold", (F.col("key") % 4).cast("int"))
-    model = PairwiseProbability(lambda: svm_linear(1.0, one_vs_rest=False), 4).fit(df)
+    df = table(spark, rows).withColumn("fold", (F.col("key") % 2).cast("int"))
+    model = PairwiseProbability(lambda: svm_linear(1.0, one_vs_rest=False, max_iter=30), 2).fit(df)
     scored = model.transform(df)
     assert set(scored.columns) == {*df.columns, "probability", "prediction"}
     found = scored.withColumn("p", vector_to_array("probability")).collect()
