@@ -14,20 +14,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.bytestrings import slices
+from cohortlens.llm.bytestrings import byte_runs, slices
 from cohortlens.llm.store import stored
-from cohortlens.llm.subwords import UnitEncoder, Units, gather, unit_encoder
+from cohortlens.llm.subwords import UnitEncoder, Units, unit_encoder
+from cohortlens.llm.wordstore import gather
 from cohortlens.shipping import ship_package
 
 # Bytes of text that are merged at once, and that share one list of id pairs.
-RUN_BYTES, CHUNK_BYTES = 1 << 20, 1 << 25
+RUN_BYTES, CHUNK_BYTES = 1 << 21, 1 << 25
 # A document of more tokens than this enters the state vector in parts, cut where tokens of both end.
 LANE_TOKENS = 256
+# Distinct units of a chunk that are merged at once.
+_UNITS = 100_000
 
 
 @dataclass
@@ -87,8 +91,9 @@ class Aligned:
     """A batch of texts with its tokens and links; `stop_*` count tokens and links up to each text's end."""
 
     def __init__(self, encoder: UnitEncoder, units: Units):
-        self.a = gather(units.a, units.per_a, units.codes)
-        self.b = gather(units.b, units.per_b, units.codes)
+        self.a, self.b = (
+            gather(ids, np.cumsum(per) - per, per, units.codes) for ids, per in ((units.a, units.per_a), (units.b, units.per_b))
+        )
         text = np.repeat(np.arange(len(units.per_text)), units.per_text)
         count = lambda per: np.cumsum(np.bincount(text, per[units.codes], len(units.per_text))).astype(np.int64)
         self.stop_a, self.stop_b = count(units.per_a), count(units.per_b)
@@ -125,19 +130,6 @@ def _per_text(stops: np.ndarray) -> np.ndarray:
     return np.diff(stops, prepend=0)
 
 
-def _byte_runs(texts: pa.Array, limit: int) -> Iterator[tuple[int, int, int]]:
-    """First and past row, and bytes, of runs of about `limit` bytes; a longer text is a run of its own."""
-    sizes = np.array([len(x.as_buffer() or b"") if x.is_valid else 0 for x in texts.cast(pa.binary())], np.int64)
-    first, total = 0, 0
-    for row, size in enumerate(sizes.tolist()):
-        if row > first and total + size > limit:
-            yield first, row, total
-            first, total = row, 0
-        total += size
-    if first < len(sizes):
-        yield first, len(sizes), total
-
-
 _DIGEST = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -148,106 +140,108 @@ def _merge_counts(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np
     return distinct, np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
 
 
+class _Chunk:
+    """What the runs of a chunk share: its distinct units by number, and its id pairs with their counts."""
+
+    def __init__(self, number: int):
+        self.number, self.bytes = number, 0
+        self.units = pa.array([], pa.large_string())
+        self.pairs: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, encoder: UnitEncoder, units: Units, found: Aligned, size: int) -> np.ndarray:
+        """Count a run in; the chunk's own codes of the run's units."""
+        pair, n = np.unique(found.pairs(encoder.b.size), return_counts=True)
+        self.pairs.append(pair)
+        self.counts.append(n)
+        self.bytes += size
+        at = pc.index_in(units.names, value_set=self.units)
+        own = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = units.names.filter(pc.is_null(at))
+        own[own < 0] = len(self.units) + np.arange(len(new))
+        self.units = pa.concat_arrays([self.units, new])
+        return own[units.codes]
+
+    def links(self, encoder: UnitEncoder, pair: np.ndarray) -> bytes:
+        """The number of links of each unit, then each link's place among the chunk's pairs."""
+        many, places = [], []
+        for at in range(0, len(self.units), _UNITS):
+            some = self.units.slice(at, _UNITS)
+            found = Aligned(encoder, Units(some, np.arange(len(some)), np.ones(len(some), np.int64), *encoder.ids(some)))
+            many.append(_per_text(found.stop_links))
+            places.append(np.searchsorted(pair, found.pairs(encoder.b.size)))
+        # Units of texts without tokens alone may have pairs that are not counted; nothing asks for them.
+        whole = np.minimum(np.concatenate([*places, np.zeros(0, np.int64)]), max(0, len(pair) - 1))
+        return b"".join(x.astype("<u4").tobytes() for x in (np.array([len(self.units)]), *many, whole))
+
+
 def _align(a_path: str, b_path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of runs (chunk, docs, units, names) and, with the last of each chunk, its id pairs with their counts."""
+    """Rows of runs (chunk, docs, data: their units) and one of each chunk (data: its units' links, pairs with counts)."""
     encoder = unit_encoder(a_path, b_path)
     spelled = _spelled(max(encoder.a.size, encoder.b.size))
-    packer = zstandard.ZstdCompressor(level=1)
-    chunk, filled, pairs, counts = (TaskContext.get().partitionId() << 24), 0, [], []
-    names = ["chunk", "docs", "units", "names", "pairs"]
+    pack = zstandard.ZstdCompressor(level=1).compress
     pair_type = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))
+    chunk = _Chunk(TaskContext.get().partitionId() << 24)
+
+    def row(docs: pa.Array, data: bytes, pairs: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk.number]), docs, pa.array([pack(data)], pa.binary()), pairs], names=["chunk", "docs", "data", "pairs"]
+        )
 
     def chunk_end() -> pa.RecordBatch:
-        pair, n = _merge_counts(pairs, counts)
+        pair, n = _merge_counts(chunk.pairs, chunk.counts)
         listed = pa.StructArray.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
         held = pa.ListArray.from_arrays(pa.array([0, len(pair)], pa.int32()), listed)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([chunk]), pa.nulls(1, docs_type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), held], names=names
-        )
+        return row(pa.nulls(1, docs_type), chunk.links(encoder, pair), held)
 
     docs_type = None
     for batch in slices(batches):
-        for first, past, size in _byte_runs(batch.column(1), RUN_BYTES):
+        for first, past, size in byte_runs(batch.column(1), RUN_BYTES):
             keys, texts = batch.column(0).slice(first, past - first), batch.column(1).slice(first, past - first)
             units = encoder.units(texts)
             found = Aligned(encoder, units)
-            pair, n = np.unique(found.pairs(encoder.b.size), return_counts=True)
-            pairs.append(pair)
-            counts.append(n)
+            codes = chunk.add(encoder, units, found, size)
             digests = [hashlib.sha256(shown.encode()).hexdigest() if shown else "" for shown in found.group_texts(spelled)]
             per_text = [_per_text(x) for x in (found.stop_a, found.stop_b, found.stop_groups, found.stop_links)]
             fields = [keys, *(pa.array(x) for x in per_text), pa.array(digests), pa.array(units.per_text)]
             rows = pa.StructArray.from_arrays(fields, names=["key", *_DIGEST, "groups_sha256", "n_units"])
             docs = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
             docs_type = docs.type
-            codes = packer.compress(units.codes.astype("<u4").tobytes())
-            # Units hold no zero character but where a text is one; the lengths tell them apart.
-            spelled_names = [x.encode() for x in units.names]
-            lengths = np.array([len(x) for x in spelled_names], "<u4")
-            told = packer.compress(np.uint32(len(lengths)).tobytes() + lengths.tobytes() + b"".join(spelled_names))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk]), docs, pa.array([codes]), pa.array([told]), pa.nulls(1, pair_type)], names=names
-            )
-            filled += size
-            if filled >= CHUNK_BYTES:
+            yield row(docs, codes.astype("<u4").tobytes(), pa.nulls(1, pair_type))
+            if chunk.bytes >= CHUNK_BYTES:
                 yield chunk_end()
-                chunk, filled, pairs, counts = chunk + 1, 0, [], []
-    if docs_type is not None:
+                chunk = _Chunk(chunk.number + 1)
+    if chunk.pairs:
         yield chunk_end()
 
 
-def _names(told: bytes) -> list[str]:
-    data = zstandard.ZstdDecompressor().decompress(told)
-    many = int(np.frombuffer(data, "<u4", 1)[0])
-    stops = 4 + 4 * many + np.cumsum(np.frombuffer(data, "<u4", many, 4).astype(np.int64))
-    starts = np.append(4 + 4 * many, stops[:-1])
-    return [data[a:b].decode() for a, b in zip(starts.tolist(), stops.tolist())]
-
-
-def _unit_sums(encoder: UnitEncoder, names: list[str], pair: np.ndarray, count: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Over each unit's links: the sum of their counts, and how many have the highest count of their B id."""
-    entries = encoder.entries(names)
-    every = np.arange(len(names))
-    per = [np.array([len(e[k]) >> 2 for e in entries], np.int64) for k in (0, 1)]
-    ids = [np.frombuffer(b"".join([e[k] for e in entries]), np.uint32).astype(np.int64) for k in (0, 1)]
-    found = Aligned(encoder, Units(names, every, np.ones(len(names), np.int64), *ids, *per))
-    at = np.searchsorted(pair, found.pairs(encoder.b.size))
-    # A unit of a text without tokens may have pairs that no text has.
-    at = np.minimum(at, max(0, len(pair) - 1))
-    unit = np.repeat(every, _per_text(found.stop_links))
-    sums = np.zeros(len(names), np.int64)
-    if len(pair):
-        np.add.at(sums, unit, count[at])
-        highest = np.bincount(unit, best[at], len(names)).astype(np.int64)
-    else:
-        highest = sums.copy()
-    return sums, highest
-
-
-def _score(a_path: str, b_path: str, runs: pa.Table, told: pa.Table) -> pa.Table:
+def _score(runs: pa.Table, told: pa.Table) -> pa.Table:
     """Each document of a chunk with its sums; `told` has the chunk's pairs with count and best."""
-    encoder = unit_encoder(a_path, b_path)
+    unpack = zstandard.ZstdDecompressor().decompress
     pair = told.column("pair").to_numpy()
     order = np.argsort(pair)
-    pair, count = pair[order], told.column("count").to_numpy()[order]
+    count = told.column("count").to_numpy()[order]
     best = told.column("best").to_numpy(zero_copy_only=False)[order].astype(np.int64)
-    unpack = zstandard.ZstdDecompressor().decompress
+    ends = runs.filter(pc.is_null(runs.column("docs")))
+    data = np.frombuffer(unpack(ends.column("data")[0].as_py()), "<u4").astype(np.int64)
+    stops, places = np.cumsum(data[1 : 1 + data[0]]), data[1 + data[0] :]
+
+    def by_stop(values: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return np.diff(np.append(0, np.cumsum(values))[stops], prepend=0)
+
+    sums, highest = (by_stop(values[places] if len(pair) else np.zeros(0, np.int64), stops) for values in (count, best))
     out = []
-    for docs, units, names in zip(*(runs.column(c) for c in ("docs", "units", "names"))):
+    own = runs.filter(pc.is_valid(runs.column("docs")))
+    for docs, units in zip(own.column("docs"), own.column("data")):
         rows = docs.values
         codes = np.frombuffer(unpack(units.as_py()), "<u4").astype(np.int64)
-        sums, highest = _unit_sums(encoder, _names(names.as_py()), pair, count, best)
-        stops = np.cumsum(rows.field("n_units").to_numpy())
-
-        def upto(values: np.ndarray, codes: np.ndarray = codes, stops: np.ndarray = stops) -> pa.Array:
-            total = np.append(0, np.cumsum(values[codes]))
-            return pa.array(np.diff(total[stops], prepend=0))
-
+        texts = np.cumsum(rows.field("n_units").to_numpy())
         out.append(
             pa.table(
                 {"key": rows.field("key")}
                 | {c: rows.field(c) for c in _DIGEST}
-                | {"n_best": upto(highest), "count_sum": upto(sums), "groups_sha256": rows.field("groups_sha256")}
+                | {"n_best": by_stop(highest[codes], texts), "count_sum": by_stop(sums[codes], texts)}
+                | {"groups_sha256": rows.field("groups_sha256")}
             )
         )
     return pa.concat_tables(out)
@@ -256,9 +250,9 @@ def _score(a_path: str, b_path: str, runs: pa.Table, told: pa.Table) -> pa.Table
 def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's alignment: `key`, token, group and link counts, `n_best`, `count_sum` and the digest of its groups.
 
-    The first pass tokenises and merges every text, and writes the texts' units (compressed) next to the
-    id pairs of each chunk of about 32 MB of text. Pairs are counted over the corpus, each chunk asks for its own
-    pairs' counts by join, and the second pass sums them over units and texts. A link's count is how many links
+    The first pass tokenises and merges every text, and writes the texts' units, and once for each chunk of about 32 MB
+    of text the links of its distinct units and its id pairs (compressed). Pairs are counted over the corpus, each chunk
+    asks for its own pairs' counts by join, and the second pass sums them over units and texts. A link's count is how many links
     of the corpus hold its id pair; `n_best` counts links with the highest count of their B id, ties included.
     Null and empty texts, and texts that their tokens do not spell byte by byte, have zeros and the digest ''.
     Repeated rows and null keys are rows like others; other columns are left behind; an empty table gives no rows.
@@ -273,7 +267,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     aligned = stored(
         rows.mapInArrow(
             lambda batches: _align(a_path, b_path, batches),
-            f"chunk bigint, docs array<{doc}>, units binary, names binary, pairs array<struct<pair:bigint,n:bigint>>",
+            f"chunk bigint, docs array<{doc}>, data binary, pairs array<struct<pair:bigint,n:bigint>>",
         ),
         "aligned",
     )
@@ -285,11 +279,9 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     judged = counts.withColumn("b", F.col("pair") % size_b).join(F.broadcast(highest), "b")
     best = judged.select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
     told = asked.select(F.col("chunk").alias("of_chunk"), "pair").join(best, "pair")
-    runs = aligned.where("docs is not null").select("chunk", "docs", "units", "names")
+    runs = aligned.select("chunk", "docs", "data")
     schema = f"key {kind}, " + ", ".join(f"{c} bigint" for c in outputs[:-1]) + ", groups_sha256 string"
-    scored = runs.groupBy("chunk").cogroup(told.groupBy("of_chunk")).applyInArrow(
-        lambda left, right: _score(a_path, b_path, left, right), schema
-    )
+    scored = runs.groupBy("chunk").cogroup(told.groupBy("of_chunk")).applyInArrow(_score, schema)
     return scored.select(F.col("key").alias(key), *outputs)
 
 
@@ -300,7 +292,7 @@ def _listed(values: np.ndarray, stops: np.ndarray) -> pa.Array:
 def _spans(a_path: str, b_path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = unit_encoder(a_path, b_path)
     for batch in slices(batches):
-        for first, past, _ in _byte_runs(batch.column(1), RUN_BYTES):
+        for first, past, _ in byte_runs(batch.column(1), RUN_BYTES):
             found = Aligned(encoder, encoder.units(batch.column(1).slice(first, past - first)))
             before = lambda stops: np.append(0, stops[:-1])
             own = lambda values, of, stops: values - np.repeat(before(of), _per_text(stops))

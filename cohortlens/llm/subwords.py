@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,10 +18,13 @@ import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 
-# Units of one generation of the memory; two generations are held.
-REMEMBERED = 150_000
-# Longer units (whole texts) are not remembered.
-_LONGEST = 64
+from cohortlens.llm.bytestrings import byte_letters
+from cohortlens.llm.wordstore import Learned, WordStore, interleaved
+
+# Units that stay in a worker's memory.
+REMEMBERED = 200_000
+# New words encoded at a time.
+_JOINED = 4096
 
 # Fixed value: the byte-level vocabulary's own split of texts.
 _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,11 +34,8 @@ _WHOLE = (
 )
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+# A unit without white space after its first character; only such units are cut apart again when joined.
+_WORD = re.compile(r"[ \n][^ \n]+").fullmatch
 
 
 class ByteVocabulary:
@@ -80,9 +79,9 @@ class PieceVocabulary:
 
 @dataclass
 class Units:
-    """The units of a run of texts: each text's codes into the distinct units, and those units' ids end to end."""
+    """The units of a run of texts: the different ones, each text's codes into them, and their ids end to end."""
 
-    names: list[str]
+    names: pa.Array
     codes: np.ndarray
     per_text: np.ndarray
     a: np.ndarray
@@ -91,46 +90,56 @@ class Units:
     per_b: np.ndarray
 
 
-def gather(values: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The values of each code one after another; code k has `counts[k]` values."""
-    many = counts[codes]
-    starts = (np.cumsum(counts) - counts)[codes]
-    shift = starts - (np.cumsum(many) - many)
-    return values[np.repeat(shift, many) + np.arange(int(many.sum()))]
-
-
 class UnitEncoder:
-    """Encodes units with both vocabularies and remembers the short ones."""
+    """Encodes units with both vocabularies and remembers them."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteVocabulary(a_path), PieceVocabulary(b_path)
         self.a_bytes = np.array([len(x) for x in self.a.bytes_of], np.int64)
         self.b_bytes = np.array([len(x) for x in self.b.bytes_of], np.int64)
-        # Unit -> ids in A and in B as bytes; empty ones where the joined tokens are not the unit.
-        self._young: dict[str, tuple[bytes, bytes]] = {}
-        self._old: dict[str, tuple[bytes, bytes]] = {}
-
-    def _learn(self, units: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        known = {}
-        of_a, of_b = self.a.bytes_of, self.b.bytes_of
-        for unit, a, b in zip(units, self.a.encode(units), self.b.encode(units)):
+        # Units whose joined tokens are not the unit have no ids.
+        self.store = WordStore(self._learn, 2, REMEMBERED)
+
+    def _learn(self, units: list[str]) -> Learned:
+        """Ids of new units in A and B; words are encoded joined, the vocabularies cut them apart again."""
+        word = np.array([bool(_WORD(u)) for u in units])
+        rest, numbers = np.flatnonzero(~word), np.flatnonzero(word)
+        parts = [(rest, self._alone([units[i] for i in rest.tolist()]))]
+        for at in range(0, len(numbers), _JOINED):
+            some = [units[i] for i in numbers[at : at + _JOINED].tolist()]
+            parts.append((numbers[at : at + _JOINED], self._joined(some) or self._alone(some)))
+        return interleaved(parts)
+
+    def _joined(self, words: list[str]) -> Learned | None:
+        """Ids by one call; None if they can't be told apart by word."""
+        # The space in front is the one that B puts there itself.
+        text = " a" + "".join(words)
+        stops = np.cumsum([2, *(len(w.encode()) for w in words)])
+        sides = []
+        for vocabulary, lengths in ((self.a, self.a_bytes), (self.b, self.b_bytes)):
+            ids = np.array(vocabulary.encode([text])[0], np.int64)
+            ends = np.cumsum(lengths[ids])
+            cuts = np.searchsorted(ends, stops)
+            spelled = b"".join([vocabulary.bytes_of[i] for i in ids.tolist()]) == text.encode()
+            if not spelled or not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], stops):
+                return None
+            sides.append((ids[cuts[0] + 1 :], np.diff(cuts)))
+        return sides
+
+    def _alone(self, units: list[str]) -> Learned:
+        sides: list[list] = [[], []]
+        for unit, *both in zip(units, self.a.encode(units), self.b.encode(units)):
             spelled = unit.encode()
-            same = b"".join([of_a[i] for i in a]) == spelled and b"".join([of_b[i] for i in b]) == spelled
-            known[unit] = (array("I", a).tobytes(), array("I", b).tobytes()) if same else (b"", b"")
-        return known
-
-    def entries(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        young, old = self._young, self._old
-        found = [young.get(u) or old.get(u) for u in units]
-        missing = [u for u, entry in zip(units, found) if entry is None]
-        fresh = self._learn(missing)
-        found = [fresh[u] if entry is None else entry for u, entry in zip(units, found)]
-        for unit, entry in zip(units, found):
-            if len(unit) <= _LONGEST:
-                young[unit] = entry
-        if len(young) > REMEMBERED:
-            self._young, self._old = {}, young
-        return found
+            same = all(b"".join([v.bytes_of[i] for i in ids]) == spelled for v, ids in zip((self.a, self.b), both))
+            for side, ids in zip(sides, both):
+                side.append(np.array(ids if same else [], np.int64))
+        return [(np.concatenate([np.zeros(0, np.int64), *side]), np.array([len(x) for x in side], np.int64)) for side in sides]
+
+    def ids(self, names: pa.Array) -> tuple[np.ndarray, ...]:
+        """The ids of different units in A and B, and how many each has."""
+        places = self.store.places(names)
+        found = [self.store.numbers(side, places).astype(np.int64) for side in (0, 1)]
+        return *found, *(self.store.counts[side][places] for side in (0, 1))
 
     def units(self, texts: pa.Array) -> Units:
         """Cuts the texts; null and empty texts, and those that their tokens do not spell, have no units."""
@@ -139,25 +148,24 @@ class UnitEncoder:
         cut = pc.if_else(whole, pa.scalar("", pa.large_string()), texts)
         parts = pc.split_pattern(pc.replace_substring(cut, "\n", " \n"), " ")
         told = parts.flatten().dictionary_encode()
-        names = [p if p[:1] == "\n" else " " + p for p in told.dictionary.to_pylist()]
+        first_line = pc.starts_with(told.dictionary, "\n")
+        space, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+        names = pc.if_else(first_line, told.dictionary, pc.binary_join_element_wise(space, told.dictionary, none))
         codes = told.indices.to_numpy().astype(np.int64)
         per_text = parts.value_lengths().to_numpy().astype(np.int64)
         first = np.cumsum(per_text) - per_text
         # A blanked text has one empty part, which is dropped or stands for the whole text.
         blank = np.flatnonzero(pc.equal(cut, "").to_numpy(zero_copy_only=False))
         is_whole = whole.to_numpy(zero_copy_only=False)[blank]
-        codes[first[blank[is_whole]]] = len(names) + np.arange(int(is_whole.sum()))
-        names += [" " + texts[i].as_py() for i in blank[is_whole].tolist()]
+        distinct = texts.take(pa.array(blank[is_whole])).dictionary_encode()
+        codes[first[blank[is_whole]]] = len(names) + distinct.indices.to_numpy()
+        names = pa.concat_arrays([names, pc.binary_join_element_wise(space, distinct.dictionary, none)])
         keep = np.ones(len(codes), bool)
         keep[first[blank[~is_whole]]] = False
         per_text[blank[~is_whole]] = 0
         codes = codes[keep]
 
-        entries = self.entries(names)
-        a = np.frombuffer(b"".join([x for x, _ in entries]), np.uint32).astype(np.int64)
-        b = np.frombuffer(b"".join([x for _, x in entries]), np.uint32).astype(np.int64)
-        per_a = np.array([len(x) >> 2 for x, _ in entries], np.int64)
-        per_b = np.array([len(x) >> 2 for _, x in entries], np.int64)
+        a, b, per_a, per_b = self.ids(names)
         wrong = per_a[codes] == 0
         if wrong.any():
             text = np.repeat(np.arange(len(per_text)), per_text)

@@ -10,7 +10,8 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from cohortlens.llm.alignment import align_documents, alignments, lockstep
-from cohortlens.llm.subwords import byte_letters, unit_encoder
+from cohortlens.llm.bytestrings import byte_letters
+from cohortlens.llm.subwords import unit_encoder
 from tests.llm.helpers import awkward_texts, docs_table, empty_docs, words
 
 PATHS = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
