@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from cohortlens.llm.bytestrings import with_text_columns
 from cohortlens.shipping import ship_package
 
-# Labelled pages that weights are learned from, and the most frequent tokens that get a weight.
-LABELLED_PAGES, LEARNED_TOKENS = 400, 5000
+# Labelled pages that weights are learned from.
+LABELLED_PAGES = 400
 
 # Element names of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math object select button".split())
+# Of those, the ones that stand within a line: they go, and the line stays one.
+_RAW_INLINE = frozenset("textarea iframe svg math object select button".split())
 _INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split()
 )
@@ -179,10 +181,21 @@ class Weights:
         return self.chains[containers]
 
 
+def best_run(gains: list[float]) -> tuple[float, int, int]:
+    """The greatest sum of a contiguous run, and where it starts and stops; the first of equals, an empty one if none is above 0."""
+    best, span, start, total = 0.0, (0, 0), 0, 0.0
+    for at, gain in enumerate(gains, 1):
+        total += gain
+        if total <= 0:
+            total, start = 0.0, at
+        elif total > best:
+            best, span = total, (start, at)
+    return best, *span
+
+
 def extract(page: str, weights: Weights) -> str:
     """The page's main text: blocks in page order, joined by an empty line."""
-    scored, gain = [], 0.0
-    best, best_span, start, total = 0.0, (0, 0), 0, 0.0
+    scored, gains = [], []
     for kind, value, containers, _ in tokens(page):
         if kind == _TAG:
             gain, content = weights.tag(value), False
@@ -191,13 +204,10 @@ def extract(page: str, weights: Weights) -> str:
             content = weight >= 0.5
             gain = weight * len(value.split())
         scored.append((kind, value, content))
-        total += gain
-        if total <= 0:
-            total, start = 0.0, len(scored)
-        elif total > best:
-            best, best_span = total, (start, len(scored))
+        gains.append(gain)
+    _, start, stop = best_run(gains)
     blocks, open_block = [], []
-    for kind, value, content in scored[best_span[0] : best_span[1]]:
+    for kind, value, content in scored[start:stop]:
         if kind == _WORDS:
             if content:
                 open_block.append(value)
@@ -205,7 +215,7 @@ def extract(page: str, weights: Weights) -> str:
             element = value.lstrip("/").partition(".")[0]
             if element == "br":
                 open_block.append(" ")
-            elif element not in _INLINE:
+            elif element not in _INLINE and element not in _RAW_INLINE:
                 blocks.append(open_block)
                 open_block = []
     blocks.append(open_block)
@@ -244,19 +254,22 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def learn_weights(pages: DataFrame, page: str = "html", key: str = "page_id", limit: int = LABELLED_PAGES) -> dict[str, tuple[int, int]]:
-    """Counts inside and outside the content for the most frequent tokens of at most `limit` labelled pages.
+    """Counts inside and outside the content for every token of at most `limit` labelled pages.
 
     A page is labelled if an article element marks its content; a hash of the key decides
-    which pages are taken. Null keys and pages are passed over.
+    which pages are taken, equal rows being one. Null keys and pages are passed over. Only hashes meet
+    in one task to be picked, and only the picked pages are shuffled.
     """
     ship_package(pages.sparkSession)
     marked = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{page}`").cast("string").alias("page"))
     marked = marked.where(F.col("page").rlike("(?i)<article[ >]") & F.col("key").isNotNull())
-    picked = marked.orderBy(F.xxhash64("key"), F.xxhash64("page")).limit(limit).select("page")
+    marked = marked.withColumns({"h": F.xxhash64("key"), "g": F.xxhash64("page")})
+    # At most `limit` rows of two hashes.
+    wanted = F.broadcast(marked.select("h", "g").distinct().orderBy("h", "g").limit(limit))
+    picked = marked.join(wanted, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.min("page").alias("page")).select("page")
     counts = picked.mapInArrow(_count_batches, "token string, inside boolean, n bigint").groupBy("token")
     sides = counts.agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o"))
-    rows = sides.orderBy(F.desc(F.col("i") + F.col("o")), "token").limit(LEARNED_TOKENS).collect()
-    return {r["token"]: (r["i"], r["o"]) for r in rows}
+    return {r["token"]: (r["i"], r["o"]) for r in sides.collect()}
 
 
 def extract_text(

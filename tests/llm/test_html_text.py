@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cohortlens.llm.html_text import Weights, extract, extract_text, learn_weights, tokens
+from cohortlens.llm.html_text import Weights, best_run, extract, extract_text, learn_weights, tokens
 
 ARTICLE = ("Big title", "Para one & two with bold word.", "item one", "item two", "More text after break", "last para of the story")
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style></head><body>
@@ -20,6 +20,14 @@ def dynamic_best(scores):
     return max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_the_linear_scan_finds_the_greatest_sum(seed):
+    rng = random.Random(seed)
+    gains = [rng.choice([-2.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randint(0, 40))]
+    best, start, stop = best_run(gains)
+    assert best == dynamic_best(gains) == sum(gains[start:stop])
+
+
 def test_article_without_what_surrounds_it():
     assert extract(PAGE, Weights({})) == "\n\n".join(ARTICLE)
 
@@ -54,6 +62,8 @@ def test_the_run_has_the_greatest_sum(seed):
         ("<p>a<p>b<b", "a\n\nb"),
         ("<p>a &lt;b&gt; &eacute;&#233;&nbsp;c</p>", "a <b> éé c"),
         ("<p>one<br>two</p><p> </p><p>three</p>", "one two\n\nthree"),
+        ("<p>x <button>Buy</button> y</p>", "x y"),
+        ("<p>see <svg><path d='M0'/><text>no</text></svg>the <select><option>a</select> sign</p><p>next</p>", "see the sign\n\nnext"),
     ],
 )
 def test_odd_markup(page, text):
