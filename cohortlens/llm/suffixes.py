@@ -1,10 +1,10 @@
-"""Removal of long repeated byte strings, by prefix doubling over a sparse set of positions.
+"""Removal of long repeated byte strings, by growing names of strings around a sparse set of positions.
 
-Ranking every byte position would shuffle many times the corpus. Instead every string of
+Ranking every byte position by pairs of ranks would shuffle many times the corpus. Instead every string of
 the wanted length is represented by its anchor, the position with the least hash among its
 first `spread` grams. The anchor depends on the string's bytes alone, so equal strings have
 anchors at equal places, and only anchors (about two in `spread` + 1 positions) are ranked.
-Ranks are names (hashes) of byte strings around the anchor, and the strings grow from round
+Names are hashes of byte strings around the anchor, and the strings grow from round
 to round: from the core that all strings of an anchor share, over the cores of ever smaller
 groups of them, to the strings themselves. After each round Spark sorts the names; what is
 unique drops out, what is repeated as a whole is decided, and only the rest goes on with
