@@ -119,13 +119,8 @@ def _fold_sums(rows: DataFrame, pivot: np.ndarray) -> FoldMoments:
     )
 
 
-def fold_moments(df: DataFrame, features: str | Sequence[str], target: str, fold_col: str = "fold") -> FoldMoments:
-    """Moments of features and target by fold, over complete rows, in one scan; the driver gets a row per fold.
-
-    Sums are taken about the mean of the first rows. Should those lie many deviations off the mean
-    (sorted or coded values), the sums are taken again about the mean itself.
-    """
-    rows = _known(df, features, target, fold_col)
+def _moments(rows: DataFrame) -> FoldMoments:
+    """Moments of rows as ``_known`` gives them."""
     first = rows.select("x", "y").limit(PILOT_ROWS).collect()
     if not first:
         return FoldMoments(np.zeros(0), {}, {}, {})
@@ -137,6 +132,15 @@ def fold_moments(df: DataFrame, features: str | Sequence[str], target: str, fold
     return found
 
 
+def fold_moments(df: DataFrame, features: str | Sequence[str], target: str, fold_col: str = "fold") -> FoldMoments:
+    """Moments of features and target by fold, over complete rows, in one scan; the driver gets a row per fold.
+
+    Sums are taken about the mean of the first rows. Should those lie many deviations off the mean
+    (sorted or coded values), the sums are taken again about the mean itself.
+    """
+    return _moments(_known(df, features, target, fold_col))
+
+
 @dataclass(frozen=True)
 class LinearCandidate:
     """A linear model that folds, grids and boards may score from fold statistics.
@@ -219,36 +223,54 @@ def score_folds(
     folds: int,
     fold_col: str = "fold",
     metrics: Sequence[str] = ("r2", "rmse", "mape"),
-    moments: FoldMoments | None = None,
 ) -> dict[tuple[int, int], dict[str, float]]:
     """Metrics by (fold, penalty number) on the rows held out; folds without rows on one side are left out.
 
     ``mse``, ``rmse`` and ``r2`` follow from the moments; ``mape`` and ``mae`` read the rows once more,
     all folds and penalties together. Definitions are those of ``regression_metrics``.
     """
-    moments = moments or fold_moments(df, features, target, fold_col)
-    tables = _fit_folds(moments, penalties, folds)
-    out: dict[tuple[int, int], dict[str, float]] = {}
-    for fold, table in tables.items():
-        held = moments.of(fold)
-        for i, row in enumerate(table):
-            mse = _mse(held, row)
-            var = float(held.cov[-1, -1])
-            r2 = 1 - mse / var if var > 0 else float(mse == 0)
-            out[fold, i] = {"n": held.n, "mse": mse, "rmse": math.sqrt(mse), "r2": r2}
-    if tables and {"mape", "mae"} & set(metrics):
-        ship_package(df.sparkSession)
-        sent = df.sparkSession.sparkContext.broadcast(tables)
-        sums = _known(df, features, target, fold_col).mapInArrow(
-            lambda batches: _absolute_sums(sent.value, batches),
-            "fold int, candidate int, error double, share double, nonzero double, largest double",
-        )
-        added = [F.sum(c).alias(c) for c in ("error", "share", "nonzero")]
-        for r in sums.groupBy("fold", "candidate").agg(*added, F.max("largest").alias("largest")).collect():
-            found = out[r.fold, r.candidate]
-            found["mae"] = r.error / found["n"]
-            found["mape"] = 100 * r.share / r.nonzero if r.nonzero else (math.inf if r.largest > 0 else 0.0)
-    return out
+    return _scored(df, features, target, penalties, folds, fold_col, metrics)[0]
+
+
+def _scored(
+    df: DataFrame,
+    features: str | Sequence[str],
+    target: str,
+    penalties: Sequence[Penalty],
+    folds: int,
+    fold_col: str,
+    metrics: Sequence[str],
+) -> tuple[dict[tuple[int, int], dict[str, float]], FoldMoments]:
+    """The scores, and the moments they come from; rows that are read twice are cached between."""
+    rows, absolute = _known(df, features, target, fold_col), bool({"mape", "mae"} & set(metrics))
+    rows = rows.persist() if absolute else rows
+    try:
+        moments = _moments(rows)
+        tables = _fit_folds(moments, penalties, folds)
+        out: dict[tuple[int, int], dict[str, float]] = {}
+        for fold, table in tables.items():
+            held = moments.of(fold)
+            for i, row in enumerate(table):
+                mse = _mse(held, row)
+                var = float(held.cov[-1, -1])
+                r2 = 1 - mse / var if var > 0 else float(mse == 0)
+                out[fold, i] = {"n": held.n, "mse": mse, "rmse": math.sqrt(mse), "r2": r2}
+        if tables and absolute:
+            ship_package(df.sparkSession)
+            sent = df.sparkSession.sparkContext.broadcast(tables)
+            sums = rows.mapInArrow(
+                lambda batches: _absolute_sums(sent.value, batches),
+                "fold int, candidate int, error double, share double, nonzero double, largest double",
+            )
+            added = [F.sum(c).alias(c) for c in ("error", "share", "nonzero")]
+            for r in sums.groupBy("fold", "candidate").agg(*added, F.max("largest").alias("largest")).collect():
+                found = out[r.fold, r.candidate]
+                found["mae"] = r.error / found["n"]
+                found["mape"] = 100 * r.share / r.nonzero if r.nonzero else (math.inf if r.largest > 0 else 0.0)
+    finally:
+        if absolute:
+            rows.unpersist()
+    return out, moments
 
 
 class MomentRegression(Estimator):
@@ -306,10 +328,7 @@ class MomentRegression(Estimator):
                 if len(maps) == 1:
                     raise
                 rejected[i] = str(error)
-        moments = fold_moments(df, self.features, self.label, fold_col)
-        found = score_folds(
-            df, self.features, self.label, list(valid.values()), folds, fold_col, [evaluator.metric], moments
-        )
+        found, moments = _scored(df, self.features, self.label, list(valid.values()), folds, fold_col, [evaluator.metric])
         for at, i in enumerate(valid):
             own = [found[f, at][evaluator.metric] for f in range(folds) if (f, at) in found]
             # A fold without rows has no score, and so has the mean.
@@ -344,8 +363,7 @@ def linear_path(
     """
     points = [(float(a), float(r)) for r in l1_ratios for a in alphas]
     penalties = [Penalty.elastic(a, r) for a, r in points]
-    moments = fold_moments(df, features, target, fold_col)
-    found = score_folds(df, features, target, penalties, folds, fold_col, ("r2", "rmse"), moments)
+    found, moments = _scored(df, features, target, penalties, folds, fold_col, ("r2", "rmse"))
     whole, rows = moments.all(), []
     for i, (alpha, ratio) in enumerate(points):
         own = [found[f, i] for f in range(folds) if (f, i) in found]
