@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import numeric_or_null
-from cohortlens.operators.linear import PILOT_ROWS, LinearFit, Moments, descend, products, symmetric
+from cohortlens.operators.linear import PILOT_ROWS, LinearFit, Moments, descend, symmetric
 from cohortlens.shipping import ship_package
 
 
@@ -103,13 +103,30 @@ def _known(df: DataFrame, features: str | Sequence[str], target: str, fold_col:
     return rows.where(F.col("fold").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & whole)
 
 
+def _products(pivot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per fold of a task's rows: their number, sums and products (upper half) about the pivot."""
+    upper = np.triu_indices(len(pivot))
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        folds = batch.column(0).to_numpy()
+        z = np.column_stack([batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(2).to_numpy()]) - pivot
+        for fold in np.unique(folds).tolist():
+            own = z[folds == fold]
+            sums = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own)[upper]])
+            total[fold] = total[fold] + sums if fold in total else sums
+    for fold, sums in total.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([fold], pa.int32()), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["fold", "sums"]
+        )
+
+
 def _fold_sums(rows: DataFrame, pivot: np.ndarray) -> FoldMoments:
+    ship_package(rows.sparkSession)
     p = len(pivot)
-    centre = F.array(*[F.lit(float(v)) for v in pivot])
-    shifted = F.zip_with(F.concat("x", F.array("y")), centre, lambda v, c: v - c)
-    vectors = rows.select("fold", shifted.alias("z")).select(
-        "fold", array_to_vector(F.concat(F.array(F.lit(1.0)), F.col("z"), products(F.col("z"), p))).alias("v")
-    )
+    parts = rows.select("fold", "x", "y").mapInArrow(lambda batches: _products(pivot, batches), "fold int, sums array<double>")
+    vectors = parts.select("fold", array_to_vector("sums").alias("v"))
     found = {r.fold: r.s.toArray() for r in vectors.groupBy("fold").agg(Summarizer.sum(F.col("v")).alias("s")).collect()}
     return FoldMoments(
         pivot,
