@@ -99,3 +99,48 @@ def test_few_candidates_reach_the_final_ranking(spark):
     df = spark.createDataFrame(rows, "key long, vec array<double>")
     found = neighbors._search(df, df, 5, "euclidean", None, neighbors.CHUNK_ROWS)
     assert found.count() <= 4 * 5 * 3000
+
+
+def test_few_reference_rows_and_many_queries_stay_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    queries, refs = rng.normal(size=(60_000, 16)), rng.normal(size=(10, 16))
+    tracemalloc.start()
+    try:
+        found = [d for _, _, d in neighbors._nearest(queries, refs, np.arange(10), 10, "euclidean", np.full(len(queries), np.inf))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # All pairs are candidates; their differences alone would be 77 MB.
+    assert sum(map(len, found)) == 600_000 and peak < 70e6
+
+
+def test_a_query_goes_once_to_each_shelf(points):
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(50, 6))
+    sizes = np.full(50, 100)
+    sizes[7] = 2_500
+    shelf, chunks = neighbors._shelves(sizes, 1_000)
+    assert chunks.tolist() == [1, 3, 1, 1, 1, 1, 1] and (np.diff(shelf) >= 0).all()
+    cells = neighbors._Cells(centers, sizes, np.zeros(50), np.full(50, 99.0), shelf, chunks, "euclidean")
+    vecs = rng.normal(size=(400, 6))
+    home, on = (list(cells.route(vecs, np.arange(400), 3, r)) for r in (None, np.full(400, 50.0)))
+    sent = [(k, s) for part in on for k, s in zip(part["key"], part["shelf"])]
+    # Nothing is pruned: a row per query and shelf, not per cell, and every cell is asked once.
+    assert len(sent) == len(set(sent)) <= 400 * len(chunks)
+    for parts in zip(*([[(k, c) for p in side for k, cs in zip(p["key"], p["cells"]) for c in cs]] for side in (home, on))):
+        assert sorted(parts[0] + parts[1]) == [(k, c) for k in range(400) for c in range(50)]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_candidates_are_merged_on_the_way(points, metric, monkeypatch):
+    import pandas as pd
+
+    vecs, _, _ = points
+    monkeypatch.setattr(neighbors, "BLOCK_CELLS", 500)
+    q = pd.DataFrame({"key": np.arange(N), "vec": list(vecs), "cells": [np.arange(4)] * N, "radius": np.inf})
+    r = pd.DataFrame({"key": np.arange(N), "vec": list(vecs), "cell": np.arange(N) % 4})
+    found = neighbors._search_shelf(q, r, K, metric)
+    near = {k: g.sort_values(["distance", "neighbor"])["neighbor"].tolist() for k, g in found.groupby("query")}
+    assert near == brute(vecs, metric)
