@@ -326,3 +326,58 @@ def test_classifier_board_compares_kernels(spark, sf, monkeypatch):
     svm, grid = seen["svm"]
     assert {point.get(svm.kernel) for point in grid} == {"linear", "rbf"}
     assert {point[svm.C] for point in grid if svm.C in point} == {0.1, 1.0}
+
+
+def node_rows(forest):
+    """Rows of every node that is split, and the number of leaves."""
+    found, leaves = [], 0
+    waiting = [t.rootNode() for t in forest._java_obj.trees()]
+    while waiting:
+        node = waiting.pop()
+        if node.subtreeDepth() == 0:
+            leaves += 1
+        else:
+            found.append(node.impurityStats().rawCount())
+            waiting += [node.leftChild(), node.rightChild()]
+    return found, leaves
+
+
+def test_small_nodes_of_a_forest_are_not_split(spark):
+    rng = random.Random(5)
+    rows = [(rng.random(), rng.random()) for _ in range(80)]
+    df = spark.createDataFrame([(a, b, float(rng.random() < a)) for a, b in rows], "a double, b double, label double")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).cache()
+    whole, cut = models.random_forest_clf(3, 8).fit(df), models.random_forest_clf(3, 8, min_split=12).fit(df)
+    (before, many), (after, few) = node_rows(whole), node_rows(cut)
+    assert min(before) < 12 and sorted(after) == sorted(n for n in before if n >= 12) and few < many
+    assert cut.transform(df).where("prediction = label").count() > 50 and cut.getNumTrees == 3
+    est = models.random_forest_clf(3, 8)
+    assert len(node_rows(est.fit(df, {est.minSplit: 12}))[0]) == len(after)
+
+
+def test_all_strengths_of_a_grid_are_scored(vectors):
+    df = vectors.withColumns({"label": (F.col("label") > 3.5).cast("double"), "fold": split.kfold("subject_id", 2)})
+    est = models.svm_linear(1.0, one_vs_rest=False, max_iter=20)
+    grid = [{est.C: 1e-4}, {est.C: 1.0}]
+    _, params, scores, _ = tuning.grid_search(df, est, grid, tuning.BalancedAccuracy(), 2)
+    assert params == {"C": 1.0} and scores[1] > 0.9 > scores[0]
+
+
+def test_queries_run_the_whole_method(spark, sf, monkeypatch):
+    from cohortlens.plans.registry import QUERIES
+
+    report = {r.dataset: r for r in QUERIES["evaluate_dataset"](spark, sf).collect()}
+    assert set(report) == {"train", "test"} and report["train"].n > 3 * report["test"].n
+    asked = []
+
+    def fit(df, target, key, estimator, prep, **kw):
+        asked.append((estimator, kw))
+        raise StopIteration
+
+    monkeypatch.setattr(flows, "tuned_classifier", fit)
+    for name in ("svm_linear", "random_forest_clf"):
+        with pytest.raises(StopIteration):
+            QUERIES[name](spark, sf)
+    (_, linear), (forest, _) = asked
+    assert [list(m.values()) for m in linear["grid"]] == [[0.1], [1.0], [10.0], [50.0]] and linear["fold_rule"] == "capped3"
+    assert forest.getOrDefault("minSplit") == 5
