@@ -8,7 +8,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import hash_uniform
-from cohortlens.operators import importance, metrics, models, split, tuning
+from cohortlens.operators import importance, metrics, models, neighbors, split, tuning
 from cohortlens.operators.features import Preprocessor, feature_names
 from cohortlens.plans import flows
 from cohortlens.sources.visits import inline_records
@@ -381,3 +381,19 @@ def test_queries_run_the_whole_method(spark, sf, monkeypatch):
     (_, linear), (forest, _) = asked
     assert [list(m.values()) for m in linear["grid"]] == [[0.1], [1.0], [10.0], [50.0]] and linear["fold_rule"] == "capped3"
     assert forest.getOrDefault("minSplit") == 5
+
+
+def test_copies_for_a_search_hold_no_keys_or_class_names(groups, monkeypatch):
+    seen = []
+
+    def searched(rows, *a, **kw):
+        seen.append(set(rows.columns))
+        raise StopIteration
+
+    monkeypatch.setattr(flows, "fit_or_fallback", searched)
+    base = models.logistic()
+    for est in (base, neighbors.NearestNeighbours("subject_id", label="label")):
+        with pytest.raises(StopIteration):
+            flows.tuned_classifier(groups, "group", ["subject_id"], est, Preprocessor(**PREP), [{base.C: 1.0}])
+    plain, keyed = seen
+    assert not {"group", "subject_id"} & plain and {"label", "fold", "a"} <= plain and "subject_id" in keyed and "group" not in keyed
